@@ -1 +1 @@
-
+"""Column functions: text cleaning, tokens, numbers and fixed word lists."""
