@@ -21,10 +21,10 @@ def test_ratings(spark, raw, rating):
 
 def test_text_functions(spark):
     assert one(spark, T.clean_text("t"), t=" a &amp; b\r\n\n\n\n<p>c</p> \t d ") == "a & b\n\n c d"
-    assert one(spark, T.split_sentences("t"), t="- First point here. Second one; and a third\n* short") == ["First point here.", "Second one", "and a third short"][0:1] + ["and a third short"]
+    assert one(spark, T.split_sentences("t"), t="- First point here. Second one; and a third\n* short") == ["First point here.", "and a third short"]
     assert one(spark, T.concern_tokens("t"), t="The evaluations lack missing baselines; limited novelty") == sorted({"evaluate", "lack", "baseline", "limitation", "novelty"})
     assert one(spark, T.token_list("t"), t="Studies of the boxes and cats") == ["study", "box", "cat"]
-    assert one(spark, T.truncate_words("t", 12), t="alpha beta gamma") == "alpha beta..."
+    assert one(spark, T.truncate_words("t", 12), t="alpha beta gamma") == "alpha..."
     assert one(spark, T.decision_class("t"), t="Accept (Oral)") == "accept"
     assert one(spark, F.unix_seconds(T.parse_time("t")), t="1700000000000") == 1700000000
     assert one(spark, F.unix_seconds(T.parse_time("t")), t="2023-11-14T22:13:20Z") == 1700000000
@@ -88,7 +88,7 @@ def test_robustness_weights(spark):
 
 
 def test_boards(spark):
-    assert one(spark, boards.wilson(F.lit(5), F.lit(5))) == pytest.approx(0.565518, abs=1e-6)
+    assert one(spark, boards.wilson(F.lit(5), F.lit(5))) == pytest.approx(0.565509, abs=1e-6)
     ranked = spark.createDataFrame([("b", v, i + 1) for i, v in enumerate("aaaabac")], "board string, venue string, pos int")
     found = boards.venue_balanced(ranked, 5).orderBy("place").collect()
     assert [(r["venue"], r["pos"]) for r in found] == [("a", 1), ("b", 5), ("c", 7), ("a", 2), ("a", 3)]
@@ -109,7 +109,7 @@ def test_reply_classes(spark):
 
 def test_year_modes(spark):
     rows = spark.createDataFrame([("a", "Accept", ["2024-05-01"], ["2025-01-01"]), ("b", "Reject", [], ["2025-02-01"]), ("c", "accepted", [], ["2024-02-01"])], "paper_id string, decision string, d array<string>, a array<string>")
-    rows = rows.select("paper_id", "decision", F.transform("d", F.to_timestamp).alias("decisions"), F.transform("a", F.to_timestamp).alias("activity"))
+    rows = rows.select("paper_id", "decision", F.transform("d", lambda x: F.to_timestamp(x)).alias("decisions"), F.transform("a", lambda x: F.to_timestamp(x)).alias("activity"))
     ids = lambda *x: sorted(r["paper_id"] for r in normalize.in_year(rows, *x).collect())
     assert ids(2025, "decision_or_activity_year") == ["b"] and ids(2025, "activity_year") == ["a", "b"] and ids(2024, "decision_or_activity_year", True) == ["a", "c"]
 
@@ -136,7 +136,7 @@ def test_quotes_are_located(spark):
 def test_chunks_carry_their_section(spark):
     rows = spark.createDataFrame([("p", 1, "Abstract\nWe show.\n1 Introduction to It\nText one."), ("p", 2, "More text.\nAppendix A\nExtra.")], "paper_id string, page bigint, text string")
     found = claims.chunked_pages(rows).orderBy("page", "section").collect()
-    assert [(r["section"], r["source_type"], r["body"]) for r in found] == [("1 Introduction to It", "paper", "Text one."), ("Abstract", "paper", "We show."), ("1 Introduction to It", "paper", "More text."), ("Appendix", "appendix", "Extra.")] or len(found) == 4
+    assert [(r["section"], r["source_type"], r["body"]) for r in found] == [("1 Introduction to It", "paper", "Text one."), ("Abstract", "paper", "We show."), ("1 Introduction to It", "paper", "More text."), ("Appendix", "appendix", "Extra.")]
 
 
 def test_batches_are_packed_next_fit(spark):
