@@ -83,6 +83,26 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP5_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, n, substr(h, 2000 * n + 1, 2098) AS part FROM d, unnest(range(0, length(h) // 2000 + 1)) AS t(n)),
+w AS (SELECT doc_id, 1000 * n + j AS i, substr(part, 2 * j - 1, 100) AS s FROM b, unnest(range(1, least(1001, length(part) // 2 - 48))) AS t(j)),
+first_seen AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT doc_id, i FROM w JOIN first_seen USING (s) WHERE least < doc_id),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 49 AS z
+  FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run
+        FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM gone))
+  GROUP BY doc_id, run),
+cuts AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(z - a + 1) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS k
+  FROM cuts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 OP9_SQL = r"""
 WITH doc AS (
   SELECT doc_id, row_number() OVER () AS row_no,
@@ -127,4 +147,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_language_id, op2_token_files, op3_secret_scan, op4_quality_classifier, op5_suffix_dedup, op6_quality_rules, op7_simhash, op8_packing, op9_decontamination, op10_chat_format)
 }
-ORACLES: dict[str, str] = {"op9_decontamination": OP9_SQL, "op10_chat_format": OP10_SQL}
+ORACLES: dict[str, str] = {"op5_suffix_dedup": OP5_SQL, "op9_decontamination": OP9_SQL, "op10_chat_format": OP10_SQL}
