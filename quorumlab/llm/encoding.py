@@ -12,6 +12,7 @@ below 2**-25 at the default memory size.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 
 import numpy as np
@@ -23,8 +24,9 @@ EDGE, BLANK, SPACE, LETTER, DIGIT, OTHER, QUOTE, DOUBT = range(8)
 KNOWN = 0x3000
 
 
-def _classes() -> np.ndarray:
-    out = np.full(KNOWN + 1, DOUBT, np.uint8)
+def _classes() -> tuple[np.ndarray, np.ndarray]:
+    """(class, lower case) of each code point; doubtful ones stay as they are."""
+    out, low = np.full(KNOWN + 1, DOUBT, np.uint8), np.arange(KNOWN + 1, dtype=np.uint32)
     for i in range(KNOWN):
         c, kind = chr(i), unicodedata.category(chr(i))
         lower = c.lower()
@@ -38,32 +40,42 @@ def _classes() -> np.ndarray:
             out[i] = DOUBT
         else:
             out[i] = {"L": LETTER, "N": DIGIT}.get(kind[0], QUOTE if c == "'" else OTHER)
-    return out
+            low[i] = ord(lower)
+    return out, low
 
 
 class PieceEncoder:
     """Encodes lists of texts with one tokenizer file.
 
-    ``drops_space``: the tokenizer ignores white space and encodes digits one by one (the word
+    ``drops_space``: the tokenizer ignores white space and case and encodes digits one by one (the word
     vocabulary); otherwise a blank belongs to the word after it (the byte vocabulary).
+    ``memory``: pieces kept before the worker starts anew.
     """
 
-    def __init__(self, path: str, drops_space: bool, memory: int = 1_500_000) -> None:
+    RECENT_BITS = 21
+
+    def __init__(self, path: str, drops_space: bool, memory: int = 1_000_000) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.drops_space, self.memory = drops_space, memory
-        self.classes, self.hash = _classes(), SpanHash()
+        self.classes, self.lower = _classes()
+        self.hash = SpanHash()
         self._forget()
 
     def _forget(self) -> None:
-        self.known = np.empty(0, np.uint64)
-        self.first = np.empty(0, np.int64)
-        self.count = np.empty(0, np.int64)
+        self.n = self.used = 0
+        self.known = np.empty(0, np.uint64)  # sorted hashes
+        self.number = np.empty(0, np.int32)  # piece number of each
+        self.first = np.empty(1 << 14, np.int32)  # where a piece's ids begin, by piece number
+        self.count = np.empty(1 << 14, np.int32)
         self.flat = np.empty(1 << 16, np.int32)
-        self.used = 0
+        # a table by the hash's low bits answers most look-ups: the last piece met for each of its slots
+        self.recent = np.zeros(1 << self.RECENT_BITS, np.uint64)
+        self.recent_number = np.zeros(1 << self.RECENT_BITS, np.int32)
 
     def _cuts(self, kind: np.ndarray) -> np.ndarray:
         """Indexes at which a piece starts; the last one is the end."""
@@ -81,26 +93,60 @@ class PieceEncoder:
             cut[:-1] |= wa[:-1] & wb[:-1] & solid[2:]
         return np.concatenate([[0], np.flatnonzero(cut) + 1, [len(kind)]])
 
+    @staticmethod
+    def _grown(array: np.ndarray, used: int, size: int) -> np.ndarray:
+        if size <= len(array):
+            return array
+        out = np.empty(max(size, len(array) * 5 // 4), array.dtype)
+        out[:used] = array[:used]
+        return out
+
     def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > self.memory:
-            self._forget()
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(count.sum())
-        if self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(self.used, total) + 1024, np.int32)])
+        total, n = int(count.sum()), self.n + len(pieces)
+        self.flat = self._grown(self.flat, self.used, self.used + total)
+        self.first, self.count = self._grown(self.first, self.n, n), self._grown(self.count, self.n, n)
         self.flat[self.used : self.used + total] = [x for e in ids for x in e]
-        first = self.used + np.cumsum(count) - count
-        self.used += total
-        known = np.concatenate([self.known, hashes])
+        self.first[self.n : n] = self.used + np.cumsum(count) - count
+        self.count[self.n : n] = count
+        known, number = np.concatenate([self.known, hashes]), np.concatenate([self.number, np.arange(self.n, n, dtype=np.int32)])
         order = np.argsort(known, kind="stable")
-        self.known, self.first, self.count = known[order], np.concatenate([self.first, first])[order], np.concatenate([self.count, count])[order]
+        self.known, self.number = known[order], number[order]
+        self.used, self.n = self.used + total, n
+
+    def _numbers(self, h: np.ndarray, joined: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Piece number of each span; new pieces are encoded."""
+        slot = (h & np.uint64((1 << self.RECENT_BITS) - 1)).astype(np.int64)
+        out = self.recent_number[slot]
+        miss = np.flatnonzero((self.recent[slot] != h) | (h == 0))
+        if not len(miss):
+            return out
+        found, at, place = np.unique(h[miss], return_index=True, return_inverse=True)
+        spot = np.searchsorted(self.known, found)
+        new = np.ones(len(found), bool)
+        inside = spot < len(self.known)
+        new[inside] = self.known[spot[inside]] != found[inside]
+        if self.n and self.n + int(new.sum()) > self.memory:
+            self._forget()
+            return self._numbers(h, joined, starts, ends)
+        if new.any():
+            w = miss[at[new]]
+            self._learn(found[new], [joined[s:e] for s, e in zip(starts[w].tolist(), ends[w].tolist(), strict=True)])
+            spot = np.searchsorted(self.known, found)
+        number = self.number[spot]
+        out[miss] = number[place.reshape(-1)]
+        slot = (found & np.uint64((1 << self.RECENT_BITS) - 1)).astype(np.int64)
+        self.recent[slot], self.recent_number[slot] = found, number
+        return out
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text's ids)."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         joined = "\n".join(texts) + "\n"
-        kind = self.classes[np.minimum(points := np.frombuffer(joined.encode("utf-32-le"), np.uint32), KNOWN)]
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        bounded = np.minimum(points, KNOWN)
+        kind = self.classes[bounded]
         edges = np.cumsum(sizes + 1) - 1
         kind[edges] = EDGE
         cuts = self._cuts(kind)
@@ -111,21 +157,11 @@ class PieceEncoder:
         counts = np.zeros(0, np.int64)
         out = np.empty(0, np.int32)
         if len(starts):
-            found, at, place = np.unique(self.hash(points, starts, ends), return_index=True, return_inverse=True)
-            slot = np.searchsorted(self.known, found)
-            new = np.ones(len(found), bool)
-            inside = slot < len(self.known)
-            new[inside] = self.known[slot[inside]] != found[inside]
-            if new.any():
-                if len(self.known) + int(new.sum()) > self.memory:
-                    self._forget()
-                    new[:] = True
-                w = at[new]
-                self._learn(found[new], [joined[s:e] for s, e in zip(starts[w].tolist(), ends[w].tolist(), strict=True)])
-                slot = np.searchsorted(self.known, found)
-            slot = slot[place.reshape(-1)]
-            counts = self.count[slot]
+            if self.drops_space:
+                points = np.where(points < KNOWN, self.lower[bounded], points)
+            number = self._numbers(self.hash(points, starts, ends), joined, starts, ends)
+            counts = self.count[number].astype(np.int64)
             stop = np.cumsum(counts)
-            out = self.flat[np.repeat(self.first[slot] - (stop - counts), counts) + np.arange(int(stop[-1]))]
+            out = self.flat[np.repeat(self.first[number] - (stop - counts), counts) + np.arange(int(stop[-1]))]
         total = np.concatenate([[0], np.cumsum(counts)])
         return out, total[np.searchsorted(starts, edges)]
