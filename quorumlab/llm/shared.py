@@ -73,8 +73,8 @@ def sampled(df: DataFrame, rows: int, key) -> DataFrame:
     n = df.count()
     if n <= rows:
         return df
-    share = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1_000_000))
-    return df.where(share < int(1_000_000 * rows / n))
+    whole = 1 << 48
+    return df.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(whole)) < rows * whole // n)
 
 
 def crc_fold(column: str, modulus: int):
