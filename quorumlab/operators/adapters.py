@@ -51,13 +51,16 @@ def generic(df: DataFrame, dataset: str, dimension: str, labels: dict[str, tuple
 
 def pairs(df: DataFrame, threshold: float = 0.1) -> DataFrame:
     """Premise and hypothesis pairs: gold polarity and three baselines."""
-    a, b = T.plain_tokens("premise"), T.plain_tokens("hypothesis")
-    union = F.size(F.array_union(a, b))
-    overlap = F.when(union > 0, F.round(F.size(F.array_intersect(a, b)) / union, 4)).otherwise(0.0)
+    # each token set is computed once: a column of its own is not repeated in what refers to it
+    df = df.withColumns({"a_tokens": T.plain_tokens("premise"), "b_tokens": T.plain_tokens("hypothesis")})
+    df = df.withColumn("common", F.size(F.array_intersect("a_tokens", "b_tokens")))
+    union = F.size("a_tokens") + F.size("b_tokens") - F.col("common")
+    df = df.withColumn("overlap", F.when(union > 0, F.round(F.col("common") / union, 4)).otherwise(0.0))
+    overlap = F.col("overlap")
     gold = F.when(F.lower("label").isin("c", "contradiction", "1"), "contradiction").otherwise("no_contradiction")
     polarity = F.when(F.col("s1") != F.col("s2"), "contradiction").otherwise("no_contradiction")
     by_overlap = F.when(overlap >= threshold, "contradiction").otherwise("no_contradiction")
-    return df.select("pair_id", gold.alias("gold_label"), overlap.alias("overlap"), polarity.alias("polarity"), F.lit("no_contradiction").alias("majority"), by_overlap.alias("by_overlap"))
+    return df.select("pair_id", gold.alias("gold_label"), "overlap", polarity.alias("polarity"), F.lit("no_contradiction").alias("majority"), by_overlap.alias("by_overlap"))
 
 
 def spans(df: DataFrame) -> DataFrame:
