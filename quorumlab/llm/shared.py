@@ -82,7 +82,7 @@ def crc_fold(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
 
 
-def text_slices(batch: pa.RecordBatch, name: str = "text", limit: int = 1_500_000) -> Iterator[tuple[int, list[str]]]:
+def text_slices(batch: pa.RecordBatch, name: str = "text", limit: int = 500_000) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of pieces of a batch, each of about ``limit`` bytes at most or one text; null becomes ''."""
     column = batch.column(batch.schema.get_field_index(name))
     sizes = np.zeros(len(column), np.int64)
@@ -96,6 +96,7 @@ def text_slices(batch: pa.RecordBatch, name: str = "text", limit: int = 1_500_00
         held += size
     if start < len(column):
         yield start, [t or "" for t in column.slice(start).to_pylist()]
+    pa.default_memory_pool().release_unused()  # a worker lives on through many tasks
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -119,7 +120,7 @@ class SpanHash:
     def _grow(self, n: int) -> None:
         if len(self.up) >= n:
             return
-        size = 1 << max(16, (n - 1).bit_length())
+        size = max(1 << 16, n + n // 4)
         for name, factor in (("up", self.BASE), ("down", self.INVERSE)):
             powers = np.full(size, factor, np.uint64)
             powers[0] = 1
