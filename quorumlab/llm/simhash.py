@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quorumlab.llm.near_copies import near_copies
 from quorumlab.llm.shared import drop_staged, staged, text_slices, unused
 
 BITS = 64
@@ -202,14 +203,15 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, budget: int = 2, limit: i
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, *, size: int = 3, budget: int = 2, limit: int = 1000) -> DataFrame:
-    """One document of each component (the one with the smallest doc_id), with the columns of ``docs``.
+def deduplicated(docs: DataFrame, *, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One document of each component of near copies (the one with the smallest doc_id), with the columns of ``docs``.
 
+    Near copies share ``similarity`` of their ``size``-word shingles (Jaccard); see ``near_copies``.
     Of rows that share that doc_id, those of different text stay. Rows without a doc_id cannot stand
     for a component: each of their distinct texts stays once.
     """
     kept, text = unused(docs, "__kept"), unused(docs, "__text")
-    found = near_duplicates(docs, size=size, budget=budget, limit=limit).where("doc_id = component_id")
+    found = near_copies(docs, components, size=size, similarity=similarity).where("doc_id = component_id")
     named = docs.join(found.select(F.col("doc_id").alias(kept)).distinct(), F.col("doc_id") == F.col(kept), "left_semi")
     whole = named.unionByName(docs.where("doc_id is null")).withColumn(text, F.xxhash64("text"))
     return whole.dropDuplicates(["doc_id", text]).drop(text)

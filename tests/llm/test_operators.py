@@ -405,6 +405,28 @@ def test_simhash_of_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
 
 
+def test_deduplicated_finds_near_copies(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 200))]
+        texts.append(" ".join(base))
+        for edits in (1, 2, 3, 5, 9):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = f"v{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i - i % 6, i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    order = rng.sample(range(len(texts)), len(texts))  # ids in the order of the list, rows in another
+    kept = simhash.deduplicated(spark.createDataFrame([(i, texts[i]) for i in order], "doc_id bigint, text string"))
+    assert 60 < len(set(root)) < 300 and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
 # decontamination
 
 
