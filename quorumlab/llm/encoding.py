@@ -6,6 +6,9 @@ hashed with numpy, and only pieces that the worker has not met yet go through th
 Where Unicode leaves any doubt (combining marks, letters whose lower case changes class,
 scripts above U+3000) no cut is made, so that the piece holds the whole doubtful run.
 
+An added token's literal (such as ``<|endoftext|>``) spans several pieces, so a text that holds one goes
+through the tokenizer whole, which gives the literal the token's own id, as the tokenizer file says.
+
 A piece is known by a 64-bit hash; two of a worker's pieces share one with probability
 below 2**-25 at the default memory size.
 """
@@ -59,8 +62,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError(f"{path}: only added tokens that match literally are supported")
+        self.added = sorted(t.content for t in added)
         self.drops_space, self.memory = drops_space, memory
         self.classes, self.lower = _classes()
         self.hash = SpanHash()
@@ -142,6 +148,19 @@ class PieceEncoder:
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, end of each text's ids)."""
+        whole = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        if not whole:
+            return self._by_pieces(texts)
+        rest = list(texts)
+        for i in whole:
+            rest[i] = ""
+        ids, ends = self._by_pieces(rest)
+        parts = np.split(ids, ends[:-1])
+        for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            parts[i] = np.array(e.ids, np.int32)
+        return np.concatenate(parts), np.cumsum(list(map(len, parts)))
+
+    def _by_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         joined = "\n".join(texts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)

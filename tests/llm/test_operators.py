@@ -100,6 +100,18 @@ def test_pieces_encode_like_the_whole_text(name, drops, texts):
         assert [ids[a:b].tolist() for a, b in zip(starts, ends.tolist(), strict=True)] == expected[at : at + 500]
 
 
+@pytest.mark.parametrize(("name", "drops"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_added_tokens_encode_as_the_file_says(name, drops):
+    from tokenizers import Tokenizer
+
+    samples = ["a<|endoftext|>b", "plain text", "<|endoftext|>", "", "x <|startoftext|> y <|ENDOFTEXT|><|endoftext|>", "<|end of text|>", "one <|endoftext|>  two"]
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path(name))
+    expected = [e.ids for e in tokenizer.encode_batch(samples, add_special_tokens=False)]
+    ids, ends = PieceEncoder(queries.tokenizer_path(name), drops)(samples)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == expected
+    assert expected[0][1] == (49407 if drops else 50256)
+
+
 def reference_ids(texts, name, end_id):
     from tokenizers import Tokenizer
 
