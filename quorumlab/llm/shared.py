@@ -39,14 +39,18 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, label: str, *, row_group: int | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``row_group``: bytes of a row group, which bounds what a reader of large rows holds at once.
+    """
     spark = df.sparkSession
     path = new_path(spark, label)
     kept = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # the shuffle files of this write are not read again
     try:
-        df.write.option("compression", compression).parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.option("parquet.block.size", str(row_group)) if row_group else writer).parquet(path)
     finally:
         spark.conf.set(CLEANUP, kept)
     return spark.read.schema(df.schema).parquet(path)

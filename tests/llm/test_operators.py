@@ -299,7 +299,7 @@ def test_cover_is_perfect():
 
 def test_repeated_bytes(spark, documents, texts):
     expected = naive_repeats(sorted((k, t.encode()) for k, t in texts.items()))
-    found = substrings.repeated_bytes(documents.repartition(3), chunk_bytes=40_000, bucket_items=3000, block_bytes=0.3).collect()
+    found = substrings.repeated_bytes(documents.repartition(3), chunk_bytes=40_000, bucket_items=3000, block_bytes=0.3, least_buckets=3).collect()
     assert {r["doc_id"]: tuple(r)[1:] for r in found} == expected and len(found) == len(texts)
 
 
@@ -308,10 +308,29 @@ def test_repeated_bytes_at_the_edges(spark):
     base = "".join(rng.choices("abcdefghij é", k=400))
     rows = [(i, base[rng.randrange(200) :][: rng.choice((0, 49, 50, 51, 120, 300))] + rng.choice(("", "x", base[:60]))) for i in range(60)]
     expected = naive_repeats([(k, t.encode()) for k, t in rows])
-    found = substrings.repeated_bytes(spark.createDataFrame(rows, "doc_id bigint, text string"), chunk_bytes=500, bucket_items=100, block_bytes=0.5).collect()
+    found = substrings.repeated_bytes(spark.createDataFrame(rows, "doc_id bigint, text string"), chunk_bytes=500, bucket_items=100, block_bytes=0.5, least_buckets=1).collect()
     assert {r["doc_id"]: tuple(r)[1:] for r in found} == expected
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_clashes_of_the_first_hash_remove_nothing(spark, bits):
+    """With few bits of the first hash nearly all keys of a bucket clash; the second hash tells them apart."""
+    rng = random.Random(bits)
+    base = "".join(rng.choices("abcdefghij", k=900))
+    rows = [(i, base[rng.randrange(500) :][: rng.choice((49, 60, 200))] + "".join(rng.choices("klmn", k=80))) for i in range(50)]
+    expected = naive_repeats([(k, t.encode()) for k, t in rows])
+    found = substrings.repeated_bytes(spark.createDataFrame(rows, "doc_id bigint, text string"), chunk_bytes=700, bucket_items=400, least_buckets=2, hash_bits=bits)
+    assert {r["doc_id"]: tuple(r)[1:] for r in found.collect()} == expected
+
+
+def test_order_of_keys():
+    rng = np.random.default_rng(3)
+    for n, top in ((0, 5), (1, 5), (1000, 50), (1000, 1 << 63), (5000, 3)):
+        key, check = rng.integers(0, top, n, dtype=np.uint64), rng.integers(0, 3, n, dtype=np.uint64)
+        assert substrings.ordered(key, check).tolist() == np.lexsort((np.arange(n), check, key)).tolist()
+        assert substrings.ordered(key).tolist() == np.argsort(key, kind="stable").tolist()
+
+
 def test_repeated_bytes_of_odd_rows(odd, empty):
     rows = substrings.repeated_bytes(odd).collect()
     assert len(rows) == len(ODD) and {r["n_removed"] for r in rows if r["doc_id"] == 5} == {0}
