@@ -9,8 +9,8 @@ scripts above U+3000) no cut is made, so that the piece holds the whole doubtful
 An added token's literal (such as ``<|endoftext|>``) spans several pieces, so a text that holds one goes
 through the tokenizer whole, which gives the literal the token's own id, as the tokenizer file says.
 
-A piece is known by a 64-bit hash; two of a worker's pieces share one with probability
-below 2**-25 at the default memory size.
+A piece is known by a 64-bit hash, its length and its first and last code points; where two pieces share the
+hash and differ in one of these, the texts at hand are encoded whole.
 """
 
 from __future__ import annotations
@@ -78,6 +78,7 @@ class PieceEncoder:
         self.number = np.empty(0, np.int32)  # piece number of each
         self.first = np.empty(1 << 14, np.int32)  # where a piece's ids begin, by piece number
         self.count = np.empty(1 << 14, np.int32)
+        self.mark = np.empty(1 << 14, np.uint64)  # length and ends, see marks()
         self.flat = np.empty(1 << 16, np.int32)
         # a table by the hash's low bits answers most look-ups: the last piece met for each of its slots
         self.recent = np.zeros(1 << self.RECENT_BITS, np.uint64)
@@ -107,7 +108,13 @@ class PieceEncoder:
         out[:used] = array[:used]
         return out
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+    @staticmethod
+    def _marks(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Length (22 bits), first and last code point (21 bits each) of spans."""
+        first, last, size = (x.astype(np.uint64) for x in (points[starts], points[ends - 1], ends - starts))
+        return (size << np.uint64(42)) ^ (first << np.uint64(21)) ^ last
+
+    def _learn(self, hashes: np.ndarray, pieces: list[str], marks: np.ndarray) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         count = np.fromiter(map(len, ids), np.int64, len(ids))
         total, n = int(count.sum()), self.n + len(pieces)
@@ -116,12 +123,14 @@ class PieceEncoder:
         self.flat[self.used : self.used + total] = [x for e in ids for x in e]
         self.first[self.n : n] = self.used + np.cumsum(count) - count
         self.count[self.n : n] = count
+        self.mark = self._grown(self.mark, self.n, n)
+        self.mark[self.n : n] = marks
         known, number = np.concatenate([self.known, hashes]), np.concatenate([self.number, np.arange(self.n, n, dtype=np.int32)])
         order = np.argsort(known, kind="stable")
         self.known, self.number = known[order], number[order]
         self.used, self.n = self.used + total, n
 
-    def _numbers(self, h: np.ndarray, joined: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def _numbers(self, h: np.ndarray, joined: str, starts: np.ndarray, ends: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """Piece number of each span; new pieces are encoded."""
         slot = (h & np.uint64((1 << self.RECENT_BITS) - 1)).astype(np.int64)
         out = self.recent_number[slot]
@@ -135,10 +144,10 @@ class PieceEncoder:
         new[inside] = self.known[spot[inside]] != found[inside]
         if self.n and self.n + int(new.sum()) > self.memory:
             self._forget()
-            return self._numbers(h, joined, starts, ends)
+            return self._numbers(h, joined, starts, ends, marks)
         if new.any():
             w = miss[at[new]]
-            self._learn(found[new], [joined[s:e] for s, e in zip(starts[w].tolist(), ends[w].tolist(), strict=True)])
+            self._learn(found[new], [joined[s:e] for s, e in zip(starts[w].tolist(), ends[w].tolist(), strict=True)], marks[w])
             spot = np.searchsorted(self.known, found)
         number = self.number[spot]
         out[miss] = number[place.reshape(-1)]
@@ -156,8 +165,14 @@ class PieceEncoder:
             rest[i] = ""
         ids, ends = self._by_pieces(rest)
         parts = np.split(ids, ends[:-1])
-        for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            parts[i] = np.array(e.ids, np.int32)
+        found, stops = self._whole([texts[i] for i in whole])
+        for i, part in zip(whole, np.split(found, stops[:-1]), strict=True):
+            parts[i] = part
+        return np.concatenate(parts), np.cumsum(list(map(len, parts)))
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokenizer's own answer for whole texts."""
+        parts = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate(parts), np.cumsum(list(map(len, parts)))
 
     def _by_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +193,10 @@ class PieceEncoder:
         if len(starts):
             if self.drops_space:
                 points = np.where(points < KNOWN, self.lower[bounded], points)
-            number = self._numbers(self.hash(points, starts, ends), joined, starts, ends)
+            marks = self._marks(points, starts, ends)
+            number = self._numbers(self.hash(points, starts, ends), joined, starts, ends, marks)
+            if (self.mark[number] != marks).any():  # two pieces of one hash
+                return self._whole(texts)
             counts = self.count[number].astype(np.int64)
             stop = np.cumsum(counts)
             out = self.flat[np.repeat(self.first[number] - (stop - counts), counts) + np.arange(int(stop[-1]))]

@@ -8,6 +8,9 @@ of slots) is taken out of its count, and the largest corrected count decides.
 A language's set holds the n-grams that stand in at least ``min_share`` of its training texts and
 whose share is at least ``keep_ratio`` of the largest share that any language has.
 
+Training takes a bounded number of texts of each language (all of a rare one), so that no language gets lost
+as the table grows.
+
 Null text, empty text and text without a letter give ``und`` and 0. Ties go to the language with
 more training texts, then to the name. A text with letters of which no n-gram is known gets the most
 frequent language and score 0. Without training rows all texts are ``und``.
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quorumlab.llm.shared import mixed, sampled, text_slices
+from quorumlab.llm.shared import mixed, sampled, spread, staged, text_slices
 
 SIZES = (3, 4)
 SLOTS = 3
@@ -108,9 +111,14 @@ class LanguageModel:
         return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), has.tolist(), strict=True)], np.where(has, np.clip(score, 0, 1), 0.0)
 
 
-def train(rows: DataFrame, *, sample: int = 8000, min_share: float = 0.004, keep_ratio: float = 0.3) -> LanguageModel:
-    """Fit on (text, lang) rows with non-null lang, at most about ``sample`` of them (a fixed bound)."""
-    rows = sampled(rows.where("lang is not null").select("text", "lang"), sample, F.col("text"))
+def train(rows: DataFrame, *, sample: int = 2000, min_share: float = 0.004, keep_ratio: float = 0.3) -> LanguageModel:
+    """Fit on (text, lang) rows with non-null lang, about ``sample`` of each language at most (a fixed bound).
+
+    A column ``doc_id`` only spreads the sample, so that copies of a text are not all chosen together.
+    """
+    rows = rows.where("lang is not null").select("text", "lang", *(["doc_id"] if "doc_id" in rows.columns else []))
+    rows = staged(sampled(rows, "lang", sample).select("text", "lang"), "language-sample")
+    rows = spread(rows)
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     width = (len(languages) + 63) // 64
@@ -124,14 +132,19 @@ def train(rows: DataFrame, *, sample: int = 8000, min_share: float = 0.004, keep
                     h, owner, _ = ngrams(texts)
                     code = {x: i for i, x in enumerate(languages)}
                     lang = np.array([code[x] for x in names[first : first + len(texts)]])
-                    once = np.unique(np.stack([owner.astype(np.uint64), h]), axis=1) if len(h) else np.empty((2, 0), np.uint64)
+                    order = np.lexsort((owner, h))
+                    h, owner = h[order], owner[order]
+                    fresh = np.ones(len(h), bool)
+                    fresh[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+                    h, of = h[fresh], lang[owner[fresh]]  # each n-gram once for each text
                     for i in np.unique(lang):
-                        gram, n = np.unique(once[1][lang[once[0].astype(np.int64)] == i], return_counts=True)
+                        gram, n = np.unique(h[of == i], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), i, np.int32)), pa.array(gram.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
         found = rows.mapInArrow(presence, "lang int, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         share = F.col("n") / F.element_at(F.array(*(F.lit(float(sizes[x])) for x in languages)), F.col("lang") + 1)
-        found = found.withColumn("share", share).where((F.col("n") >= 2) & (F.col("share") >= min_share))
+        # an n-gram of one text alone counts only where the language has no other text
+        found = found.withColumn("share", share).where(((F.col("n") >= 2) | (F.col("share") == 1)) & (F.col("share") >= min_share))
         top = found.groupBy("gram").agg(F.max("share").alias("top"))
         kept = found.join(top, "gram").where(F.col("share") >= keep_ratio * F.col("top"))
         low = (1 << SLOT_BITS) - 1

@@ -13,6 +13,7 @@ Null and empty texts are one empty line, scored like any other. Without training
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -118,7 +119,6 @@ class LineField:
         """Adam on the mean conditional log-likelihood of the line labels."""
         if not len(sizes):
             return cls()
-        x = np.asarray(x, np.float64)
         theta = np.zeros(2 * (FEATURES + 1) + 4)
         truth = np.eye(2)[label]
         first = np.zeros(len(label), bool)
@@ -147,18 +147,30 @@ class LineField:
         return np.clip(np.add.reduceat(marginal[:, 1] * weight, starts) / np.add.reduceat(weight, starts), 0, 1)
 
 
-def train(rows: DataFrame, *, sample: int = 4000, max_lines: int = 400) -> LineField:
-    """Fit on (text, label) rows, label 1 good and 0 bad: about ``sample`` at most, of up to ``max_lines`` lines each."""
+def window_of(text: str, max_lines: int) -> np.ndarray:
+    """Own features of up to ``max_lines`` neighbouring lines of a whole text, from a place that its hash chooses."""
+    own = line_features(text)[0]
+    spare = len(own) - max_lines
+    at = zlib.crc32(text.encode()) % (spare + 1) if spare > 0 else 0
+    return own[at : at + max_lines]
+
+
+def train(rows: DataFrame, *, sample: int = 2000, max_lines: int = 200) -> LineField:
+    """Fit on (text, label) rows, label 1 good and 0 bad: about ``sample`` at most of each label.
+
+    A longer document takes part with ``max_lines`` neighbouring lines; the bounds hold the driver's share, two
+    labels of ``sample`` documents of ``max_lines`` lines, below 150 MB.
+    """
 
     def features(batches):
         for batch in batches:
             label = batch.column(1).to_pylist()
             for first, texts in text_slices(batch):
-                found = [line_features(t)[0].reshape(-1).tolist() for t in texts]
+                found = [window_of(t, max_lines).reshape(-1).tolist() for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(label[first : first + len(texts)], pa.int32()), pa.array(found, pa.list_(pa.float32()))], names=["label", "own"])
 
-    rows = rows.where("label in (0, 1)").select("text", F.col("label").cast("int").alias("label"))
-    rows = sampled(rows.where(F.size(F.split(F.coalesce("text", F.lit("")), "\n")) <= max_lines), sample, F.col("text"))
+    rows = rows.where("label in (0, 1)").select("text", F.col("label").cast("int").alias("label"), *(["doc_id"] if "doc_id" in rows.columns else []))
+    rows = sampled(rows, "label", sample).select("text", "label")
     found = rows.mapInArrow(features, "label int, own array<float>").toArrow()  # bounded by sample and max_lines
     own = [np.asarray(x, np.float32).reshape(-1, OWN) for x in found.column("own").to_numpy()]
     sizes = np.array([len(x) for x in own], np.int64)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumlab.llm import chat, decontaminate, language, packing, quality, rules, secrets, simhash, substrings, token_files
-from quorumlab.llm.shared import crc_fold, sampled, staged, table
+from quorumlab.llm.shared import crc_fold, documents, sampled, staged, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -18,49 +18,49 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     held_out = F.coalesce(crc_fold("doc_id", 4) == 2, F.lit(False))
     model = language.train(docs.where(~held_out))
     return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.token_files_report(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return token_files.token_files_report(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return secrets.scan(docs, secrets.train(docs))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     held_out = F.coalesce(crc_fold("doc_id", 5) == 0, F.lit(False))
     labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col("quality").alias("label"))
-    labels = staged(sampled(labels, 4000, F.col("doc_id")), "label-sample")
-    field = quality.train(docs.select("doc_id", "text").join(labels, "doc_id").select("text", "label"))
+    labels = staged(sampled(labels, "label", 2000), "label-sample")
+    field = quality.train(docs.select("doc_id", "text").join(labels, "doc_id"))
     predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0)
     return quality.scored(docs, field).select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_bytes(table(spark, sf_dir, "documents"))
+    return substrings.repeated_bytes(documents(spark, sf_dir))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.verdicts(table(spark, sf_dir, "documents"))
+    return rules.verdicts(documents(spark, sf_dir))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Quality rules whose thresholds follow each language and source.
 
-Word and line counts are exact and per document. Their ratios go into mergeable KLL quantile sketches
-per (language, source), per language and over all rows; the fences around the middle half of a
-group's values replace fixed cutoffs. Groups of fewer than ``least`` rows take their language's
-fences, small languages those of all rows. The table of fences (a row per language and source) is then
-joined to the documents.
+Word and line counts are exact and per document. Their ratios go into mergeable quantile sketches per
+(language, source): counts of values by bins whose bounds grow by ``GROWTH``, so a quantile is within one
+per cent of its value, sketches merge by adding counts, and two runs agree. Fences around the middle half of
+a group's values replace fixed cutoffs. A group's quartiles are drawn towards those of its language, and a
+language's towards those of all rows, with the weight of ``prior`` rows, so that small groups follow the
+larger ones without a jump. The table of fences (a row per language and source) is then joined to the
+documents.
 
 A document is rejected if it fails a base rule (fewer than 50 words, or more than half of its words in
 repeated three-word windows) or lies beyond a fence. Null and empty texts have no words and fail the
@@ -13,9 +15,11 @@ base rule. Null languages and sources are groups of their own. Empty tables give
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlab.llm.shared import ASCII_SPACE, staged, text_slices
@@ -27,6 +31,8 @@ SYMBOLS = "#*$%&|<>"
 #: Ratio, the least width that its middle half counts as, and whether small values are rejected too.
 RATIOS = (("word_length", 0.5, True), ("symbols", 0.02, False), ("dup_lines", 0.1, False), ("repeats", 0.1, False))
 QUARTERS = (0.25, 0.75)
+#: Ratio of a bin's bounds, and the bin of 0.
+GROWTH, LOWEST = 1.02, -(1 << 20)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -85,32 +91,55 @@ def base_failed() -> Column:
     return (F.col(OWN + "n_words") < 50) | (100 * F.col(OWN + "n_repeat_words") > 50 * F.col(OWN + "n_words"))
 
 
-def fences(counted: DataFrame, *, least: int = 200, reach: float = 4.0) -> DataFrame:
-    """(lang, source, low and high of each ratio) from sketches over the rows that pass the base rules."""
-    rows = counted.where(~base_failed()).select("lang", "source", *(v.alias(k) for k, v in ratios().items()))
-    sketches = rows.groupBy("lang", "source").agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(k).alias(k) for k, _, _ in RATIOS))
+def bin_of(value: Column) -> Column:
+    """Bin of a value; 0 is a bin of its own below all others."""
+    return F.when(value > 0, F.ceil(F.log(value) / F.lit(math.log(GROWTH)))).otherwise(F.lit(LOWEST)).cast("int")
 
-    def merged(keys: list[str], suffix: str) -> DataFrame:
-        return sketches.groupBy(*keys).agg(F.sum("n").alias(f"n{suffix}"), *(F.kll_merge_agg_double(k).alias(k + suffix) for k, _, _ in RATIOS))
 
-    sketches = staged(sketches, "rule-sketches")
-    edges = {f"{k}{q}": F.kll_sketch_get_quantile_double(f"{k}_all", F.lit(q)) for k, _, _ in RATIOS for q in QUARTERS}
-    overall = merged([], "_all").select(*(F.when(F.col("n_all") > 0, v).alias(k) for k, v in edges.items())).first()  # one row of eight numbers
-    by_lang = merged(["lang"], "_lang").withColumnRenamed("lang", "of_lang")
-    whole = sketches.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")), "left")
-    out = ["lang", "source"]
-    for k, width, both in RATIOS:
+def value_of(place: Column) -> Column:
+    """The middle of a bin."""
+    return F.when(place > LOWEST, F.lit(2 / (GROWTH + 1)) * F.pow(F.lit(GROWTH), place)).otherwise(0.0)
+
+
+def sketched(counted: DataFrame) -> DataFrame:
+    """(lang, source, ratio, bin, n): the sketches over the rows that pass the base rules.
+
+    A group has one row for each of at most some thousand bins of a ratio, whatever its size.
+    """
+    each = F.array(*(F.struct(F.lit(k).alias("ratio"), bin_of(v).alias("bin")) for k, v in ratios().items()))
+    rows = counted.where(~base_failed()).select("lang", "source", F.explode(each).alias("r")).select("lang", "source", "r.*")
+    return rows.groupBy("lang", "source", "ratio", "bin").agg(F.count(F.lit(1)).alias("n"))
 
-        def edge(q: float, k: str = k) -> Column:
-            own, lang = (F.kll_sketch_get_quantile_double(c, F.lit(q)) for c in (k, f"{k}_lang"))
-            return F.when(F.col("n") >= least, own).when(F.col("n_lang") >= least, lang).otherwise(F.lit(overall[f"{k}{q}"]))
 
-        q1, q3 = map(edge, QUARTERS)
-        spread = reach * F.greatest(q3 - q1, F.lit(width))
-        out.append((q3 + spread).alias(f"{OWN}high_{k}"))
+def quartiles(sketches: DataFrame, keys: list[str], suffix: str) -> DataFrame:
+    """(keys, ratio, n, q1, q3) of the sketches merged by ``keys``: the first bins that hold a quarter and three quarters."""
+    merged = sketches.groupBy(*keys, "ratio", "bin").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy(*keys, "ratio")
+    below, total = F.sum("n").over(whole.orderBy("bin")), F.sum("n").over(whole)
+    placed = merged.select(*keys, "ratio", "bin", below.alias("below"), total.alias("total"))
+    edges = [F.min(F.when(F.col("below") >= q * F.col("total"), F.col("bin"))) for q in QUARTERS]
+    return placed.groupBy(*keys, "ratio").agg(F.max("total").alias(f"n{suffix}"), *(value_of(e).alias(f"q{i}{suffix}") for i, e in enumerate(edges)))
+
+
+def fences(counted: DataFrame, *, prior: int = 20, reach: float = 4.0) -> DataFrame:
+    """(lang, source, low and high of each ratio), a row for each language and source."""
+    sketches = staged(sketched(counted), "rule-sketches")
+    own, by_lang, overall = (quartiles(sketches, keys, x) for keys, x in ((["lang", "source"], ""), (["lang"], "_lang"), ([], "_all")))
+    by_lang = by_lang.withColumnRenamed("lang", "of_lang").withColumnRenamed("ratio", "of_ratio")
+    whole = own.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("ratio") == F.col("of_ratio"))).join(overall, "ratio")
+
+    def drawn(own: Column, n: Column, towards: Column) -> Column:
+        return (n * own + prior * towards) / (n + prior)
+
+    edge = [drawn(F.col(f"q{i}"), F.col("n"), drawn(F.col(f"q{i}_lang"), F.col("n_lang"), F.col(f"q{i}_all"))) for i in range(2)]
+    whole = whole.select("lang", "source", "ratio", edge[0].alias("q1"), edge[1].alias("q3"))
+    out = []
+    for k, width, both in RATIOS:
+        spread = reach * F.greatest(F.col("q3") - F.col("q1"), F.lit(width))
+        out.append(F.max(F.when(F.col("ratio") == k, F.col("q3") + spread)).alias(f"{OWN}high_{k}"))
         if both:
-            out.append((q1 - spread).alias(f"{OWN}low_{k}"))
-    return whole.select(*out)
+            out.append(F.max(F.when(F.col("ratio") == k, F.col("q1") - spread)).alias(f"{OWN}low_{k}"))
+    return whole.groupBy("lang", "source").agg(*out)
 
 
 def beyond() -> Column:
@@ -129,10 +158,10 @@ def with_fences(counted: DataFrame, table: DataFrame) -> DataFrame:
     return counted.join(table, same, "left")
 
 
-def verdicts(docs: DataFrame, *, least: int = 200, reach: float = 4.0) -> DataFrame:
+def verdicts(docs: DataFrame, *, prior: int = 20, reach: float = 4.0) -> DataFrame:
     """Per row: doc_id, the counts, base_failed and kept."""
     counted = staged(measured(docs, ["doc_id", "lang", "source"]), "rule-counts")
-    table = staged(fences(counted, least=least, reach=reach), "rule-fences")
+    table = staged(fences(counted, prior=prior, reach=reach), "rule-fences")
     return with_fences(counted, table).select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         *(F.col(f"{OWN}{c}").alias(c) for c in COUNTS if c != "n_lines"),
@@ -141,7 +170,8 @@ def verdicts(docs: DataFrame, *, least: int = 200, reach: float = 4.0) -> DataFr
     )
 
 
-def kept_documents(docs: DataFrame, *, least: int = 200, reach: float = 4.0) -> DataFrame:
+def kept_documents(docs: DataFrame, *, prior: int = 20, reach: float = 4.0) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns."""
-    table = staged(fences(measured(docs, ["lang", "source"]), least=least, reach=reach), "rule-fences")
-    return with_fences(measured(docs, docs.columns), table).where(~base_failed() & ~beyond()).select(*docs.columns)
+    counted = staged(measured(docs, docs.columns), "rule-counts")  # texts are measured once
+    table = staged(fences(counted, prior=prior, reach=reach), "rule-fences")
+    return with_fences(counted, table).where(~base_failed() & ~beyond()).select(*docs.columns)

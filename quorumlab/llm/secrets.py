@@ -14,7 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from functools import reduce
+from itertools import accumulate
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CODES = np.zeros(128, np.int64)
 CODES[[ord(c) for c in SYMBOLS]] = np.arange(len(SYMBOLS)) + 1
 WIDTH = len(SYMBOLS) + 1  # 0: before the first character
+#: Even share of the transitions of each model.
+RANDOM_EVEN, ORDINARY_EVEN = 0.5, 0.02
 
 Span = tuple[int, int, int]  # start, kind, end
 
@@ -51,10 +57,13 @@ def pattern_spans(text: str) -> list[Span]:
 
 
 def free_runs(text: str, taken: list[Span]) -> list[tuple[int, int]]:
+    """Runs that overlap no span of ``taken``, which is sorted by start."""
     runs = [m.span() for m in RUN.finditer(text)]
-    if taken and runs:
-        runs = [(a, b) for a, b in runs if all(e <= a or b <= s for s, _, e in taken)]
-    return runs
+    if not (taken and runs):
+        return runs
+    starts, reach = [s for s, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
+    before = [bisect_left(starts, b) for _, b in runs]  # spans that start before the run's end
+    return [(a, b) for (a, b), n in zip(runs, before, strict=True) if not n or reach[n - 1] <= a]
 
 
 def secret_values(text: str, spans: list[Span]) -> list[str]:
@@ -81,20 +90,24 @@ def pair_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class MarkovPair:
     ratio: np.ndarray | None  # log P(random) - log P(ordinary) of each transition
-    margin: float = 0.5
+    margin: float = 0.3
 
     @classmethod
     def fit(cls, random: np.ndarray, ordinary: np.ndarray, margin: float) -> MarkovPair:
-        """From transition counts, smoothed towards the following character's own frequency."""
+        """From transition counts, smoothed towards the following character's own frequency and an even share.
+
+        The labelled secrets of a corpus may come from few alphabets, so half of the random model is even.
+        """
         if not random.sum() or not ordinary.sum():
             return cls(None, margin)
 
-        def logs(counts: np.ndarray) -> np.ndarray:
+        def logs(counts: np.ndarray, even: float) -> np.ndarray:
             table = counts.reshape(WIDTH, WIDTH).astype(float)
             single = (table.sum(axis=0) + 0.05) / (table.sum() + 0.05 * WIDTH)
-            return np.log((table + 4 * single) / (table.sum(axis=1, keepdims=True) + 4)).reshape(-1)
+            learned = (table + 4 * single) / (table.sum(axis=1, keepdims=True) + 4)
+            return np.log((1 - even) * learned + even / WIDTH).reshape(-1)
 
-        return cls(logs(random) - logs(ordinary), margin)
+        return cls(logs(random, RANDOM_EVEN) - logs(ordinary, ORDINARY_EVEN), margin)
 
     def spans(self, texts: list[str], bases: list[list[Span]]) -> list[list[Span]]:
         found: list[list[Span]] = [[] for _ in texts]
@@ -111,8 +124,8 @@ class MarkovPair:
         return found
 
 
-def train(docs: DataFrame, *, sample: int = 20_000, margin: float = 0.5) -> MarkovPair:
-    """Fit both models on about ``sample`` documents at most (a fixed bound)."""
+def train(docs: DataFrame, *, sample: int = 10_000, margin: float = 0.3) -> MarkovPair:
+    """Fit both models on about ``sample`` documents at most that name a kind of secret, and as many others."""
 
     def transitions(batches):
         counts = np.zeros((2, WIDTH * WIDTH), np.int64)
@@ -126,7 +139,10 @@ def train(docs: DataFrame, *, sample: int = 20_000, margin: float = 0.5) -> Mark
         at = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at[0].astype(np.int32)), pa.array(at[1].astype(np.int32)), pa.array(counts[at])], names=["model", "pair", "n"])
 
-    rows = sampled(docs.where("text is not null").select("text"), sample, F.col("text"))
+    low = F.lower("text")
+    names = reduce(or_, (F.contains(low, F.lit(w)) for w in ("password", "passwd", "secret", "token", "api_key", "apikey", "akia")))
+    rows = docs.where("text is not null").select("text", names.alias("names"), *(["doc_id"] if "doc_id" in docs.columns else []))
+    rows = sampled(rows, "names", sample).select("text")
     counts = np.zeros((2, WIDTH * WIDTH))
     for r in rows.mapInArrow(transitions, "model int, pair int, n bigint").groupBy("model", "pair").agg(F.sum("n").alias("n")).collect():
         counts[r["model"], r["pair"]] = r["n"]  # WIDTH squared for each model at most

@@ -23,13 +23,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
+def spread(df: DataFrame, task_bytes: int = 8 << 20) -> DataFrame:
+    """``df``, dealt out to all cores if it is too small to fill them (such as a file of one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * task_bytes else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a temporary folder is taken.
+    Only a session on one machine that names none gets a temporary folder; elsewhere that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -72,13 +85,28 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def sampled(df: DataFrame, rows: int, key) -> DataFrame:
-    """About ``rows`` rows at most, chosen by a hash of ``key``; all rows if there are no more."""
-    n = df.count()
-    if n <= rows:
-        return df
-    whole = 1 << 48
-    return df.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(whole)) < rows * whole // n)
+def sampled(df: DataFrame, kind: str, rows: int) -> DataFrame:
+    """About ``rows`` rows at most of each value of the column ``kind``, chosen by a hash of the whole row.
+
+    All rows of a kind that has no more, so that rare kinds stay whole. One pass over all rows counts them.
+    """
+    total, of = unused(df, "__total"), unused(df, "__kind")
+    sizes = df.groupBy(F.col(kind).alias(of)).agg(F.count(F.lit(1)).alias(total))
+    whole = 1 << 40
+    chosen = F.pmod(F.xxhash64(*df.columns, F.lit(7)), F.lit(whole)) * F.col(total) < rows * whole
+    return df.join(sizes, F.col(kind).eqNullSafe(F.col(of))).where((F.col(total) <= rows) | chosen).select(*df.columns)
+
+
+def joined_by_hot(rows: DataFrame, named: DataFrame, key: str, counts: DataFrame, share: int = 64) -> DataFrame:
+    """``rows`` joined with ``named`` (one row for each ``key``), keys that hold over 1 / ``share`` of all rows apart.
+
+    ``counts``: key, n (rows of it). There are fewer than ``share`` such hot keys, so their rows of ``named`` are
+    broadcast and the rows of a hot key stay where they are.
+    """
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(counts.where(F.col("n") * share > total).select(key))  # fewer than ``share`` rows
+    few = F.broadcast(named.join(hot, key, "left_semi"))
+    return rows.join(few, key).unionByName(rows.join(hot, key, "left_anti").join(named, key))
 
 
 def crc_fold(column: str, modulus: int):

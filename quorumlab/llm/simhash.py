@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlab.llm.near_copies import near_copies
-from quorumlab.llm.shared import drop_staged, staged, text_slices, unused
+from quorumlab.llm.shared import drop_staged, joined_by_hot, staged, text_slices, unused
 
 BITS = 64
 
@@ -195,12 +195,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, size: int = 3, budget: int = 2, limit: int = 1000) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of ``docs``."""
     rows = staged(fingerprints(docs, size), "fingerprints")
-    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    distinct = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     joined = components(links(distinct.select("fp"), budget, limit))
     named = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = staged(named.select("fp", "root").join(least, "root").select("fp", "component_id"), "fingerprint-components")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return joined_by_hot(rows, named, "fp", distinct.select("fp", "n")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, *, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -212,6 +212,8 @@ def deduplicated(docs: DataFrame, *, size: int = 5, similarity: float = 0.8) ->
     """
     kept, text = unused(docs, "__kept"), unused(docs, "__text")
     found = near_copies(docs, components, size=size, similarity=similarity).where("doc_id = component_id")
+    docs = docs.withColumn(text, F.xxhash64("text"))
     named = docs.join(found.select(F.col("doc_id").alias(kept)).distinct(), F.col("doc_id") == F.col(kept), "left_semi")
-    whole = named.unionByName(docs.where("doc_id is null")).withColumn(text, F.xxhash64("text"))
-    return whole.dropDuplicates(["doc_id", text]).drop(text)
+    # both are dealt by doc_id already, so texts are not shuffled again
+    nameless = docs.where("doc_id is null").dropDuplicates([text])
+    return named.dropDuplicates(["doc_id", text]).unionByName(nameless).drop(text)

@@ -19,7 +19,7 @@ first ``length`` bytes:
 Buckets hold ranges of hashes rather than of bytes, as only equality to a depth matters and hashes fill
 buckets evenly. The cover sample is a filter, where a false tie costs work and no more. Two open suffixes are
 equal if their bucket, 32 further bits of the same hash and a second, independent hash of 64 bits agree.
-With 64 buckets or more that is 102 bits; their number grows with the corpus, so that among the n windows of
+With 32 buckets or more that is 101 bits; their number grows with the corpus, so that among the n windows of
 any corpus a pair agrees by chance with probability n * ``bucket_items`` / 2**97: 1e-12 for 30 GB, 1e-9 for
 100 TB.
 
@@ -50,7 +50,7 @@ CHUNKS = "chunk bigint, ids array<bigint>, sizes array<int>, data binary"
 SENT = "bucket int, chunk bigint, low binary, check binary"
 BITS = "chunk bigint, bucket int, bits binary"
 #: Few corpora are so small that fewer buckets would do; more of them than cores keep all cores busy.
-LEAST_BUCKETS = 64
+LEAST_BUCKETS = 32
 
 
 class WindowHash:
@@ -302,7 +302,7 @@ def with_answers(chunks: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def repeated_bytes(
-    docs: DataFrame, *, length: int = 50, chunk_bytes: int = 8 << 20, bucket_items: int = 1 << 21, block_bytes: float = 1.25, least_buckets: int = LEAST_BUCKETS, hash_bits: int = 32
+    docs: DataFrame, *, length: int = 50, chunk_bytes: int = 4 << 20, bucket_items: int = 1 << 20, block_bytes: float = 1.25, least_buckets: int = LEAST_BUCKETS, hash_bits: int = 32
 ) -> DataFrame:
     """Per document row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 

@@ -6,7 +6,7 @@ whole files and stripes by their statistics, row groups by the row index and the
 large files are read stripe by stripe in parallel.
 
 Null text counts as empty (its ids are the end id alone). Null doc_ids sort first. Rows that share
-a doc_id are kept, ordered by their length and checksum. An empty table gives empty files and rows.
+a doc_id are kept, in the order of their length and checksum, in the files as in the report. An empty table gives empty files and rows.
 """
 
 from __future__ import annotations
@@ -37,8 +37,14 @@ def ended_ids(texts: list[str], path: str, drops_space: bool, end_id: int) -> tu
     return np.insert(ids, ends, end_id).astype(np.int32), ends + np.arange(1, len(ends) + 1)
 
 
+def sums(values: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """(number, CRC-32) of the ids of each list."""
+    crc = [zlib.crc32(np.ascontiguousarray(values[a:b], "<u4")) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    return pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())
+
+
 def encode_documents(docs: DataFrame, tokenizer: str, *, drops_space: bool = True, end_id: int = 2) -> DataFrame:
-    """(doc_id, ids) of every whole text, in the partitioning and order of ``docs``."""
+    """(doc_id, ids, n_tokens, ids_crc32) of every whole text, in the partitioning and order of ``docs``."""
 
     def encode(batches):
         for batch in batches:
@@ -46,17 +52,21 @@ def encode_documents(docs: DataFrame, tokenizer: str, *, drops_space: bool = Tru
                 ids, ends = ended_ids(texts, tokenizer, drops_space, end_id)
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(ids))], names=["doc_id", "ids"]
+                    [batch.column(0).slice(first, len(texts)), pa.ListArray.from_arrays(offsets, pa.array(ids)), *sums(ids, offsets.to_numpy())],
+                    names=["doc_id", "ids", "n_tokens", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(encode, FILE_SCHEMA)
+    fields = FILE_SCHEMA + ", n_tokens bigint, ids_crc32 bigint"
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(encode, fields)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, drops_space: bool = True, end_id: int = 2, stripe_bytes: int = 16 << 20, index_rows: int = 1000) -> str:
     """Encode and write all documents in ascending doc_id order; returns ``path``."""
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id")
     (
-        encode_documents(ordered, tokenizer, drops_space=drops_space, end_id=end_id)
+        encode_documents(dealt, tokenizer, drops_space=drops_space, end_id=end_id)
+        .sortWithinPartitions("doc_id", "n_tokens", "ids_crc32")
+        .select("doc_id", "ids")
         .write.option("orc.compress", "ZSTD")
         .option("orc.stripe.size", str(stripe_bytes))
         .option("orc.row.index.stride", str(index_rows))
@@ -78,12 +88,8 @@ def describe_token_files(spark: SparkSession, path: str) -> DataFrame:
     def digest(batches):
         for batch in batches:
             lists = batch.column(1)
-            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            sums = [zlib.crc32(np.ascontiguousarray(values[a:b], "<u4")) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(np.diff(offsets).astype(np.int64)), pa.array(sums, pa.int64())],
-                names=["doc_id", "file", "n_tokens", "ids_crc32"],
-            )
+            found = sums(lists.values.to_numpy(), lists.offsets.to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *found], names=["doc_id", "file", "n_tokens", "ids_crc32"])
 
     rows = read_token_files(spark, path).select("doc_id", "ids", F.col("_metadata.file_name").alias("file"))
     rows = staged(rows.mapInArrow(digest, "doc_id bigint, file string, n_tokens bigint, ids_crc32 bigint"), "token-digest")

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips and held-out labels."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quorumlab.llm import chat, decontaminate, language, packing, quality, queries, rules, secrets, simhash, substrings, token_files
 from quorumlab.llm.encoding import PieceEncoder
-from quorumlab.llm.shared import new_path
+from quorumlab.llm.shared import joined_by_hot, new_path
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Empty, blank, odd, repeated and long texts; null ids and texts; repeated rows.
@@ -76,6 +77,40 @@ def test_language_masks_hold_every_trained_ngram(spark):
     assert counts[0, x] > 0.9 * total[0] and counts[1, y] > 0.9 * total[1] and counts[2].max() < 0.1 * total[2]
 
 
+def naive_ngrams(text):
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    return Counter(f" {w} "[i : i + n] for w in words for n in (3, 4) for i in range(len(w) + 3 - n))
+
+
+def test_language_counts_against_sets_of_ngrams(spark):
+    """Every learned n-gram is found (a Bloom filter loses none), others at the filter's false rate."""
+    rng = random.Random(11)
+    texts = [("".join(rng.choices("abcdef     ", k=60)), "x") for _ in range(6)] + [("".join(rng.choices("defghi     ", k=60)), "y") for _ in range(4)] + [("rare words stay", "z")]
+    model = language.train(spark.createDataFrame(texts, "text string, lang string"), min_share=0.0, keep_ratio=0.0)
+    assert sorted(model.languages) == ["x", "y", "z"]
+    sets = {}
+    for lang in model.languages:
+        own = [set(naive_ngrams(t)) for t, x in texts if x == lang]
+        sets[lang] = {g for g in set().union(*own) if sum(g in s for s in own) >= min(2, len(own))}
+    probes = [t for t, _ in texts] + ["abc defg hi", "qqq rrr sss", "rare"]
+    h, owner, _ = language.ngrams(probes)
+    total, counts = model.counts(h, owner, len(probes))
+    for i, probe in enumerate(probes):
+        grams = naive_ngrams(probe)
+        assert total[i] == sum(grams.values())
+        for j, lang in enumerate(model.languages):
+            assert abs(counts[i, j] - sum(n for g, n in grams.items() if g in sets[lang])) < 0.5
+    names, score = model.predict(["rare words", "...", ""])
+    assert names == ["z", "und", "und"] and score[0] > 0.9
+
+
+def test_language_sample_keeps_rare_languages(spark):
+    """A language of three texts is learned beside one of many, with a small sample."""
+    rows = [(i, f"common words of the large language number {i}", "large") for i in range(400)] + [(1000 + i, "zwölf boxkämpfer jagen viktor quer über den deich", "small") for i in range(3)]
+    model = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample=50)
+    assert model.predict(["viktor jagen quer", "large language words"])[0] == ["small", "large"]
+
+
 def test_language_of_odd_rows(odd, empty, documents):
     model = language.train(documents)
     found = {(r["doc_id"], r["lang_pred"] == "und") for r in language.identify(odd, model).collect()}
@@ -116,7 +151,6 @@ def reference_ids(texts, name, end_id):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path(name))
-    tokenizer.encode_special_tokens = True
     return [[*e.ids, end_id] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -144,6 +178,38 @@ def test_token_files_of_odd_rows(spark, odd, empty):
     assert token_files.token_files_report(empty, queries.tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
+def test_token_files_of_repeated_ids(spark):
+    """``start`` is a row's place in the file, also among rows of one doc_id."""
+    rows = [(7, t) for t in ("one two three", "four", "four", "five six", None)] + [(3, "a b"), (None, "no id")]
+    path = token_files.write_token_files(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), new_path(spark, "t"), queries.tokenizer_path("word_bpe_49k.json"))
+    start, expected = 0, []
+    for r in token_files.read_token_files(spark, path).coalesce(1).orderBy(F.col("doc_id").asc_nulls_first(), F.input_file_name(), F.monotonically_increasing_id()).collect():
+        expected.append((r["doc_id"], start, len(r["ids"]), crc(r["ids"])))
+        start += len(r["ids"])
+    assert sorted(map(tuple, token_files.describe_token_files(spark, path).collect()), key=lambda r: r[1]) == expected
+
+
+def test_token_files_have_indexes_and_bloom_filters(spark, documents):
+    """The ORC footers themselves: integer run-length encoding, row index and Bloom filter of doc_id in every stripe."""
+    path = token_files.write_token_files(documents, new_path(spark, "t"), queries.tokenizer_path("word_bpe_49k.json"), stripe_bytes=1 << 16, index_rows=1000)
+    jvm = spark._jvm
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    files = {r["f"] for r in token_files.read_token_files(spark, path).select(F.input_file_name().alias("f")).distinct().collect()}
+    stripes = 0
+    for name in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(name), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        rows = reader.rows()
+        for i in range(reader.getStripes().size()):
+            footer = rows.readStripeFooter(reader.getStripes().get(i))
+            streams = [(x.getColumn(), x.getKind().toString()) for x in footer.getStreamsList()]
+            kinds = [x.getKind().toString() for x in footer.getColumnsList()]
+            assert (1, "ROW_INDEX") in streams and (1, "BLOOM_FILTER_UTF8") in streams and kinds[1] == kinds[3] == "DIRECT_V2"
+            stripes += 1
+        rows.close()
+    assert stripes >= len(files) > 0
+
+
 def check_packing(pieces, ids_of, window=1024):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for p in pieces:
@@ -230,6 +296,27 @@ def test_secret_scan(spark, documents, texts, odd, empty):
     assert secrets.scan(empty, secrets.train(empty)).count() == 0
 
 
+def test_free_runs_against_all_spans():
+    rng = random.Random(6)
+    for _ in range(300):
+        text = " ".join("x" * rng.randint(1, 40) for _ in range(12))
+        taken = sorted((a, 0, a + rng.randint(1, 30)) for a in rng.choices(range(len(text)), k=rng.randint(0, 6)))
+        runs = [m.span() for m in secrets.RUN.finditer(text)]
+        assert secrets.free_runs(text, taken) == [(a, b) for a, b in runs if all(e <= a or b <= s for s, _, e in taken)]
+
+
+def test_markov_spans_find_planted_secrets(spark, documents):
+    """Random strings that no pattern knows are found; long ordinary identifiers are left alone."""
+    rng = random.Random(8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["internationalization", "getCustomerAddress", "responsibilities", "misunderstanding", "electromagnetic", "characteristics", "notwithstanding", "straightforwardly", "telecommunication", "acknowledgements", "counterproductive", "interdisciplinary"]
+    random_ones = ["".join(rng.choices(letters, k=rng.randint(20, 40))) for _ in range(200)]
+    ordinary = ["-".join(rng.sample(words, 2)) for _ in range(200)]
+    rows = spark.createDataFrame([(i, f"see {x} here") for i, x in enumerate(random_ones + ordinary)], "doc_id bigint, text string")
+    found = {r["doc_id"] for r in secrets.scan(rows, secrets.train(documents)).where("n_markov > 0").collect()}
+    assert sum(i < 200 for i in found) >= 195 and sum(i >= 200 for i in found) <= 4
+
+
 # quality
 
 
@@ -263,6 +350,31 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(marginal, expected) and np.allclose(pairs, both)
 
 
+def test_scores_against_enumeration():
+    """A document's whole score: marginals by enumerating all labellings, weighted by line lengths."""
+    rng = np.random.default_rng(4)
+    field = quality.LineField(rng.normal(size=(quality.FEATURES + 1, 2)), rng.normal(size=(2, 2)))
+    texts = ["", "one line of words", "A!\n\nB $$$ 12\nsame\nsame", "x\n" * 5, "é ü\nlonger line with several words in it\n"]
+    for text, score in zip(texts, field.scores(texts), strict=True):
+        lines = text.split("\n")
+        state = field.state(quality.with_neighbours(quality.line_features(text)[0]))
+        total = good = 0.0
+        for m in range(1 << len(lines)):
+            path = [(m >> i) & 1 for i in range(len(lines))]
+            p = np.exp(sum(state[i, y] for i, y in enumerate(path)) + sum(field.edge[a, b] for a, b in zip(path, path[1:], strict=False)))
+            total += p
+            good += p * sum(max(1, len(x)) * y for x, y in zip(lines, path, strict=True)) / sum(max(1, len(x)) for x in lines)
+        assert np.isclose(score, good / total)
+
+
+def test_long_documents_take_part_in_training():
+    long = "\n".join(f"line {i} of a long document" for i in range(1000))
+    own = quality.window_of(long, 200)
+    whole = quality.line_features(long)[0]
+    assert own.shape == (200, quality.OWN) and any((whole[i : i + 200] == own).all() for i in range(801))
+    assert quality.window_of("a\nb", 200).shape[0] == 2
+
+
 def test_quality_of_odd_rows(odd, empty, spark):
     field = quality.train(spark.createDataFrame([("fine words here", 1), ("### $$$ &&&", 0), (None, 0)], "text string, label int"))
     rows = quality.scored(odd, field).collect()
@@ -363,6 +475,47 @@ def test_rule_counts(documents, texts, odd, empty):
     assert rules.kept_documents(odd).columns == odd.columns
 
 
+def naive_kept(rows, prior=20, reach=4.0):
+    """Verdicts by sorting all values of each group; ``rows``: (key, text, lang, source)."""
+    values, failed, groups = {}, {}, defaultdict(list)
+    for key, text, lang, source in rows:
+        n, chars, symbols, dup, repeat = naive_rules(text or "")
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
+        values[key] = (chars / max(n, 1), symbols / max(n, 1), dup / max(lines, 1), repeat / max(n, 1))
+        failed[key] = n < 50 or 100 * repeat > 50 * n
+        if not failed[key]:
+            for group in ((lang, source), (lang,), ()):
+                groups[group].append(values[key])
+
+    def quartile(group, k, q):
+        bins = sorted(math.ceil(math.log(v[k]) / math.log(1.02)) if v[k] > 0 else -math.inf for v in groups[group])
+        at = bins[math.ceil(q * len(bins)) - 1]
+        return 0.0 if at == -math.inf else 2 / 2.02 * 1.02**at
+
+    def edge(lang, source, k, q):
+        one, n_one, n = quartile((lang, source), k, q), len(groups[(lang, source)]), len(groups[(lang,)])
+        mid = (n * quartile((lang,), k, q) + prior * quartile((), k, q)) / (n + prior)
+        return (n_one * one + prior * mid) / (n_one + prior)
+
+    kept = {}
+    for key, _, lang, source in rows:
+        ok = not failed[key]
+        if ok:
+            for k, (width, both) in enumerate(((0.5, True), (0.02, False), (0.1, False), (0.1, False))):
+                low, high = edge(lang, source, k, 0.25), edge(lang, source, k, 0.75)
+                spread = reach * max(high - low, width)
+                ok = ok and values[key][k] <= high + spread and (not both or values[key][k] >= low - spread)
+        kept[key] = ok
+    return kept
+
+
+def test_rule_verdicts_against_sorted_values(documents):
+    docs = documents.where("doc_id % 10 <> 3").unionByName(documents.where("doc_id % 10 = 3").withColumn("lang", F.lit(None).cast("string")))
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
+    for n in (1, 5):  # the same verdicts in any partitioning
+        assert {r["doc_id"]: r["kept"] for r in rules.verdicts(docs.repartition(n)).collect()} == naive_kept(rows)
+
+
 def test_rules_follow_their_source(spark):
     """The same text is odd in a clean source and usual in one that is full of symbols."""
     rng = random.Random(2)
@@ -370,7 +523,7 @@ def test_rules_follow_their_source(spark):
     marked = lambda: " ".join(w + "##" for w in plain().split())
     rows = [(i, plain(), "en", "clean", 0) for i in range(300)] + [(1000 + i, marked(), "en", "code", 0) for i in range(300)] + [(5000, marked(), "en", "clean", 0)]
     rows = [(i, " ".join(f"{w}{j}" for j, w in enumerate(t.split())), *x) for i, t, *x in rows]
-    kept = {r["doc_id"] for r in rules.kept_documents(spark.createDataFrame(rows, DOC), least=100).collect()}
+    kept = {r["doc_id"] for r in rules.kept_documents(spark.createDataFrame(rows, DOC)).collect()}
     assert 5000 not in kept and len(kept) == 600
 
 
@@ -427,6 +580,24 @@ def test_trie_join_of_clusters(spark, limit):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_hot_keys_join_apart(spark):
+    """Two keys hold most rows; every row gets its name once."""
+    rows = spark.createDataFrame([(i, 1 if i % 2 else (2 if i % 4 else i)) for i in range(1200)], "doc_id bigint, fp bigint")
+    counts = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    named = counts.select("fp", (F.col("fp") * 10).alias("name"))
+    found = joined_by_hot(rows, named, "fp", counts, share=8)
+    assert found.count() == 1200 and found.where("name = fp * 10").count() == 1200
+    assert joined_by_hot(rows.where("false"), named.where("false"), "fp", counts.where("false")).count() == 0
+
+
+def test_one_group_of_copies_holds_most_rows(spark):
+    rows = [(i, "the same text of all copies") for i in range(900)] + [(1000 + i, f"another text number {i} with its own words {i * 7} {i * 13}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert len(found) == 960 and {found[i] for i in range(900)} == {0}
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(docs).collect())[0] == 0 and simhash.deduplicated(docs).where("doc_id < 900").count() == 1
+
+
 def test_simhash_of_odd_rows(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     zero = {r["component_id"] for r in rows if r["fingerprint"] == "0" * 16}
@@ -542,8 +713,73 @@ def test_chat_query_is_native(spark, sf_dir):
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = corpus_pipeline.run(spark, sf_dir)
     assert rows.count() > 0 and {"doc_id", "ids", "sequence_id"} <= set(rows.columns)
+
+
+def naive_near_copies(rows):
+    """doc_ids that stay of (doc_id, text): the smallest of each component of pairs at 0.8 of five-word shingles."""
+    sets = {}
+    for key, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sets[key] = {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)}
+    root = {k: k for k in sets}
+    keys = sorted(sets)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return set(root.values())
+
+
+def test_pipeline_stages_against_brute_force(spark, sf_dir, texts):
+    """Each stage on its own input: documents, odd rows, near copies and extra columns of clashing names."""
+    import corpus_pipeline
+
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    copies = base.where("length(text) > 900").limit(8).select((F.col("doc_id") + 100_000).alias("doc_id"), F.concat("text", F.lit(" tail")).alias("text"), "lang", "source", "n_chars")
+    odd_ones = spark.createDataFrame([(r[0] + 200_000 if r[0] is not None else 300_000 + i, *r[1:]) for i, r in enumerate(ODD)], DOC)
+    docs = base.unionByName(copies).unionByName(odd_ones).withColumn("__key", F.lit("clash")).withColumn("n_words", F.lit(-1))
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect()]
+        after = stage(spark, docs, sf_dir).persist()
+        assert after.columns == columns
+        kept = {r["doc_id"] for r in after.collect()}
+        if name == "quality_rules":
+            assert kept == {k for k, ok in naive_kept(before).items() if ok}
+        elif name == "simhash_dedup":
+            assert kept == naive_near_copies([r[:2] for r in before])
+        elif name == "decontamination":
+            assert kept == {k for k, t, *_ in before if not naive_contamination(t, items)[4]}
+        else:
+            hidden = {r["doc_id"]: r["text"] for r in after.collect()}
+            assert kept == {r[0] for r in before}
+            for k, t, *_ in before:
+                for a, _, b in naive_base(t):  # what is hidden is gone, what is not marked stays
+                    assert hidden[k].count(t[a:b]) < t.count(t[a:b])
+                assert hidden[k] != t or not naive_base(t)
+        docs = after
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    ids_of = dict(zip([r["doc_id"] for r in docs.collect()], reference_ids([r["text"] or "" for r in docs.collect()], "byte_bpe_50k.json", 0), strict=True))
+    assert check_packing(packed, ids_of) == 0
+
+
+def test_pipeline_stages_of_odd_and_empty_tables(spark, sf_dir, odd, empty):
+    """Nulls, repeated rows and empty tables pass every stage by themselves."""
+    import corpus_pipeline
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
+        assert stage(spark, odd, sf_dir).count() >= 0
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, sf_dir).columns == docs.columns
+        assert stage(spark, odd, sf_dir).columns == odd.columns
+
+
+def test_chats_of_very_long_texts(spark):
+    long = "word ###</turn> " * 40_000
+    rows = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (1, 2, None, None)], "conv_id bigint, turn bigint, role string, text string")
+    back = chat.read_back(chat.format_chats(chat.events_of(rows))).first()
+    assert [t["text"] for t in back["turns"]] == [long, long, ""] and back["loss_text"] == long
