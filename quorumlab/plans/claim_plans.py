@@ -80,22 +80,90 @@ def grounding_report(spark: SparkSession, d: str) -> DataFrame:
     return reasons.unionByName(status)
 
 
-@query()
+_SAME = "CASE {t} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in L.DEDUPE_SYNONYMS.items()) + " ELSE {t} END"
+_CUT = "CASE WHEN suffix(t, 'ing') AND length(t) > 5 THEN left(t, length(t) - 3) WHEN suffix(t, 'ed') AND length(t) > 4 THEN left(t, length(t) - 2) WHEN suffix(t, 's') AND length(t) > 4 THEN left(t, length(t) - 1) ELSE t END"
+
+
+def _d_dedupe_tokens(x: str) -> str:
+    words = f"regexp_extract_all(regexp_replace(lower({S.d_clean_ws(S.d_clean(x))}), '{L.FIELD_LABEL}', ' ', 'g'), '[a-z0-9]+')"
+    for step in (_SAME.format(t="t"), _CUT, _SAME.format(t="t")):
+        words = f"list_transform({words}, lambda t: {step})"
+    return f"list_distinct(list_filter({words}, lambda t: t NOT IN ({S._in((*L.DEDUPE_STOPWORDS, *L.DEDUPE_ACTION_WORDS))})))"
+
+
+#: The stand-in claims with each third one repeated in other words and joined with the one before it.
+_VARIED = "CASE claim_index % 3 WHEN 1 THEN 'Weaknesses: ' || upper(before_text) || ' should' WHEN 2 THEN claim_text || ' ' || before_text ELSE claim_text END"
+S.add_cte("varied", f"SELECT review_id, claim_index, {_VARIED} AS claim_text FROM (SELECT *, coalesce(lag(claim_text) OVER (PARTITION BY review_id ORDER BY claim_index), '') AS before_text FROM claims)", "claims")
+S.add_cte("numbered", f"SELECT review_id, claim_index, claim_text, {_d_dedupe_tokens('claim_text')} AS tk, row_number() OVER (PARTITION BY review_id ORDER BY claim_index) AS rn FROM varied", "varied")
+S.add_cte("greedy", """SELECT * FROM (WITH RECURSIVE walk AS (
+  SELECT review_id, 0::BIGINT AS rn, []::STRUCT(i BIGINT, tk VARCHAR[])[] AS kept FROM (SELECT DISTINCT review_id FROM numbered)
+  UNION ALL
+  SELECT w.review_id, n.rn, CASE WHEN len(list_filter(w.kept, lambda k: len(list_intersect(k.tk, n.tk)) > 0 AND len(list_intersect(k.tk, n.tk)) >= 0.8::DOUBLE * least(len(k.tk), len(n.tk))
+      AND len(list_intersect(k.tk, n.tk)) >= 0.6::DOUBLE * greatest(len(k.tk), len(n.tk)))) > 0 THEN w.kept ELSE list_append(w.kept, {'i': CAST(n.claim_index AS BIGINT), 'tk': n.tk}) END
+  FROM walk w JOIN numbered n ON n.review_id = w.review_id AND n.rn = w.rn + 1)
+SELECT review_id, arg_max(kept, rn)[1:8] AS kept FROM walk GROUP BY review_id)""", "numbered")
+S.add_cte("whole_claims", """SELECT review_id, list_filter(kept, lambda x: NOT (len(x.tk) >= 5
+  AND len(list_filter(kept, lambda k: k.i <> x.i AND len(list_intersect(x.tk, k.tk)) > 0 AND len(list_intersect(x.tk, k.tk)) >= 0.55::DOUBLE * least(len(x.tk), len(k.tk)))) >= 2
+  AND len(list_distinct(flatten(list_transform(list_filter(kept, lambda k: k.i <> x.i AND len(list_intersect(x.tk, k.tk)) > 0 AND len(list_intersect(x.tk, k.tk)) >= 0.55::DOUBLE * least(len(x.tk), len(k.tk))), lambda k: list_intersect(x.tk, k.tk))))) >= 0.75::DOUBLE * len(x.tk))) AS kept FROM greedy""", "greedy")
+
+
+@query(S.sql("SELECT review_id, claim_index, claim_text FROM (SELECT review_id, unnest(list_filter(kept, lambda x: NOT (len(x.tk) >= 2 AND len(list_filter(kept, lambda k: len(k.tk) > len(x.tk) AND len(list_intersect(x.tk, k.tk)) >= 0.85::DOUBLE * len(x.tk))) > 0))).i AS claim_index FROM whole_claims) JOIN varied USING (review_id, claim_index)", "whole_claims", "varied"))
 def dedupe_claims(spark: SparkSession, d: str) -> DataFrame:
-    return C.deduplicated(S.claims(spark, d))
-
-
-@query()
+    """Claims, some of them restated or joined, without their duplicates."""
+    before = F.coalesce(F.lag("claim_text").over(Window.partitionBy("review_id").orderBy("claim_index")), F.lit(""))
+    at, text = F.col("claim_index") % 3, F.col("claim_text")
+    rows = S.claims(spark, d).select("review_id", "claim_index", "claim_text", before.alias("before_text"))
+    varied = F.when(at == 1, F.concat(F.lit("Weaknesses: "), F.upper("before_text"), F.lit(" should"))).when(at == 2, F.concat_ws(" ", text, "before_text")).otherwise(text)
+    found = C.deduplicated(rows.select("review_id", "claim_index", varied.alias("claim_text")))
+    return found.select("review_id", F.col("claim_index").cast("bigint").alias("claim_index"), "claim_text")
+
+
+_WORDS_OF = "array_to_string(list_transform(string_split_regex(q, '[ \\t\\n\\r\\f]+'), lambda w: regexp_escape(w)), '\\s+')"
+_LINES = "length(left(field_text, {x})) - length(replace(left(field_text, {x}), chr(10), '')) + 1"
+
+
+@query(
+    S.sql(
+        f"""SELECT task_id, CAST(start AS INTEGER) AS start, CAST(CASE WHEN start < 0 THEN -1 ELSE start + n END AS INTEGER) AS stop, strategy,
+  CASE WHEN start >= 0 THEN CAST({_LINES.format(x="start")} AS INTEGER) END AS line_start, CASE WHEN start >= 0 THEN CAST({_LINES.format(x="start + n")} AS INTEGER) END AS line_end,
+  CASE WHEN start >= 0 THEN CAST(len(regexp_extract_all(left(field_text, start), '\\n{{2,}}')) AS INTEGER) END AS paragraph
+FROM (SELECT *, CASE WHEN q <> '' AND contains(field_text, q) THEN instr(field_text, q) - 1 WHEN q <> '' AND loose <> '' THEN instr(field_text, loose) - 1 ELSE -1 END AS start,
+  CASE WHEN contains(field_text, q) THEN length(q) ELSE length(loose) END AS n, CASE WHEN q <> '' AND contains(field_text, q) THEN 'exact' WHEN q <> '' AND loose <> '' THEN 'normalized' ELSE 'none' END AS strategy
+FROM (SELECT *, CASE WHEN q <> '' THEN regexp_extract(field_text, '(?i)' || {_WORDS_OF}) ELSE '' END AS loose FROM (SELECT *, {S.d_strip("quote")} AS q FROM candidates)))""",
+        "candidates",
+    )
+)
 def locate_source(spark: SparkSession, d: str) -> DataFrame:
     rows = _candidates(spark, d).select("task_id", "field_text", "quote")
     return C.located(rows).select("task_id", "start", "stop", "strategy", "line_start", "line_end", "paragraph")
 
 
-@query()
+#: Pages get headings: some open a section, some repeat the open one.
+_PAGED = "array_to_string([['Abstract', '1 Introduction to It', 'References', 'Appendix', 'no heading'][page_id % 5 + 1], {text}, 'B.2 More of It: part (two)', upper(left({text}, 40)), 'APPENDIX'], chr(10))"
+S.add_cte(
+    "page_lines",
+    f"""SELECT paper_id, page, pos, line, CASE WHEN starts_with(lower(line), 'abstract') THEN 'Abstract' WHEN starts_with(lower(line), 'appendix') THEN 'Appendix'
+  WHEN lower(line) IN ('references', 'acknowledgements', 'acknowledgments') THEN upper(left(line, 1)) || lower(substring(line, 2)) WHEN regexp_matches(line, '{L.SECTION_HEADING}') THEN line END AS opened
+FROM (SELECT paper_id, page, i AS pos, {S.d_clean("ls[i]")} AS line FROM (SELECT *, string_split(text, chr(10)) AS ls
+  FROM (SELECT 'p' || (page_id - page_id % 3) AS paper_id, page_id AS page, {_PAGED.format(text="t")} AS text FROM (SELECT *, {S.d_clean("html")} AS t FROM pages))), unnest(range(1, len(ls) + 1)) AS u(i)) WHERE line <> ''""",
+)
+S.add_cte("page_before", "SELECT *, coalesce(last_value(opened IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY page, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'Unknown') AS before FROM page_lines", "page_lines")
+S.add_cte("page_runs", "SELECT *, count(*) FILTER (turns) OVER (PARTITION BY paper_id ORDER BY page, pos) AS run, CASE WHEN turns THEN opened ELSE before END AS section FROM (SELECT *, coalesce(opened <> before, false) AS turns FROM page_before)", "page_before")
+S.add_cte("page_texts", "SELECT *, row_number() OVER (PARTITION BY paper_id, page, run ORDER BY pos) AS rn FROM page_runs WHERE NOT turns", "page_runs")
+S.add_cte("page_parts", """SELECT * FROM (WITH RECURSIVE walk AS (
+  SELECT paper_id, page, run, rn, section, line, length(line) AS held, 0 AS part FROM page_texts WHERE rn = 1
+  UNION ALL
+  SELECT t.paper_id, t.page, t.run, t.rn, t.section, t.line, CASE WHEN w.held + length(t.line) <= 1200 THEN w.held + length(t.line) ELSE length(t.line) END, w.part + CASE WHEN w.held + length(t.line) <= 1200 THEN 0 ELSE 1 END
+  FROM walk w JOIN page_texts t ON t.paper_id = w.paper_id AND t.page = w.page AND t.run = w.run AND t.rn = w.rn + 1)
+SELECT * FROM walk)""", "page_texts")
+
+
+@query(S.sql("SELECT paper_id, page, section, CASE WHEN contains(lower(section), 'appendix') THEN 'appendix' ELSE 'paper' END AS source_type, string_agg(line, chr(10) ORDER BY rn) AS body FROM page_parts GROUP BY paper_id, page, run, section, part", "page_parts"))
 def chunk_pages(spark: SparkSession, d: str) -> DataFrame:
-    pages = S.table(spark, d, "pages")
-    rows = pages.select(F.concat(F.lit("p"), F.col("page_id") - F.col("page_id") % 3).alias("paper_id"), F.col("page_id").alias("page"), T.clean_text("html").alias("text"))
-    return C.chunked_pages(rows)
+    pages = S.table(spark, d, "pages").withColumn("t", T.clean_text("html"))
+    opening = F.element_at(T.words_of(("Abstract", "1 Introduction to It", "References", "Appendix", "no heading")), (F.col("page_id") % 5 + 1).cast("int"))
+    text = F.concat_ws("\n", opening, "t", F.lit("B.2 More of It: part (two)"), F.upper(F.left("t", F.lit(40))), F.lit("APPENDIX"))
+    return C.chunked_pages(pages.select(F.concat(F.lit("p"), F.col("page_id") - F.col("page_id") % 3).alias("paper_id"), F.col("page_id").alias("page"), text.alias("text")))
 
 
 # joins of claims with other claims, labels, evidence and guidelines
@@ -118,12 +186,12 @@ def match_claim_sets(spark: SparkSession, d: str) -> DataFrame:
     return best.select("review_id", "a_index", "m.b_index", F.when(F.col("m.way") == 0, "text").otherwise("position").alias("how"))
 
 
-@query("SELECT doc_id, comment_id, linked, edits, n_edits FROM (SELECT l_orderkey AS doc_id, l_linenumber AS comment_id, l_quantity, l_partkey FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 3 = 0) c LEFT JOIN (SELECT o_orderkey, 1 AS cid, true AS linked_, o_orderstatus AS edits_, 1 AS n FROM orders WHERE o_orderstatus <> 'P') e ON doc_id = o_orderkey AND comment_id = cid, LATERAL (SELECT coalesce(linked_, false) AS linked, coalesce(edits_, '') AS edits, coalesce(n, 0) AS n_edits)")
+@query("SELECT doc_id, comment_id, linked, edits, n_edits FROM (SELECT l_orderkey AS doc_id, l_linenumber AS comment_id, l_quantity, l_partkey FROM lineitem ) c LEFT JOIN (SELECT o_orderkey, 1 AS cid, true AS linked_, o_orderstatus AS edits_, 1 AS n FROM orders WHERE o_orderstatus <> 'P') e ON doc_id = o_orderkey AND comment_id = cid, LATERAL (SELECT coalesce(linked_, false) AS linked, coalesce(edits_, '') AS edits, coalesce(n, 0) AS n_edits)")
 def join_edit_labels(spark: SparkSession, d: str) -> DataFrame:
     """Review comments with the edits made for them, and whether there are any."""
-    comments = S.table(spark, d, "lineitem").where("l_linenumber = 1 and l_partkey % 3 = 0").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("comment_id"))
-    edits = S.table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("doc_id"), F.array("o_orderstatus").alias("positive"))
-    rows = comments.join(edits, "doc_id", "left")
+    comments = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("comment_id"))
+    edits = S.table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("comment_id"), F.array("o_orderstatus").alias("positive"))
+    rows = comments.join(edits, ["doc_id", "comment_id"], "left")
     return rows.select("doc_id", "comment_id", F.col("positive").isNotNull().alias("linked"), F.coalesce(F.array_join("positive", " "), F.lit("")).alias("edits"), F.coalesce(F.size("positive"), F.lit(0)).alias("n_edits"))
 
 

@@ -126,11 +126,26 @@ def test_claims_are_deduplicated_in_order(spark):
     assert {r["claim_index"] for r in found.collect()} >= {0, 2} and 1 not in {r["claim_index"] for r in found.collect()}
 
 
+@pytest.mark.parametrize(
+    ("texts", "kept"),
+    [
+        (["The authors should clarify the training setup and report the impact of each module.", "The authors should clarify the training setup."], [0]),
+        (["The paper lacks any ablation study and does not compare to standard baselines.", "The review notes that there is no ablation and no standard baselines, which is a limitation to be addressed."], [0]),
+        (["Weaknesses: Proofs need more details", "proofs need detail", "", None], [0, 2, 3]),
+        (["Runtime memory figures are absent", "Licence terms remain unknown", "Runtime memory figures are absent while licence terms remain unknown"], [0, 1]),
+    ],
+)
+def test_duplicate_claims_go(spark, texts, kept):
+    rows = spark.createDataFrame([("r", i, t) for i, t in enumerate(texts)], "review_id string, claim_index int, claim_text string")
+    assert sorted(r["claim_index"] for r in claims.deduplicated(rows).collect()) == kept
+
+
 def test_quotes_are_located(spark):
-    assert claims.span_of("One two.\nThree  four.", "three four.") == (9, 21, "normalized")
-    rows = spark.createDataFrame([("t", "One two.\n\nThree  four.", "Three four.")], "task_id string, field_text string, quote string")
-    r = claims.located(rows).first()
-    assert (r["strategy"], r["line_start"], r["paragraph"]) == ("normalized", 3, 1)
+    cases = [("One two.\nThree  four.", "three four."), ("One two.\n\nThree  four.", "Three four."), ("a.b a+b (c)", " a+b "), ("x", "y"), (None, "y"), ("x", None), ("say A\\E  b", "a\\e B")]
+    rows = spark.createDataFrame([(str(i), *c) for i, c in enumerate(cases)], "task_id string, field_text string, quote string")
+    found = [(r["start"], r["stop"], r["strategy"], r["line_start"], r["paragraph"]) for r in claims.located(rows).orderBy("task_id").collect()]
+    none = (-1, -1, "none", None, None)
+    assert found == [(9, 21, "normalized", 2, 0), (10, 22, "normalized", 3, 1), (4, 7, "exact", 1, 0), none, none, none, (4, 10, "normalized", 1, 0)]
 
 
 def test_chunks_carry_their_section(spark):
