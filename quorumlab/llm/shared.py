@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: So many distinct values of a column are broadcast with their counts, and no more.
+FEW_KINDS = 10_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -91,7 +93,9 @@ def sampled(df: DataFrame, kind: str, rows: int) -> DataFrame:
     All rows of a kind that has no more, so that rare kinds stay whole. One pass over all rows counts them.
     """
     total, of = unused(df, "__total"), unused(df, "__kind")
-    sizes = df.groupBy(F.col(kind).alias(of)).agg(F.count(F.lit(1)).alias(total))
+    sizes = staged(df.groupBy(F.col(kind).alias(of)).agg(F.count(F.lit(1)).alias(total)), "kind-sizes")
+    if sizes.count() <= FEW_KINDS:
+        sizes = F.broadcast(sizes)  # else the rows are shuffled
     whole = 1 << 40
     chosen = F.pmod(F.xxhash64(*df.columns, F.lit(7)), F.lit(whole)) * F.col(total) < rows * whole
     return df.join(sizes, F.col(kind).eqNullSafe(F.col(of))).where((F.col(total) <= rows) | chosen).select(*df.columns)
