@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumlab.functions import lexicons as L
 from quorumlab.functions import text as T
 
 RECORD = ("task_id", "dataset", "dimension", "input_text", "context_text", "gold_label", "predicted_label", "mapped_score")
@@ -27,24 +28,44 @@ def record(df: DataFrame, **fields: Column) -> DataFrame:
     return df.select(*(fields[k].alias(k) for k in RECORD))
 
 
+def heuristic(row_text: Column, context: Column, dimension: str, gold: Column) -> Column:
+    """A label by the rules of its dimension where a corpus brings no prediction; other dimensions repeat the gold label."""
+    tokens, low = T.token_list(row_text), F.lower(context)
+    if dimension == "actionability":
+        return F.when(F.arrays_overlap(tokens, T.words_of(L.ACTION_TOKENS)), "actionable").otherwise("not_actionable")
+    if dimension == "specificity":
+        return F.when(F.arrays_overlap(tokens, T.words_of(L.SPECIFIC_TOKENS)), "specific").otherwise("vague")
+    if dimension == "substantiation":
+        return F.when(context != "", "substantiated").otherwise("unsubstantiated")
+    if dimension == "rebuttal_robustness":
+        settled = F.when(T.any_word(low, L.SETTLED_PHRASES), "resolved_or_weakened").when(T.any_word(low, L.HALF_SETTLED_PHRASES), "partially_addresses")
+        return settled.when(context != "", "generic_or_unclear").otherwise("not_addressed")
+    return gold
+
+
 def generic(df: DataFrame, dataset: str, dimension: str, labels: dict[str, tuple[str, float]]) -> DataFrame:
-    """Label, prediction, text and context by candidate column names; rows without text or known label are dropped."""
+    """Label, prediction, text and context by candidate column names; rows without text or known label are dropped.
+
+    A prediction that the corpus brings is used if its label is known, else ``heuristic`` gives one.
+    """
     text = column_of(df, ("input_text", "review_comment", "comment_text", "text", "claim"))
-    gold = F.lower(column_of(df, ("gold_label", "label", "stance", "actionability_label")))
-    names, scores = T.map_of({k: v[0] for k, v in labels.items()}), T.map_of({k: v[1] for k, v in labels.items()})
+    context = column_of(df, ("context_text", "rebuttal_text", "context"))
+    plain = lambda x: F.translate(F.lower(x), "- ", "__")
+    gold = plain(column_of(df, ("gold_label", "label", "stance", "actionability_label")))
+    names, scores = T.map_of({k: v[0] for k, v in labels.items()}), T.map_of({v[0]: v[1] for v in labels.values()})
     label = F.try_element_at(names, gold)
-    heuristic = F.when(F.length(text) % 2 == 0, list(labels.values())[0][0]).otherwise(list(labels.values())[-1][0])
-    guess = F.coalesce(F.nullif(column_of(df, ("predicted_label", "prediction")), F.lit("")), heuristic)
+    whole = F.concat_ws(" ", *(F.col(f"`{c}`").cast("string") for c in df.columns))
+    given = F.try_element_at(names, plain(column_of(df, ("predicted_label", "prediction"))))
     rows = record(
         df,
         task_id=F.concat_ws(":", F.lit(dataset), column_of(df, ("task_id", "id"))),
         dataset=F.lit(dataset),
         dimension=F.lit(dimension),
         input_text=text,
-        context_text=column_of(df, ("context_text", "rebuttal_text", "context")),
+        context_text=context,
         gold_label=label,
-        predicted_label=guess,
-        mapped_score=F.try_element_at(scores, gold),
+        predicted_label=F.coalesce(given, heuristic(whole, context, dimension, label)),
+        mapped_score=F.try_element_at(scores, label),
     )
     return rows.where((F.col("input_text") != "") & F.col("gold_label").isNotNull())
 

@@ -12,9 +12,9 @@ WEIGHTS = {"grounding": 0.15, "specificity": 0.15, "consensus": 0.18, "rebuttal"
 MODES = ("deterministic_proxy", "consensus_labels", "rebuttal_labels", "all_labels")
 
 
-def specificity() -> Column:
-    """From the claim's tokens, anchors, action words and vagueness."""
-    text, tokens = T.clean_text("claim_text"), T.concern_tokens("claim_text")
+def specificity(tokens: Column | None = None) -> Column:
+    """From the claim's tokens (or those given), anchors, action words and vagueness."""
+    text, tokens = T.clean_text("claim_text"), T.concern_tokens("claim_text") if tokens is None else tokens
     n = F.size(tokens)
     score = (
         F.least(F.lit(1.0), n / F.lit(18.0))
@@ -59,9 +59,17 @@ def scored(rows: DataFrame, consensus: Column, rebuttal: Column, meta: Column |
 
     ``consensus`` and ``rebuttal`` tell where labels replace the proxies; ``meta`` the meta-review label used.
     """
+    return weighed(with_texts(rows), consensus, rebuttal, meta)
+
+
+def with_texts(rows: DataFrame) -> DataFrame:
+    """The two signals that read texts; no label mode changes them."""
+    tokens = F.col("tokens") if "tokens" in rows.columns else None
+    return rows.withColumns({"s_grounding": F.when(T.clean_text("source_sentence") != "", 1.0).otherwise(0.0), "s_specificity": specificity(tokens)})
+
+
+def weighed(rows: DataFrame, consensus: Column, rebuttal: Column, meta: Column | None = None) -> DataFrame:
     signal = {
-        "grounding": F.when(T.clean_text("source_sentence") != "", 1.0).otherwise(0.0),
-        "specificity": specificity(),
         "consensus": consensus_signal(consensus),
         "rebuttal": rebuttal_signal(rebuttal),
         "discussion": F.when(F.col("discussion_label") == "followed_up", 0.70).otherwise(0.0),
@@ -105,9 +113,9 @@ def with_labels(signals: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def by_mode(rows: DataFrame) -> DataFrame:
-    """Every claim scored under each label mode, in one pass."""
-    modes = rows.withColumn("mode", F.explode(T.words_of(MODES)))
-    return scored(modes, F.col("mode").isin("consensus_labels", "all_labels"), F.col("mode").isin("rebuttal_labels", "all_labels"))
+    """Every claim scored under each label mode, in one pass; texts are read before rows multiply."""
+    modes = with_texts(rows).withColumn("mode", F.explode(T.words_of(MODES)))
+    return weighed(modes, F.col("mode").isin("consensus_labels", "all_labels"), F.col("mode").isin("rebuttal_labels", "all_labels"))
 
 
 def summarized(rows: DataFrame, key: str) -> DataFrame:

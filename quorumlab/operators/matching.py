@@ -1,7 +1,7 @@
 """Best matches of claims within their paper: meta-review, other reviewers, response and discussion.
 
-Every match joins on the paper only, over token sets computed once per row, and keeps the best partner
-by a partially aggregated maximum, so no group is sorted or gathered. Ties go to the earlier partner.
+Claims and segments meet in one join on the paper, over token sets computed once per row, and the best
+partners are partially aggregated maxima, so no group is sorted or gathered. Ties go to the earlier partner.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quorumlab.functions import lexicons as L
 from quorumlab.functions import text as T
+from quorumlab.sources.files import staged
 
 STRONG, PARTIAL = 0.34, 0.2
 RESOLVED = 0.3
@@ -31,89 +32,108 @@ def is_concern(claims: DataFrame) -> DataFrame:
     return claims.where(field.isin("weaknesses", "questions") | ((field == "review_text") & T.any_word(text, L.CONCERN_CUES)))
 
 
-def _best(pairs: DataFrame, keys: list[str], order: list[Column], payload: list[str]) -> DataFrame:
-    """The first of the highest-scoring partners of each key; negated order columns make smaller ones win."""
-    pick = F.max(F.struct("score", *order, *payload))
-    best = pairs.where("score > 0").groupBy(*keys).agg(pick.alias("best"))
-    return best.select(*keys, "best.score", *(F.col(f"best.{p}").alias(p) for p in payload))
+def prepared(claims: DataFrame) -> DataFrame:
+    """``claims`` with their three token sets, unless they have them."""
+    if "tokens" in claims.columns:
+        return claims
+    typed = F.concat_ws(" ", "claim_text", "claim_type")
+    return claims.withColumns({"tokens": T.concern_tokens("claim_text"), "source_tokens": T.concern_tokens("source_sentence"), "typed_tokens": T.concern_tokens(typed)})
 
 
-def match_segments(queries: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
-    """Best segment of the same paper for each query (keys, paper_id, basis, tokens); unmatched queries score 0.
+def pieces(segments: DataFrame) -> DataFrame:
+    """Segments with their token sets; ``closing`` ones tell survival: meta-reviews, or responses where a paper has none."""
+    if "found" in segments.columns:
+        return segments
+    judged = segments.where("note_type = 'meta_review'").select("paper_id", F.lit(True).alias("judged")).distinct()
+    rows = segments.select("paper_id", "note_type", "ord", "segment", T.concern_tokens("segment").alias("found")).join(judged, "paper_id", "left")
+    closing = F.when(F.col("judged"), F.col("note_type") == "meta_review").otherwise(F.col("note_type") == "author_response")
+    return rows.withColumn("closing", closing).drop("judged")
 
-    ``segments``: paper_id, ord, segment. Several queries of one key compete by basis number.
+
+def best_segments(claims: DataFrame, segments: DataFrame) -> DataFrame:
+    """Per claim its best closing segment over three queries, its best response and its best comment.
+
+    One join on the paper serves all of them; what a caller does not select is not computed. The higher score
+    wins, then the earlier query, then the earlier segment; scores of 0 do not count.
     """
-    pieces = segments.select("paper_id", "ord", "segment", T.concern_tokens("segment").alias("found"))
-    pairs = queries.join(pieces, "paper_id").withColumn("score", T.overlap_score(F.col("tokens"), F.col("found")))
-    best = _best(pairs, keys, [(-F.col("basis")).alias("b"), (-F.col("ord")).alias("o")], ["basis", "segment"])
-    rows = queries.select(*keys).distinct().join(best, keys, "left")
-    return rows.withColumn("score", F.coalesce("score", F.lit(0.0)))
+    queries = prepared(claims).select("task_id", "paper_id", "tokens", "source_tokens", "typed_tokens")
+    pairs = queries.join(pieces(segments), "paper_id").withColumn("plain", T.overlap_score(F.col("tokens"), F.col("found")))
+
+    def candidate(score: Column, basis: int, of: Column) -> Column:
+        return F.when(of & (score > 0), F.struct(score.alias("score"), F.lit(-basis).alias("b"), (-F.col("ord")).alias("o"), "segment"))
+
+    plain, closing = F.col("plain"), F.col("closing")
+    others = [T.overlap_score(F.col(q), F.col("found")) for q in ("source_tokens", "typed_tokens")]
+    ended = F.greatest(candidate(plain, 0, closing), *(candidate(x, i + 1, closing) for i, x in enumerate(others)))
+    return pairs.groupBy("task_id").agg(
+        F.max(ended).alias("ended"),
+        F.max(candidate(plain, 0, F.col("note_type") == "author_response")).alias("response"),
+        F.max(candidate(plain, 0, F.col("note_type") == "official_comment")).alias("comment"),
+    )
 
 
-def survival_segments(segments: DataFrame) -> DataFrame:
-    """Meta-review segments, or author responses where a paper has no meta-review."""
-    meta = segments.where("note_type = 'meta_review'")
-    papers = meta.select("paper_id").distinct()
-    return meta.unionByName(segments.where("note_type = 'author_response'").join(papers, "paper_id", "left_anti"))
+def _score(name: str) -> Column:
+    return F.coalesce(F.col(f"{name}.score"), F.lit(0.0))
 
 
-def survival(claims: DataFrame, segments: DataFrame) -> DataFrame:
-    """Per claim: label, score and basis of its best match over three query texts."""
-    texts = F.array(
-        F.struct(F.lit(0).alias("basis"), F.col("claim_text").alias("text")),
-        F.struct(F.lit(1).alias("basis"), F.col("source_sentence").alias("text")),
-        F.struct(F.lit(2).alias("basis"), F.concat_ws(" ", "claim_text", "claim_type").alias("text")),
-    )
-    queries = claims.select("task_id", "paper_id", F.explode(texts).alias("q"))
-    queries = queries.select("task_id", "paper_id", "q.basis", T.concern_tokens("q.text").alias("tokens"))
-    best = match_segments(queries, segments, ["task_id"])
-    basis = F.when(F.col("basis") == 0, "claim_text").when(F.col("basis") == 1, "source_sentence").when(F.col("basis") == 2, "claim_plus_type")
-    return best.select(
-        "task_id",
-        survival_label(F.col("score")).alias("survival_label"),
-        T.round4(F.col("score")).alias("survival_score"),
-        F.coalesce(basis, F.lit("")).alias("match_basis"),
-        F.coalesce("segment", F.lit("")).alias("matched_segment"),
-    )
+def _survival() -> list[Column]:
+    score, basis = _score("ended"), F.col("ended.b")
+    named = F.when(basis == 0, "claim_text").when(basis == -1, "source_sentence").when(basis == -2, "claim_plus_type")
+    return [
+        survival_label(score).alias("survival_label"),
+        T.round4(score).alias("survival_score"),
+        F.coalesce(named, F.lit("")).alias("match_basis"),
+        F.coalesce("ended.segment", F.lit("")).alias("matched_segment"),
+    ]
+
 
+def _rebuttal() -> list[Column]:
+    score = _score("response")
+    cue = F.arrays_overlap(F.split(F.lower(T.clean_text("response.segment")), r"[ \t\n\r\f]+"), T.words_of(L.RESOLUTION_CUES))
+    label = F.when(score < PARTIAL, "not_addressed").when((score >= RESOLVED) & cue, "likely_resolved_or_answered").otherwise("addressed_unclear_resolution")
+    return [label.alias("rebuttal_label"), T.round4(score).alias("rebuttal_score")]
 
-def _one_query(claims: DataFrame) -> DataFrame:
-    return claims.select("task_id", "paper_id", F.lit(0).alias("basis"), T.concern_tokens("claim_text").alias("tokens"))
+
+def _discussion() -> list[Column]:
+    score = _score("comment")
+    return [F.when(score >= PARTIAL, "followed_up").otherwise("not_found").alias("discussion_label"), T.round4(score).alias("discussion_score")]
+
+
+def _matched(claims: DataFrame, segments: DataFrame, columns: list[Column]) -> DataFrame:
+    return claims.select("task_id").join(best_segments(claims, segments), "task_id", "left").select("task_id", *columns)
+
+
+def survival(claims: DataFrame, segments: DataFrame) -> DataFrame:
+    """Per claim: label, score and basis of its best match over three query texts."""
+    return _matched(claims, segments, _survival())
 
 
 def rebuttal(claims: DataFrame, segments: DataFrame) -> DataFrame:
     """How the authors' response answers each claim."""
-    best = match_segments(_one_query(claims), segments.where("note_type = 'author_response'"), ["task_id"])
-    cue = F.arrays_overlap(F.split(F.lower(T.clean_text("segment")), r"[ \t\n\r\f]+"), T.words_of(L.RESOLUTION_CUES))
-    label = (
-        F.when(F.col("score") < PARTIAL, "not_addressed")
-        .when((F.col("score") >= RESOLVED) & cue, "likely_resolved_or_answered")
-        .otherwise("addressed_unclear_resolution")
-    )
-    return best.select("task_id", label.alias("rebuttal_label"), T.round4(F.col("score")).alias("rebuttal_score"))
+    return _matched(claims, segments, _rebuttal())
 
 
 def discussion(claims: DataFrame, segments: DataFrame) -> DataFrame:
-    best = match_segments(_one_query(claims), segments.where("note_type = 'official_comment'"), ["task_id"])
-    label = F.when(F.col("score") >= PARTIAL, "followed_up").otherwise("not_found")
-    return best.select("task_id", label.alias("discussion_label"), T.round4(F.col("score")).alias("discussion_score"))
+    """Whether reviewers' comments take a claim up."""
+    return _matched(claims, segments, _discussion())
 
 
 def consensus(claims: DataFrame) -> DataFrame:
     """Best claim of another review of the same paper, with a bonus for an equal type."""
-    rows = claims.select("task_id", "paper_id", "review_id", "claim_type", "claim_text", "turn", "claim_index", T.concern_tokens("claim_text").alias("tokens"))
+    rows = prepared(claims).select("task_id", "paper_id", "review_id", "claim_type", "turn", "claim_index", "tokens")
     other = rows.select("paper_id", F.col("review_id").alias("other_review"), F.col("claim_type").alias("other_type"), F.col("turn").alias("other_turn"), F.col("claim_index").alias("other_index"), F.col("tokens").alias("other_tokens"))
     pairs = rows.where(F.size("tokens") > 0).join(other, "paper_id").where("review_id <> other_review")
     bonus = F.when((F.col("claim_type") != "") & (F.col("claim_type") == F.col("other_type")), 0.05).otherwise(0.0)
     pairs = pairs.withColumn("score", F.least(F.lit(1.0), T.overlap_score(F.col("tokens"), F.col("other_tokens")) + bonus))
-    best = _best(pairs, ["task_id"], [(-F.col("other_turn")).alias("t"), (-F.col("other_index")).alias("i")], ["other_review"])
+    first = F.max(F.struct("score", (-F.col("other_turn")).alias("t"), (-F.col("other_index")).alias("i"), "other_review"))
+    best = pairs.where("score > 0").groupBy("task_id").agg(first.alias("best")).select("task_id", "best.score", "best.other_review")
     out = rows.select("task_id").join(best, "task_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return out.select("task_id", consensus_label(F.col("score")).alias("consensus_proxy"), T.round4(F.col("score")).alias("consensus_score"), F.coalesce("other_review", F.lit("")).alias("matched_review_id"))
 
 
 def signals(claims: DataFrame, segments: DataFrame) -> DataFrame:
-    """All four matches of each claim beside its own columns."""
-    out = claims
-    for part in (survival(claims, survival_segments(segments)), consensus(claims), rebuttal(claims, segments), discussion(claims, segments)):
-        out = out.join(part, "task_id")
-    return out
+    """All four matches of each claim beside its own columns; claims and segments are tokenized and kept once."""
+    claims, segments = staged(prepared(claims), "claims"), staged(pieces(segments), "segments")
+    found = claims.join(best_segments(claims, segments), "task_id", "left").join(consensus(claims), "task_id")
+    named = ("consensus_proxy", "consensus_score", "matched_review_id")
+    return found.select(*(c for c in claims.columns if not c.endswith("_tokens")), *named, *_survival(), *_rebuttal(), *_discussion())

@@ -6,19 +6,18 @@ rows come out under any partitioning. The selections between cuts are bounded by
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quorumlab.sources.files import staged
+
 
 def order_key(seed: int, key: str = "task_id") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key)).cast("binary"))
 
 
-def _cut(rows: DataFrame, n: Column | int, *by: str) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("order_key"))
-    return rows.withColumn("rn", rank).where(F.col("rn") <= n).drop("rn")
-
-
 def first_by_key(rows: DataFrame, n: int) -> DataFrame:
     """The n rows of the smallest keys, without sorting them all in one place."""
     return rows.orderBy("order_key").limit(max(0, n))
@@ -30,10 +29,9 @@ def balanced(rows: DataFrame, label: str, labels: tuple[str, ...], size: int, se
     present = {r[label] for r in rows.select(label).where(F.col(label).isin(*labels)).distinct().collect()}  # the given labels at most
     names = [x for x in labels if x in present]
     base, extra = divmod(size, max(1, len(names)))
-    quota = F.lit(0)
-    for i, name in enumerate(names):
-        quota = F.when(F.col(label) == name, base + (i < extra)).otherwise(quota)
-    chosen = _cut(rows.where(F.col(label).isin(*names)), quota, label).withColumn("reason", F.lit("quota"))
+    # a top-n for each label: every task keeps its own n, and only these meet
+    parts = [first_by_key(rows.where(F.col(label) == name), base + (i < extra)) for i, name in enumerate(names)]
+    chosen = staged(reduce(DataFrame.unionByName, parts, rows.limit(0)).withColumn("reason", F.lit("quota")), "quota")
     short = size - chosen.count()
     fill = first_by_key(rows.join(chosen.select("task_id"), "task_id", "left_anti"), short).withColumn("reason", F.lit("fill"))
     return chosen.unionByName(fill)
@@ -48,7 +46,7 @@ def targeted(rows: DataFrame, buckets: list[tuple[str, float, Column]], size: in
         open_rows = rows if chosen is None else rows.join(chosen.select("task_id"), "task_id", "left_anti")
         part = first_by_key(open_rows.where(predicate), target).withColumn("reason", F.lit(reason))
         chosen = part if chosen is None else chosen.unionByName(part)
-        chosen = chosen.persist()  # at most ``size`` rows
+        chosen = staged(chosen, "targeted")  # at most ``size`` rows
         taken = chosen.count()
     fill = first_by_key(rows.join(chosen.select("task_id"), "task_id", "left_anti"), size - taken).withColumn("reason", F.lit("fill_remaining"))
     return chosen.unionByName(fill)
@@ -65,7 +63,9 @@ def stratified(rows: DataFrame, stratum: str, scarce: tuple[str, ...], unclear:
     rows = rows.withColumn("order_key", order_key(seed))
     tier = F.when(F.col(stratum).isin(*scarce), 0).when(F.col(stratum) == unclear, 1).otherwise(2)
     rows = rows.withColumn("tier", tier)
-    rank = F.row_number().over(Window.partitionBy("tier", by).orderBy("order_key"))
-    rows = rows.withColumn("turn", F.when(F.col("tier") == 2, rank).otherwise(0)).withColumn("k", F.row_number().over(Window.partitionBy("tier", F.col(stratum)).orderBy("order_key")))
-    rows = rows.where((F.col("tier") != 1) | (F.col("k") <= 2))
-    return rows.orderBy("tier", "turn", by, "order_key").limit(size)
+    few = first_by_key(rows.where("tier = 1"), 2).withColumn("turn", F.lit(0))
+    all_scarce = rows.where("tier = 0").withColumn("turn", F.lit(0))
+    # no class can give more than ``size`` rows: a rank below a literal is cut in every task before rows meet
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("order_key"))
+    others = rows.where("tier = 2").withColumn("turn", rank).where(F.col("turn") <= size)
+    return all_scarce.unionByName(few).unionByName(others).orderBy("tier", "turn", by, "order_key").limit(size)

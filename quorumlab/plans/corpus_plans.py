@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quorumlab.functions import lexicons as L
 from quorumlab.functions import text as T
 from quorumlab.operators import adapters, exports, matching, sampling
 from quorumlab.plans import lifecycle_plans  # noqa: F401  (its stand-ins)
@@ -17,7 +18,7 @@ S.add_cte("pool", "SELECT c.task_id, c.claim_type, c.importance, c.claim_text, s
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
     rows = S.claims(spark, d)
-    found = matching.survival(rows, matching.survival_segments(S.segments(spark, d))).select("task_id", "survival_label", "survival_score")
+    found = matching.survival(rows, S.segments(spark, d)).select("task_id", "survival_label", "survival_score")
     return rows.select("task_id", "claim_type", "importance", "claim_text").join(found, "task_id")
 
 
@@ -79,16 +80,67 @@ def validate_labels(spark: SparkSession, d: str) -> DataFrame:
     return exports.label_errors(rows).select("doc_id", F.array_join("errors", "|").alias("errors"))
 
 
-@query(S.sql("SELECT task_id, 'sft' AS kind, label, length(claim_text) AS n_chars FROM (SELECT claim_text, min(task_id) AS task_id, arg_min(survival_label, task_id) AS label FROM pool GROUP BY claim_text) UNION ALL SELECT task_id, 'preference', CASE survival_label WHEN 'survived' THEN 'not_found' ELSE 'survived' END, length(claim_text) FROM pool WHERE survival_label <> 'partial'", "pool"))
+_QUALITY = "['high', 'medium', 'low', ''][length(claim_text) % 4 + 1]"
+S.add_cte(
+    "record",
+    f"""SELECT c.task_id, c.paper_id, c.review_id, 'Paper ' || c.paper_id AS title, CASE WHEN c.turn % 2 = 0 THEN 'accept' ELSE '' END AS decision_label, c.claim_text, c.claim_type, c.importance, c.source_sentence,
+  s.matched_segment, repeat(c.claim_text || ' ', 1 + 200 * (length(c.claim_text) % 2)) AS meta_review_text, l.meta_label AS meta_review_match, l.response_label AS ac_treatment, {_QUALITY} AS concern_quality,
+  l.effect_label AS label_evidence_strength, l.confidence, 'because ' || c.claim_type AS rationale, s.survival_label AS auto_survival_label, s.survival_score AS auto_survival_score, l.confidence = 'high' AS high_confidence_training_candidate
+FROM claims c JOIN survival s USING (task_id) JOIN claim_labels l USING (task_id)""",
+    "claims", "survival", "claim_labels",
+)
+_TEXT5000 = f"CASE WHEN length({S.d_clean('meta_review_text')}) <= 5000 THEN {S.d_clean('meta_review_text')} ELSE rtrim(left({S.d_clean('meta_review_text')}, 4997)) || '...' END"
+_ASKED = f"md5(concat_ws('|', title, decision_label, claim_text, claim_type, importance, source_sentence, matched_segment, {_TEXT5000}))"
+_OPPOSITE = "CASE meta_review_match WHEN 'not_found' THEN 'survived' WHEN 'survived' THEN 'not_found' WHEN 'partial' THEN 'not_found' ELSE 'survived' END"
+_KNOWN = "md5(concat_ws('|', task_id, paper_id, review_id, decision_label, auto_survival_label, CAST(round(auto_survival_score * 10000) AS BIGINT), CASE WHEN high_confidence_training_candidate THEN 'true' ELSE 'false' END))"
+_TAGS = "array_to_string(list_filter(['match:' || meta_review_match, 'quality:' || concern_quality, 'type:' || claim_type, 'decision:' || decision_label], lambda t: NOT suffix(t, ':')), '|')"
+
+
+@query(
+    S.sql(
+        f"""SELECT task_id, 'sft' AS kind, {_ASKED} AS asked, concat_ws('|', meta_review_match, ac_treatment, concern_quality, label_evidence_strength, confidence, rationale) AS answer, '' AS other, {_KNOWN} AS known FROM record
+UNION ALL SELECT task_id, 'preference', {_ASKED}, concat_ws('|', meta_review_match, ac_treatment, concern_quality, label_evidence_strength, confidence, rationale),
+  concat_ws('|', {_OPPOSITE}, ac_treatment, CASE WHEN concern_quality <> 'low' THEN 'low' ELSE 'high' END, label_evidence_strength, confidence, '{exports.REJECTED_REASON}'), {_KNOWN} FROM record
+UNION ALL SELECT task_id, 'case', md5(concat_ws('|', claim_text, claim_type, importance, source_sentence)), concat_ws('|', meta_review_match, ac_treatment, md5(matched_segment), concern_quality, label_evidence_strength, confidence, rationale), {_TAGS}, '' FROM record""",
+        "record",
+    )
+)
 def training_exports(spark: SparkSession, d: str) -> DataFrame:
-    """Messages and preference pairs, parsed back from their JSON."""
-    rows = _pool(spark, d).withColumnRenamed("survival_label", "label")
-    prompt = "Does the claim survive? "
-    chat = F.from_json("json", "messages array<struct<role: string, content: string>>")["messages"]
-    sft = exports.sft_rows(rows).select("task_id", F.lit("sft").alias("kind"), chat[1]["content"].alias("label"), (F.length(chat[0]["content"]) - len(prompt)).cast("bigint").alias("n_chars"))
-    pair = F.from_json("json", "prompt string, chosen string, rejected string")
-    other = exports.preference_pairs(rows.where("label <> 'partial'")).select("task_id", F.lit("preference").alias("kind"), pair["rejected"].alias("label"), F.length(pair["prompt"]).cast("bigint").alias("n_chars"))
-    return sft.unionByName(other)
+    """Messages, preference pairs and case rows, read back from their JSON; each record comes in twice."""
+    n, claims = F.length("claim_text"), S.claims(spark, d)
+    found = matching.survival(claims, S.segments(spark, d)).select("task_id", "matched_segment", F.col("survival_label").alias("auto_survival_label"), F.col("survival_score").alias("auto_survival_score"))
+    labels = S.claim_labels(spark, d).withColumnsRenamed({"meta_label": "meta_review_match", "response_label": "ac_treatment", "effect_label": "label_evidence_strength"}).drop("consensus_label")
+    rows = claims.join(found, "task_id").join(labels, "task_id").withColumns(
+        {
+            "title": F.concat(F.lit("Paper "), "paper_id"),
+            "decision_label": F.when(F.col("turn") % 2 == 0, "accept"),
+            "meta_review_text": F.repeat(F.concat("claim_text", F.lit(" ")), (1 + 200 * (n % 2)).cast("int")),
+            "concern_quality": F.element_at(T.words_of(("high", "medium", "low", "")), n % 4 + 1),
+            "rationale": F.concat(F.lit("because "), "claim_type"),
+            "high_confidence_training_candidate": F.col("confidence") == "high",
+        }
+    )
+    again = rows.withColumn("title", F.lit("a later record of the task"))
+    records = exports.training_records(rows.withColumn("ord", F.lit(0)).unionByName(again.withColumn("ord", F.lit(1))).drop("turn", "claim_index", "source_field"))
+    read = lambda c, names: F.from_json(c, ", ".join(f"{x} string" for x in names))
+    joined = lambda c, names: F.concat_ws("|", *(read(c, names)[x] for x in names))
+    digest = lambda c: F.md5(c.cast("binary"))
+
+    def known(m) -> Column:
+        score = F.round(m["auto_survival_score"] * 10000).cast("bigint").cast("string")
+        return digest(F.concat_ws("|", *(score if x == "auto_survival_score" else m[x].cast("string") for x in exports.KNOWN)))
+
+    meta = "metadata struct<" + ", ".join(f"{x}: {'double' if x.endswith('score') else 'boolean' if x.startswith('high') else 'string'}" for x in exports.KNOWN) + ">"
+    sft = exports.sft_rows(records).select("task_id", F.from_json("json", f"messages array<struct<role: string, content: string>>, {meta}").alias("j"))
+    sft = sft.where(F.transform("j.messages", lambda x: x["role"]) == T.words_of(("system", "user", "assistant")))
+    sft = sft.select("task_id", F.lit("sft").alias("kind"), digest(joined(F.col("j.messages")[1]["content"], exports.ASKED)).alias("asked"), joined(F.col("j.messages")[2]["content"], exports.ANSWERED).alias("answer"), F.lit("").alias("other"), known(F.col("j.metadata")).alias("known"))
+    pair = exports.preference_pairs(records).select("task_id", F.from_json("json", f"prompt string, chosen string, rejected string, {meta}").alias("j"))
+    pair = pair.select("task_id", F.lit("preference").alias("kind"), digest(joined(F.col("j.prompt"), exports.ASKED)).alias("asked"), joined(F.col("j.chosen"), exports.ANSWERED).alias("answer"), joined(F.col("j.rejected"), exports.ANSWERED).alias("other"), known(F.col("j.metadata")).alias("known"))
+    shape = "claim struct<text: string, type: string, importance: string, source_sentence: string>, meta_review struct<match: string, ac_treatment: string, matched_segment: string>, quality struct<concern_quality: string, label_evidence_strength: string, confidence: string>, rationale string, tags array<string>"
+    case = exports.case_rows(records).select("task_id", F.from_json("json", shape).alias("j"))
+    answer = F.concat_ws("|", "j.meta_review.match", "j.meta_review.ac_treatment", digest(F.col("j.meta_review.matched_segment")), "j.quality.concern_quality", "j.quality.label_evidence_strength", "j.quality.confidence", "j.rationale")
+    case = case.select("task_id", F.lit("case").alias("kind"), digest(F.concat_ws("|", "j.claim.text", "j.claim.type", "j.claim.importance", "j.claim.source_sentence")).alias("asked"), answer.alias("answer"), F.array_join("j.tags", "|").alias("other"), F.lit("").alias("known"))
+    return sft.unionByName(pair).unionByName(case)
 
 
 @query(S.sql("SELECT task_id, response_label, effect_label FROM claim_labels WHERE response_label IN ('not_addressed', 'generic_or_unclear') OR effect_label IN ('does_not_address', 'partially_addresses', 'unclear')", "claim_labels"))
@@ -113,23 +165,72 @@ def scoring_requests(spark: SparkSession, d: str) -> DataFrame:
     return _requests(spark, d).select("custom_id", F.md5(body.cast("binary")).alias("digest"), "tokens")
 
 
-@query()
+S.add_cte("ordered_requests", "SELECT *, row_number() OVER (PARTITION BY venue ORDER BY custom_id) AS rn FROM (SELECT custom_id, venue, greatest(1, CAST(round_even(length(body) / 4.0, 0) AS BIGINT)) AS tokens FROM requests)", "requests")
+
+
+@query(
+    S.sql(
+        """SELECT custom_id, venue, tokens, part FROM (WITH RECURSIVE walk AS (
+  SELECT custom_id, venue, tokens, rn, tokens AS held, 1 AS n, 0 AS part FROM ordered_requests WHERE rn = 1
+  UNION ALL
+  SELECT r.custom_id, r.venue, r.tokens, r.rn, CASE WHEN held + r.tokens > 20000 OR n >= 40 THEN r.tokens ELSE held + r.tokens END, CASE WHEN held + r.tokens > 20000 OR n >= 40 THEN 1 ELSE n + 1 END,
+    part + CASE WHEN held + r.tokens > 20000 OR n >= 40 THEN 1 ELSE 0 END
+  FROM walk w JOIN ordered_requests r ON r.venue = w.venue AND r.rn = w.rn + 1)
+SELECT * FROM walk)""",
+        "ordered_requests",
+    )
+)
 def split_batches(spark: SparkSession, d: str) -> DataFrame:
     return exports.split_batches(_requests(spark, d), "venue", 20_000, 40)
 
 
 # adapters
 
-_STANCE = {"accept": ("resolved", 0.1), "reject": ("contested", 0.8), "fully": ("substantiated", 0.9)}
-_GENERIC_SQL = "SELECT 'GEN:' || doc_id AS task_id, 'GEN' AS dataset, 'stance' AS dimension, left(trim(text), 90) AS input_text, source AS context_text, CASE n_chars % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'contested' ELSE 'substantiated' END AS gold_label, CASE WHEN length(trim(left(trim(text), 90))) % 2 = 0 THEN 'resolved' ELSE 'substantiated' END AS predicted_label, CASE n_chars % 4 WHEN 0 THEN 0.1::DOUBLE WHEN 1 THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END AS mapped_score FROM documents WHERE n_chars % 4 <> 3 AND trim(text) <> ''"
-S.add_cte("generic", _GENERIC_SQL)
+#: Labels of the stand-in corpora by dimension, with their mapped scores.
+_CORPORA = {
+    "actionability": {"yes": ("actionable", 0.9), "partial": ("partially_actionable", 0.55), "not_actionable": ("not_actionable", 0.15)},
+    "specificity": {"concrete": ("specific", 0.9), "medium": ("partially_specific", 0.55), "generic": ("vague", 0.15)},
+    "substantiation": {"supported": ("substantiated", 0.9), "partially_supported": ("partially_substantiated", 0.55), "no": ("unsubstantiated", 0.15)},
+    "rebuttal_robustness": {"resolved_or_weakened": ("resolved_or_weakened", 0.1), "partially_addresses": ("partially_addresses", 0.5), "not_addressed": ("not_addressed", 0.9)},
+    "professionalism": {"polite": ("polite", 0.85), "neutral": ("neutral", 0.55), "impolite": ("impolite", 0.15)},
+}
+_TAILS = ("", " Please clarify the tables.", " We compared every baseline", " nothing more")
+_CONTEXTS = ("", "We added it.", "This will include a proof", "Thank you")
+
+
+def _generic_sql(dimension: str) -> str:
+    known = list(_CORPORA[dimension].values())
+    gold = f"CASE n_chars % 4 WHEN 3 THEN NULL ELSE {S._list(x[0] for x in known)}[n_chars % 4 + 1] END"
+    score = f"[{', '.join(f'{x[1]}::DOUBLE' for x in known)}][n_chars % 4 + 1]"
+    tokens = f"list_distinct({S.d_token_list('whole')})"
+    rule = {
+        "actionability": f"CASE WHEN list_has_any({tokens}, {S._list(L.ACTION_TOKENS)}) THEN 'actionable' ELSE 'not_actionable' END",
+        "specificity": f"CASE WHEN list_has_any({tokens}, {S._list(L.SPECIFIC_TOKENS)}) THEN 'specific' ELSE 'vague' END",
+        "substantiation": "CASE WHEN context <> '' THEN 'substantiated' ELSE 'unsubstantiated' END",
+        "rebuttal_robustness": "CASE WHEN regexp_matches(lower(context), 'will add|we added|revised|resolved|fixed') THEN 'resolved_or_weakened' WHEN regexp_matches(lower(context), 'clarify|partially|will include') THEN 'partially_addresses' WHEN context <> '' THEN 'generic_or_unclear' ELSE 'not_addressed' END",
+    }.get(dimension, "gold")
+    given = f"CASE n_chars % 7 WHEN 0 THEN '{known[0][0]}' END"
+    return f"""SELECT '{dimension}:' || doc_id AS task_id, '{dimension}' AS dataset, '{dimension}' AS dimension, comment AS input_text, context AS context_text, gold AS gold_label, coalesce({given}, {rule}) AS predicted_label, {score} AS mapped_score
+FROM (SELECT *, {gold} AS gold, concat_ws(' ', doc_id, comment, '', context, stance, predicted) AS whole FROM corpus_rows) WHERE gold IS NOT NULL AND comment <> ''"""
+
+
+S.add_cte("corpus_rows", f"SELECT doc_id, n_chars, trim(coalesce(text, '') || {S._list(_TAILS)}[doc_id % 4 + 1]) AS comment, {S._list(_CONTEXTS)}[n_chars % 3 + doc_id % 2 + 1] AS context, '' AS stance, '' AS predicted FROM documents")
+S.add_cte("generic", " UNION ALL ".join(map(_generic_sql, _CORPORA)), "corpus_rows")
 
 
 def _generic(spark: SparkSession, d: str) -> DataFrame:
-    n = F.col("n_chars")
-    label = F.when(n % 4 == 0, "Accept").when(n % 4 == 1, " reject ").when(n % 4 == 2, "FULLY").otherwise("other")
-    source = S.table(spark, d, "documents").select(F.col("doc_id").alias("ID"), F.left(F.trim("text"), F.lit(90)).alias("Review-Comment"), F.lit("").alias("input_text"), F.col("source").alias("rebuttalText"), label.alias("Stance"))
-    return adapters.generic(source, "GEN", "stance", _STANCE)
+    """Whole documents as the comments of five corpora, one for each dimension."""
+    n, out = F.col("n_chars"), None
+    docs = S.table(spark, d, "documents")
+    comment = F.trim(F.concat(F.coalesce("text", F.lit("")), F.element_at(T.words_of(_TAILS), (F.col("doc_id") % 4 + 1).cast("int"))))
+    context = F.element_at(T.words_of(_CONTEXTS), (n % 3 + F.col("doc_id") % 2 + 1).cast("int"))
+    for dimension, labels in _CORPORA.items():
+        stance = F.when(n % 4 == 3, "other").otherwise(F.element_at(T.words_of(x.upper().replace("_", "-") for x in labels), (F.least(n % 4, F.lit(2)) + 1).cast("int")))
+        given = F.when(n % 7 == 0, F.lit(f" {next(iter(labels))} ")).when(n % 7 == 1, "odd").otherwise("")
+        source = docs.select(F.col("doc_id").alias("ID"), comment.alias("Review-Comment"), F.lit("").alias("input_text"), context.alias("rebuttalText"), stance.alias("Stance"), given.alias("Prediction"))
+        rows = adapters.generic(source, dimension, dimension, labels)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 @query(S.sql("SELECT task_id, gold_label, predicted_label, mapped_score, context_text, md5(input_text) AS digest FROM (SELECT * REPLACE (trim(input_text) AS input_text) FROM generic)", "generic"))
@@ -154,10 +255,36 @@ def adapt_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d)
 
 
-@query("SELECT doc_id AS id, tag, trim(substring(text, a + 1, b - a)) AS text, CASE WHEN key = '1' AND trim(substring(text, 41, 30)) <> '' THEN trim(substring(text, 41, 30)) ELSE '' END AS evidence, CASE WHEN key = '1' AND trim(substring(text, 41, 30)) <> '' THEN 'substantiated' ELSE 'unsubstantiated' END AS gold_label FROM (SELECT *, unnest(['Eval_pos_1', 'Eval_neg_2']) AS tag0, unnest(['Eval_1', 'Eval_2']) AS tag, unnest(['1', '2']) AS key, unnest([0, 20]) AS a, unnest([20, 40]) AS b FROM documents) WHERE trim(substring(text, a + 1, b - a)) <> ''")
+S.add_cte(
+    "sentence_spans",
+    f"""SELECT doc_id, text, i, CASE WHEN i % 3 = 2 THEN 'Jus_' || CAST(i // 3 AS VARCHAR) ELSE 'Eval_' || CAST(i // 3 AS VARCHAR) END AS tag, ends[i + 1] - length(parts[i + 1]) AS start, ends[i + 1] AS stop
+FROM (SELECT doc_id, text, parts, list_transform(range(1, len(parts) + 1), lambda k: CAST(list_sum(list_transform(parts[1:k], lambda p: length(p))) AS BIGINT)) AS ends
+  FROM (SELECT doc_id, text, regexp_extract_all(text, '[^.!?]*[.!?]+|[^.!?]+') AS parts FROM documents)), unnest(range(0, len(parts))) AS t(i)""",
+)
+
+
+@query(
+    S.sql(
+        "SELECT e.doc_id AS id, e.tag, md5(e.body) AS text, md5(coalesce(j.body, '')) AS evidence, CASE WHEN j.body IS NULL THEN 'unsubstantiated' ELSE 'substantiated' END AS gold_label FROM (SELECT *, trim(substring(text, CAST(start AS BIGINT) + 1, CAST(stop - start AS BIGINT))) AS body, regexp_replace(tag, '^[A-Za-z]+_', '') AS key FROM sentence_spans) e LEFT JOIN (SELECT doc_id, regexp_replace(tag, '^[A-Za-z]+_', '') AS key, string_agg(trim(substring(text, CAST(start AS BIGINT) + 1, CAST(stop - start AS BIGINT))), ' ' ORDER BY i) AS body FROM sentence_spans WHERE starts_with(tag, 'Jus_') AND trim(substring(text, CAST(start AS BIGINT) + 1, CAST(stop - start AS BIGINT))) <> '' GROUP BY ALL) j ON j.doc_id = e.doc_id AND j.key = e.key WHERE starts_with(e.tag, 'Eval_') AND e.body <> ''",
+        "sentence_spans",
+    )
+)
 def adapt_spans(spark: SparkSession, d: str) -> DataFrame:
-    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("stop"), F.lit(t).alias("tag")) for a, b, t in ((0, 20, "Eval_1"), (20, 40, "Eval_2"), (40, 70, "Jus_1"))))
-    return adapters.spans(S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("review"), spans.alias("label")))
+    """Spans from the sentence offsets of whole documents: two evaluations and their justification in turn."""
+    docs = S.table(spark, d, "documents").where("text is not null")
+    parts = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("review"), F.regexp_extract_all("text", F.lit("[^.!?]*[.!?]+|[^.!?]+"), F.lit(0)).alias("parts"))
+    start = F.from_json(F.lit('{"n": 0, "spans": []}'), "n int, spans array<struct<start: int, stop: int, tag: string>>")
+
+    def add(s: Column, p: Column) -> Column:
+        i = F.size(s["spans"])
+        number = F.floor(i / 3).cast("string")
+        tag = F.when(i % 3 == 2, F.concat(F.lit("Jus_"), number)).otherwise(F.concat(F.lit("Eval_"), number))
+        stop = s["n"] + F.length(p)
+        return F.struct(stop.alias("n"), F.concat(s["spans"], F.array(F.struct(s["n"].alias("start"), stop.alias("stop"), tag.alias("tag")))).alias("spans"))
+
+    found = adapters.spans(parts.select("id", "review", F.aggregate("parts", start, add)["spans"].alias("label")))
+    digest = lambda c: F.md5(F.col(c).cast("binary")).alias(c)
+    return found.select("id", "tag", digest("text"), digest("evidence"), "gold_label")
 
 
 _ACT = "['reject', 'done', 'answer', 'thank']"

@@ -38,9 +38,9 @@ def _best_sql(tokens: str, source: str) -> str:
 S.add_cte(
     "survival",
     f"""SELECT c.task_id, CASE WHEN coalesce(b.score, 0) >= 0.34 THEN 'survived' WHEN coalesce(b.score, 0) >= 0.2 THEN 'partial' ELSE 'not_found' END AS survival_label,
-  round(coalesce(b.score, 0), 4) AS survival_score, coalesce(['claim_text', 'source_sentence', 'claim_plus_type'][basis + 1], '') AS match_basis
+  round(coalesce(b.score, 0), 4) AS survival_score, coalesce(['claim_text', 'source_sentence', 'claim_plus_type'][basis + 1], '') AS match_basis, coalesce(b.segment, '') AS matched_segment
 FROM ctok c LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, basis, ord) AS rn FROM (
-  SELECT c.task_id, s.ord, q.basis, {S.d_overlap("q.tok", "s.stk")} AS score
+  SELECT c.task_id, s.ord, s.segment, q.basis, {S.d_overlap("q.tok", "s.stk")} AS score
   FROM (SELECT task_id, paper_id, 0 AS basis, tok FROM ctok UNION ALL SELECT task_id, paper_id, 1, tok FROM ctok UNION ALL SELECT task_id, paper_id, 2, tok2 FROM ctok) q
   JOIN ctok c ON c.task_id = q.task_id JOIN meta_seg s ON s.paper_id = q.paper_id) WHERE score > 0) WHERE rn = 1) b ON b.task_id = c.task_id""",
     "ctok", "meta_seg",
@@ -109,7 +109,7 @@ _scored_sql("scored_modes", "sig_modes", "mode IN ('consensus_labels', 'all_labe
 
 @query(S.sql("SELECT task_id, survival_label, survival_score, match_basis FROM survival", "survival"))
 def concern_survival(spark: SparkSession, d: str) -> DataFrame:
-    found = matching.survival(S.claims(spark, d), matching.survival_segments(S.segments(spark, d)))
+    found = matching.survival(S.claims(spark, d), S.segments(spark, d))
     return found.select("task_id", "survival_label", "survival_score", "match_basis")
 
 
@@ -283,7 +283,7 @@ def compare_runs(spark: SparkSession, d: str) -> DataFrame:
 @query(S.sql("SELECT facet, value, count(*) AS n, count(*) FILTER (survival_label = 'survived') AS survived, count(*) FILTER (survival_label = 'partial') AS partial, round(count(*) FILTER (survival_label = 'survived')::DOUBLE / count(*), 4) AS strict_rate, round(count(*) FILTER (survival_label <> 'not_found')::DOUBLE / count(*), 4) AS loose_rate FROM (SELECT survival_label, unnest(['all', 'claim_type', 'importance', 'source_field']) AS facet, unnest(['all', claim_type, importance, source_field]) AS value FROM sig) GROUP BY facet, value", "sig"))
 def survival_report(spark: SparkSession, d: str) -> DataFrame:
     rows = S.claims(spark, d)
-    rows = rows.join(matching.survival(rows, matching.survival_segments(S.segments(spark, d))), "task_id")
+    rows = rows.join(matching.survival(rows, S.segments(spark, d)), "task_id")
     facets = F.array(F.struct(F.lit("all").alias("facet"), F.lit("all").alias("value")), *(F.struct(F.lit(k).alias("facet"), F.col(k).alias("value")) for k in ("claim_type", "importance", "source_field")))
     return rows.select("survival_label", F.inline(facets)).groupBy("facet", "value").agg(
         F.count(F.lit(1)).alias("n"),

@@ -308,13 +308,13 @@ def minimization_audit(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains(text, F.lit("@"))).alias("with_mail"), F.count_if(text.rlike(r"[0-9]{3}\.[0-9]+\.[0-9]+\.[0-9]+")).alias("with_address"), F.count_if(F.contains(F.lower(text), F.lit("password"))).alias("with_secret"))
 
 
-@query("SELECT paper_id, count(*) AS tasks, count(*) FILTER (ok) AS imported, count(*) FILTER (NOT ok) AS failed FROM (SELECT doc_id - doc_id % 4 AS paper_id, doc_id % 3 <> 0 AND coalesce(quality, 0) = 1 AS ok FROM documents LEFT JOIN labels USING (doc_id)) WHERE paper_id % 8 <> 0 GROUP BY paper_id")
+@query("SELECT paper_id, count(*) AS tasks, count(*) FILTER (ok) AS imported, count(*) FILTER (NOT ok) AS failed FROM (SELECT doc_id - doc_id % 4 AS paper_id, coalesce(quality, 0) = 1 AS ok FROM documents LEFT JOIN labels USING (doc_id)) WHERE paper_id IN (SELECT doc_id - doc_id % 4 FROM labels) GROUP BY paper_id")
 def import_results(spark: SparkSession, d: str) -> DataFrame:
     """Manifest tasks with their parsed results; missing or bad results count as failed, unknown papers are skipped."""
     docs = S.table(spark, d, "documents").select("doc_id", (F.col("doc_id") - F.col("doc_id") % 4).alias("paper_id"))
     payload = F.to_json(F.struct(F.col("quality").alias("score")))
-    results = S.table(spark, d, "labels").where("doc_id % 3 <> 0").select("doc_id", F.from_json(payload, "score int")["score"].alias("score"))
-    papers = docs.select("paper_id").where("paper_id % 8 <> 0").distinct()
+    results = S.table(spark, d, "labels").select("doc_id", F.from_json(payload, "score int")["score"].alias("score"))
+    papers = results.select((F.col("doc_id") - F.col("doc_id") % 4).alias("paper_id")).distinct()
     rows = docs.join(results, "doc_id", "left").join(papers, "paper_id", "left_semi")
     ok = F.coalesce(F.col("score") == 1, F.lit(False))
     return rows.groupBy("paper_id").agg(F.count(F.lit(1)).alias("tasks"), F.count_if(ok).alias("imported"), F.count_if(~ok).alias("failed"))

@@ -57,8 +57,8 @@ def build_memory(spark: SparkSession, d: str) -> DataFrame:
 _SECTIONS = """SELECT paper_id, review_id AS section_id, CASE n_chars % 4 WHEN 0 THEN 'Title' WHEN 1 THEN 'Experiments and results' WHEN 2 THEN 'Method' ELSE 'Appendix A' END AS section,
   CASE WHEN n_chars % 4 = 3 THEN 'appendix' WHEN n_chars % 5 = 0 THEN 'rebuttal' ELSE 'paper' END AS source_type, review_text AS text FROM v_review"""
 S.add_cte("sections", _SECTIONS, "v_review")
-_CLAIMED = """SELECT concat('k', doc_id) AS task_id, concat('p', doc_id - (doc_id % 4)) AS paper_id, array_to_string(string_split(text, ' ')[1:25], ' ') AS claim_text,
-  {kinds}[doc_id % 10 + 1] AS claim_type FROM documents WHERE doc_id % 4 = 1""".format(kinds=S._list(L.CLAIM_TYPES))
+_CLAIMED = """SELECT concat('k', doc_id) AS task_id, concat('p', doc_id - (doc_id % 4)) AS paper_id, text AS claim_text,
+  {kinds}[doc_id % 10 + 1] AS claim_type FROM documents""".format(kinds=S._list(L.CLAIM_TYPES))
 S.add_cte("section_claims", _CLAIMED)
 
 
@@ -74,12 +74,12 @@ def _sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _section_claims(spark: SparkSession, d: str) -> DataFrame:
-    """The first review of each paper makes the claim; the paper's reviews are its sections."""
-    docs = S.table(spark, d, "documents").where("doc_id % 4 = 1")
+    """Every review is a claim; the reviews of its paper are the sections."""
+    docs = S.table(spark, d, "documents")
     return docs.select(
         F.concat(F.lit("k"), "doc_id").alias("task_id"),
         F.concat(F.lit("p"), F.col("doc_id") - F.col("doc_id") % 4).alias("paper_id"),
-        F.array_join(F.slice(F.split("text", " "), 1, 25), " ").alias("claim_text"),
+        F.col("text").alias("claim_text"),
         F.element_at(T.words_of(L.CLAIM_TYPES), (F.col("doc_id") % 10 + 1).cast("int")).alias("claim_type"),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumlab.functions import lexicons as L
 from quorumlab.functions import text as T
+from quorumlab.sources.files import spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations")
 
@@ -26,7 +27,7 @@ SELECT concat('r', doc_id) AS review_id, concat('p', doc_id - (doc_id % 4)) AS p
 FROM documents""",
     "v_score": """
 SELECT d.doc_id AS row_id, concat('p', d.doc_id - (d.doc_id % 4)) AS paper_id, concat('R', d.doc_id % 4 + 1) AS reviewer_key,
-       d.lang AS venue, d.n_chars % 101 AS outrage, l.toxic * 60 + d.n_chars % 41 AS toxicity, l.quality * 50 + d.n_chars % 51 AS helpfulness, left(d.text, 60) AS quote
+       d.lang AS venue, d.n_chars % 101 AS outrage, l.toxic * 60 + d.n_chars % 41 AS toxicity, l.quality * 50 + d.n_chars % 51 AS helpfulness, d.text AS quote
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "v_activity": """
 SELECT event_id, ts, concat('u', user_id) AS session_id, concat('p', CAST(floor(event_id / 7) AS BIGINT) % 100 * 4) AS paper_id,
@@ -58,8 +59,13 @@ FROM lineitem""",
 }
 
 
+#: Tables of texts, whose work is in their rows.
+TEXTS = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in TEXTS else found
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -12,12 +12,16 @@ from quorumlab.sources.files import shared_folder
 from quorumlab.streaming import community
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    """The activity of the events table as a stream, in files of ascending time."""
+def _events(spark: SparkSession, d: str, one_by_one: bool = True) -> DataFrame:
+    """The activity of the events table as a stream of files, which a source may take in any order.
+
+    One by one, a file that comes late by more than the watermark loses its rows; all at once, none does.
+    """
     folder = shared_folder(spark, "activity")
     rows = S.view(spark, d, "v_activity").withColumn("ts", F.col("ts").cast("timestamp"))
     rows.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    reader = spark.readStream.schema(rows.schema)
+    return (reader.option("maxFilesPerTrigger", 1) if one_by_one else reader).parquet(folder)
 
 
 @query(S.sql("SELECT paper_id, reviewer_key, session_id, action FROM live", "live"))
@@ -28,10 +32,19 @@ def vote_state_stream(spark: SparkSession, d: str) -> DataFrame:
     return last.where("action <> 'vote_none'")
 
 
-@query()
+@query(
+    S.sql(
+        """SELECT make_timestamp(stop * 1000000) AS until, paper_id, reviewer_key, count(*) FILTER (action = 'comment') AS comments, count(*) FILTER (starts_with(action, 'vote')) AS votes, count(*) FILTER (action = 'reaction') AS reactions
+FROM (SELECT *, unnest(range(CAST(floor(epoch(ts) / 43200) AS BIGINT) + 1, CAST(floor(epoch(ts) / 43200) AS BIGINT) + 5)) * 43200 AS stop FROM v_activity)
+WHERE stop <= (SELECT max(epoch(ts)) - 7200 FROM v_activity) GROUP BY ALL""",
+        "v_activity",
+    )
+)
 def activity_48h_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Closed sliding windows of activity; commenters are approximate."""
-    return community.run_available(community.sliding_activity(_events(spark, d), "48 hours", "12 hours", "2 hours"), shared_folder(spark, "activity-48h"), "append").drop("batch")
+    """Exact counts of the closed sliding windows of activity (distinct commenters are approximate in the stream)."""
+    stream = community.sliding_activity(_events(spark, d, one_by_one=False), "48 hours", "12 hours", "2 hours")
+    found = community.run_available(stream, shared_folder(spark, "activity-48h"), "append")
+    return found.select(F.col("until").cast("timestamp_ntz").alias("until"), "paper_id", "reviewer_key", "comments", "votes", "reactions")
 
 
 @query(

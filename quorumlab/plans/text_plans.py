@@ -17,11 +17,11 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "pages").select("page_id", T.clean_text("html").alias("cleaned"))
 
 
-@query("SELECT page_id, array_to_string(list_filter([url, NULL, CASE WHEN page_id % 3 = 0 THEN left(html, 40) END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS content FROM pages")
+@query("SELECT page_id, array_to_string(list_filter([url, NULL, CASE WHEN page_id % 3 = 0 THEN html END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS content FROM pages")
 def content_text(spark: SparkSession, d: str) -> DataFrame:
     """Joined text of an ordered key list of an open content map."""
     pages = S.table(spark, d, "pages")
-    content = F.create_map(F.lit("title"), F.col("url"), F.lit("tldr"), F.lit(None).cast("string"), F.lit("abstract"), F.when(F.col("page_id") % 3 == 0, F.left("html", F.lit(40))))
+    content = F.create_map(F.lit("title"), F.col("url"), F.lit("tldr"), F.lit(None).cast("string"), F.lit("abstract"), F.when(F.col("page_id") % 3 == 0, F.col("html")))
     keys = T.words_of(("title", "tldr", "abstract", "keywords"))
     values = F.filter(F.transform(keys, lambda k: F.try_element_at(content, k)), lambda v: v.isNotNull())
     return pages.select("page_id", F.array_join(values, "\n\n").alias("content"))

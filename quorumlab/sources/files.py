@@ -16,14 +16,30 @@ RECORD = "id string, text string, label string, score double"
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all machines share (``spark.checkpoint.dir``)."""
+    """A new path in the folder that all machines share (``spark.checkpoint.dir``); a local one on one machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read back: computed once, and no lost executor undoes it."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, task_bytes: int = 8 << 20) -> DataFrame:
+    """``df``, dealt out to all cores if it is too small to fill them (such as a file of one row group)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * task_bytes else df
+
+
 def write_records(df: DataFrame, path: str, partitions: tuple[str, ...] = ()) -> str:
     """JSON lines, one file set for each value of ``partitions``."""
     df.write.partitionBy(*partitions).json(path) if partitions else df.write.json(path)

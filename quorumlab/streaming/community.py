@@ -70,14 +70,15 @@ def over_limit(events: DataFrame, limits: dict[str, int], window: str = "1 hour"
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Process what the source holds now, into Parquet under ``path``, and return it.
 
-    In update mode each micro-batch is one write; its number stays in the rows as ``batch``.
+    Each micro-batch is one folder, written anew if the batch is replayed after a failure; its number stays in
+    the rows as ``batch``.
     """
     spark = stream.sparkSession
     out = f"{path}/out"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
 
     def put(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("batch", F.lit(batch)).write.mode("append").parquet(out)
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     writer.foreachBatch(put).start().awaitTermination()
     return spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(out)

@@ -1,5 +1,7 @@
 """Operators on literal rows with known numbers, and under other partitionings."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +162,31 @@ def test_batches_are_packed_next_fit(spark):
     assert [r["part"] for r in found] == [0, 1, 1, 2, 2, 3]
 
 
+@pytest.mark.parametrize("block_rows", [1, 3, 7, 1000])
+def test_parts_do_not_depend_on_blocks(spark, block_rows):
+    """Parts chained over blocks of any size are those of one pass over the ordered requests."""
+    rng = random.Random(block_rows)
+    rows = [(f"c{i:04}", rng.choice("ab"), rng.choice((1, 2, 5, 9, 14))) for i in range(150)]
+    expected = {}
+    for venue in "ab":
+        part = held = n = 0
+        for key, _, t in sorted(r for r in rows if r[1] == venue):
+            if n and (held + t > 12 or n >= 4):
+                part, held, n = part + 1, 0, 0
+            expected[key], held, n = part, held + t, n + 1
+    table = spark.createDataFrame(rows, "custom_id string, venue string, tokens bigint")
+    assert {r["custom_id"]: r["part"] for r in exports.split_batches(table.repartition(5), "venue", 12, 4, block_rows).collect()} == expected
+    assert exports.split_batches(table.where("tokens > 99"), "venue", 12, 4).count() == 0
+
+
+def test_predictions_follow_their_dimension(spark):
+    rows = spark.createDataFrame([("1", "please clarify it", "yes", ""), ("2", "the tables", "yes", "We added it"), ("3", "fine", "yes", "will include more")], "id string, text string, label string, context string")
+    found = {d: [r["predicted_label"] for r in adapters.generic(rows, "D", d, {"yes": ("gold", 0.5)}).orderBy("task_id").collect()] for d in ("actionability", "specificity", "substantiation", "rebuttal_robustness", "tone")}
+    assert found["actionability"] == ["actionable", "not_actionable", "actionable"] and found["specificity"] == ["vague", "specific", "vague"]
+    assert found["substantiation"] == ["unsubstantiated", "substantiated", "substantiated"] and found["tone"] == ["gold"] * 3
+    assert found["rebuttal_robustness"] == ["not_addressed", "resolved_or_weakened", "partially_addresses"]
+
+
 def test_samples_are_the_same_under_any_partitioning(spark):
     rows = spark.range(300).select(F.concat(F.lit("t"), "id").alias("task_id"), F.when(F.col("id") % 10 == 0, "survived").when(F.col("id") % 3 == 0, "partial").otherwise("not_found").alias("survival_label"))
     a, b = (sorted(r["task_id"] for r in sampling.balanced(rows.repartition(n), "survival_label", ("survived", "partial", "not_found"), 120, 7).collect()) for n in (1, 9))
