@@ -180,7 +180,7 @@ def test_parts_do_not_depend_on_blocks(spark, block_rows):
 
 
 def test_predictions_follow_their_dimension(spark):
-    rows = spark.createDataFrame([("1", "please clarify it", "yes", ""), ("2", "the tables", "yes", "We added it"), ("3", "fine", "yes", "will include more")], "id string, text string, label string, context string")
+    rows = spark.createDataFrame([("1", "please clarify it", "yes", ""), ("2", "the table", "yes", "We added it"), ("3", "fine", "yes", "will include more")], "id string, text string, label string, context string")
     found = {d: [r["predicted_label"] for r in adapters.generic(rows, "D", d, {"yes": ("gold", 0.5)}).orderBy("task_id").collect()] for d in ("actionability", "specificity", "substantiation", "rebuttal_robustness", "tone")}
     assert found["actionability"] == ["actionable", "not_actionable", "actionable"] and found["specificity"] == ["vague", "specific", "vague"]
     assert found["substantiation"] == ["unsubstantiated", "substantiated", "substantiated"] and found["tone"] == ["gold"] * 3
