@@ -19,12 +19,18 @@ def c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _sql(value) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else f"{value!r}D"
+
+
 def words_of(values) -> Column:
-    return F.array(*map(F.lit, values))
+    """An array of texts, built as one expression."""
+    return F.expr(f"array({', '.join(map(_sql, values))})")
 
 
 def map_of(values: dict) -> Column:
-    return F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+    """A map from texts to texts or numbers, built as one expression."""
+    return F.expr(f"map({', '.join(_sql(x) for pair in values.items() for x in pair)})")
 
 
 def round4(x: Column) -> Column:
@@ -133,7 +139,11 @@ def concern_tokens(x: Column | str) -> Column:
 
 def overlap_score(query: Column, segment: Column) -> Column:
     """Coverage, cosine and anchor bonus of two token sets, at most 1; 0 without a common token."""
-    both = F.array_intersect(query, segment)
+    return overlap_of(F.array_intersect(query, segment), query, segment)
+
+
+def overlap_of(both: Column, query: Column, segment: Column) -> Column:
+    """``overlap_score`` of two sets whose common tokens are known."""
     n = F.size(both).cast("double")
     score = F.lit(0.68) * (n / F.size(query)) + F.lit(0.32) * (n / F.sqrt((F.size(query) * F.size(segment)).cast("double")))
     score = score + F.when(F.arrays_overlap(both, words_of(L.ANCHORS)), F.lit(0.08)).otherwise(F.lit(0.0))

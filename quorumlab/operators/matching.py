@@ -57,14 +57,19 @@ def best_segments(claims: DataFrame, segments: DataFrame) -> DataFrame:
     wins, then the earlier query, then the earlier segment; scores of 0 do not count.
     """
     queries = prepared(claims).select("task_id", "paper_id", "tokens", "source_tokens", "typed_tokens")
-    pairs = queries.join(pieces(segments), "paper_id").withColumn("plain", T.overlap_score(F.col("tokens"), F.col("found")))
+    pairs = queries.join(pieces(segments), "paper_id")
+    # common tokens, then scores, are columns of their own, so that what refers to them does not compute them again
+    named = {"tokens": "plain", "source_tokens": "by_source", "typed_tokens": "by_type"}
+    wanted = {q: F.lit(True) if q == "tokens" else F.col("closing") for q in named}
+    pairs = pairs.withColumns({f"{s}_common": F.when(wanted[q], F.array_intersect(q, "found")) for q, s in named.items()})
+    pairs = pairs.where(F.size("plain_common") + F.coalesce(F.size("by_source_common"), F.lit(0)) + F.coalesce(F.size("by_type_common"), F.lit(0)) > 0)
+    pairs = pairs.withColumns({s: T.overlap_of(F.col(f"{s}_common"), F.col(q), F.col("found")) for q, s in named.items()})
 
     def candidate(score: Column, basis: int, of: Column) -> Column:
         return F.when(of & (score > 0), F.struct(score.alias("score"), F.lit(-basis).alias("b"), (-F.col("ord")).alias("o"), "segment"))
 
     plain, closing = F.col("plain"), F.col("closing")
-    others = [T.overlap_score(F.col(q), F.col("found")) for q in ("source_tokens", "typed_tokens")]
-    ended = F.greatest(candidate(plain, 0, closing), *(candidate(x, i + 1, closing) for i, x in enumerate(others)))
+    ended = F.greatest(*(candidate(F.col(s), i, closing) for i, s in enumerate(named.values())))
     return pairs.groupBy("task_id").agg(
         F.max(ended).alias("ended"),
         F.max(candidate(plain, 0, F.col("note_type") == "author_response")).alias("response"),

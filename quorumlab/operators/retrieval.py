@@ -1,7 +1,7 @@
 """Token-overlap and BM25 retrieval as inverted-index joins.
 
-Queries and candidates meet on (partition, token) only, so pairs without a common token never exist;
-counts of common tokens are pre-aggregated, and the last step keeps k rows of each query.
+Queries and candidates meet on rare tokens only, so pairs without a common token never exist; what those give
+bounds which further tokens a better candidate must have, and the last step keeps k rows of each query.
 """
 
 from __future__ import annotations
@@ -11,30 +11,65 @@ from pyspark.sql import functions as F
 
 from quorumlab.functions import lexicons as L
 from quorumlab.functions import text as T
+from quorumlab.sources.files import staged
 
 K1, B = 1.4, 0.75
 
 
-def memory_topk(queries: DataFrame, memory: DataFrame, k: int = 5) -> DataFrame:
+def memory_topk(queries: DataFrame, memory: DataFrame, k: int = 5, rare: int = 3) -> DataFrame:
     """Per (query, dimension) the k memories of highest Jaccard similarity, then score, then ordinal.
 
     ``queries``: query_id, query_text. ``memory``: memory_id, ord, dimension, input_text, mapped_score, gold_label.
-    Memories without a common token have similarity 0 and fill up where a query has fewer than k others;
-    only the first 2k - 1 of each dimension can be needed for that. Queries without tokens get nothing.
+    Queries first meet memories on their ``rare`` rarest tokens; the k-th best similarity found there is a bound t.
+    A memory that reaches t shares one of a query's |q| - ceil(t |q|) + 1 rarest tokens, so only these are joined
+    then, and common tokens never are where a bound exists. Memories without a common token have similarity 0
+    and fill up where a query has fewer than k others; only the first 2k - 1 of each dimension can be needed for
+    that. Queries without tokens get nothing.
     """
-    q = queries.select("query_id", F.array_distinct(T.token_list("query_text")).alias("tokens")).where(F.size("tokens") > 0)
-    m = memory.select("memory_id", "ord", "dimension", "mapped_score", "gold_label", F.array_distinct(T.token_list("input_text")).alias("tokens")).withColumn("m_size", F.size("tokens"))
-    left = q.select("query_id", F.size("tokens").alias("q_size"), F.explode("tokens").alias("token"))
-    right = m.select("memory_id", F.explode("tokens").alias("token"))
-    common = left.join(right, "token").groupBy("query_id", "q_size", "memory_id").agg(F.count(F.lit(1)).alias("common"))
-    facts = m.drop("tokens")
-    hits = common.join(facts, "memory_id").withColumn("similarity", T.round4(F.col("common") / (F.col("q_size") + F.col("m_size") - F.col("common"))))
-    spare = facts.withColumn("rn", F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("mapped_score"), "ord"))).where(F.col("rn") <= 2 * k - 1)
-    # every query may need the first 2k - 1 memories of a dimension: a bounded list, joined on a constant key per dimension
-    fill = q.select("query_id", F.explode(F.array(*(F.lit(i) for i in range(1, 2 * k)))).alias("rn")).join(spare, "rn").join(hits.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
+    m = memory.select("memory_id", "ord", "dimension", "mapped_score", "gold_label", F.array_distinct(T.token_list("input_text")).alias("own"))
+    m = staged(m, "memory-tokens")
+    q = staged(queries.select("query_id", F.array_distinct(T.token_list("query_text")).alias("tokens")).where(F.size("tokens") > 0), "query-tokens")
+    index = m.select("memory_id", "dimension", F.explode("own").alias("token"))
+    frequency = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    # a query's tokens that some memory has, the rarest first
+    known = q.select("query_id", F.explode("tokens").alias("token")).join(frequency, "token")
+    order = Window.partitionBy("query_id").orderBy("df", "token")
+    known = staged(known.withColumn("place", F.row_number().over(order)).select("query_id", "token", "place"), "query-places")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(q, "query_id").join(m, "memory_id").withColumn("common", F.size(F.array_intersect("tokens", "own")))
+        similarity = T.round4(F.col("common") / (F.size("tokens") + F.size("own") - F.col("common")))
+        return rows.select("query_id", "memory_id", "ord", "dimension", "mapped_score", "gold_label", similarity.alias("similarity"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.join(index, "token").select("query_id", "dimension", "memory_id").distinct()
+
+    first = compared(met(known.where(F.col("place") <= rare)).select("query_id", "memory_id"))
+    best = Window.partitionBy("query_id", "dimension").orderBy(F.desc("similarity"))
+    bounds = first.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy("query_id", "dimension").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("t"))
+    # similarities are rounded to four decimals, so a tie with the bound may lie below it by as much
+    bound = F.when(F.col("n") == k, F.greatest(F.col("t") - 0.0001, F.lit(0.0))).otherwise(0.0)
+    bounds = bounds.select("query_id", bound.alias("t"))
+    needed = q.select("query_id", F.size("tokens").alias("size"))
+    # tokens are joined for all dimensions at once, so the lowest bound of a query counts
+    reach = bounds.groupBy("query_id").agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("bounded"))
+    n_dimensions = m.select("dimension").distinct().count()
+    reach = needed.join(reach, "query_id", "left").select("query_id", F.when(F.col("bounded") == n_dimensions, F.col("size") - F.ceil(F.col("t") * F.col("size")) + 1).otherwise(F.col("size")).alias("reach"))
+    pairs = met(known.join(reach, "query_id").where(F.col("place") <= F.col("reach"))).select("query_id", "memory_id")
+    hits = compared(pairs)
     names = ["query_id", "memory_id", "ord", "dimension", "mapped_score", "gold_label", "similarity"]
-    both = hits.select(*names).unionByName(fill.withColumn("similarity", F.lit(0.0)).select(*names))
+    # the first 2k - 1 memories of each dimension, a short list, beside every query
+    rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("mapped_score"), "ord"))
+    facts = [n for n in names if n not in ("query_id", "similarity")]
+    spare = m.withColumn("rn", rank).where(F.col("rn") <= 2 * k - 1).agg(F.collect_list(F.struct(*facts)).alias("spare"))
+    listed = [r.asDict() for r in spare.first()["spare"]]  # 2k - 1 rows for each dimension
+    if not listed:
+        return hits.withColumn("rank", F.lit(1))
+    one = F.broadcast(q.sparkSession.createDataFrame([(1, listed)], f"one int, spare array<struct<{', '.join(f'{n}: {m.schema[n].dataType.simpleString()}' for n in facts)}>>"))
+    fill = q.select("query_id", F.lit(1).alias("one")).join(one, "one").select("query_id", F.inline("spare"))
+    fill = fill.join(hits.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti").withColumn("similarity", F.lit(0.0))
     order = Window.partitionBy("query_id", "dimension").orderBy(F.desc("similarity"), F.desc("mapped_score"), "ord")
+    both = hits.select(*names).unionByName(fill.select(*names))
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -119,30 +154,52 @@ def evidence_verdict(claims: DataFrame, best: DataFrame) -> DataFrame:
     return rows.select("task_id", verdict.alias("verdict"))
 
 
-def case_retrieval(cases: DataFrame, k: int = 5) -> DataFrame:
+def case_retrieval(cases: DataFrame, k: int = 5, rare: int = 3, bonus: float = 0.18) -> DataFrame:
     """BM25 over labelled cases with a bonus for an equal type, leaving out the query's own paper.
 
-    Corpus statistics of a query are the global ones less those of its paper, so none is recomputed.
-    ``cases``: case_id, paper_id, claim_type, text, label.
+    Corpus statistics of a query are the global ones less those of its paper, so none is recomputed. Queries first
+    meet cases on their ``rare`` rarest terms; the k-th best whole score found there is a bound. Terms whose
+    largest possible weights add up to less than the bound cannot lift a case over it by themselves, so cases
+    are sought on the other, rarer terms only, and then scored on all. ``cases``: case_id, paper_id, claim_type, text,
+    label. Cases without tokens find nothing and are not found.
     """
-    docs = cases.withColumn("tokens", T.token_list("text")).withColumn("length", F.size("tokens"))
+    docs = staged(cases.withColumn("tokens", T.token_list("text")).withColumn("length", F.size("tokens")), "cases")
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("len")).first()
     n_all, len_all = total["n"], total["len"] or 0
     own = docs.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_own"), F.sum("length").alias("len_own"))
-    counts = docs.select("case_id", "paper_id", F.explode("tokens").alias("term")).groupBy("case_id", "paper_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df_all"))
+    counts = docs.select("case_id", "paper_id", "length", F.explode("tokens").alias("term")).groupBy("case_id", "paper_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = staged(counts, "case-terms")
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df_all"), F.max("tf").alias("most"))
     df_own = counts.groupBy("term", "paper_id").agg(F.count(F.lit(1)).alias("df_own"))
-    q = counts.select(F.col("case_id").alias("query_id"), F.col("paper_id").alias("query_paper"), "term").join(df, "term")
-    q = q.join(df_own.withColumnRenamed("paper_id", "query_paper"), ["term", "query_paper"]).join(own.withColumnRenamed("paper_id", "query_paper"), "query_paper")
-    q = q.select("query_id", "query_paper", "term", (F.col("df_all") - F.col("df_own")).alias("df"), (F.lit(n_all) - F.col("n_own")).alias("n"), ((F.lit(len_all) - F.col("len_own")) / F.greatest(F.lit(n_all) - F.col("n_own"), F.lit(1))).alias("mean_length"))
-    facts = docs.select("case_id", "claim_type", "label", "length")
-    hits = q.where("df > 0").join(counts, "term").where("paper_id <> query_paper").join(facts, "case_id")
-    weight = term_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean_length"))
-    found = hits.groupBy("query_id", "case_id", "claim_type", "label").agg(F.sum(weight).alias("raw"))
-    types = docs.select(F.col("case_id").alias("query_id"), F.col("claim_type").alias("query_type"), F.col("label").alias("query_label"))
-    found = found.join(types, "query_id").withColumn("score", F.round(F.col("raw") + F.when(F.col("claim_type") == F.col("query_type"), 0.18).otherwise(0.0), 4))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "case_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    q = counts.select("case_id", "paper_id", "term").join(df, "term").join(df_own, ["term", "paper_id"]).join(own, "paper_id")
+    others = F.lit(n_all) - F.col("n_own")
+    mean = (F.lit(len_all) - F.col("len_own")) / F.greatest(others, F.lit(1))
+    q = q.select(F.col("case_id").alias("query_id"), F.col("paper_id").alias("query_paper"), "term", (F.col("df_all") - F.col("df_own")).alias("df"), others.alias("n"), mean.alias("mean_length"), "most").where("df > 0")
+    # no case weighs a term more than one of the term's largest count and no length
+    ceiling = term_weight(F.col("most"), F.col("df"), F.col("n"), F.lit(0), F.col("mean_length"))
+    order = Window.partitionBy("query_id").orderBy("df", "term")
+    q = q.withColumns({"place": F.row_number().over(order), "rest": F.sum(ceiling).over(order.rowsBetween(0, Window.unboundedFollowing))})
+    q = staged(q, "query-terms")
+    types = docs.select("case_id", "claim_type", "label")
+
+    def met(terms: DataFrame) -> DataFrame:
+        return terms.select("query_id", "query_paper", "term").join(counts, "term").where("paper_id <> query_paper").select("query_id", "case_id").distinct()
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        hits = pairs.join(q, "query_id").join(counts.select("case_id", "term", "tf", "length"), ["case_id", "term"])
+        weight = term_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean_length"))
+        found = hits.groupBy("query_id", "case_id").agg(F.sum(weight).alias("raw")).join(types, "case_id")
+        asked = types.select(F.col("case_id").alias("query_id"), F.col("claim_type").alias("query_type"), F.col("label").alias("query_label"))
+        found = found.join(asked, "query_id")
+        return found.withColumn("score", F.round(F.col("raw") + F.when(F.col("claim_type") == F.col("query_type"), bonus).otherwise(0.0), 4))
+
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "case_id")
+    first = scored(met(q.where(F.col("place") <= rare))).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    bounds = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("bound"))
+    # a case that only has terms from a place on scores ``rest`` there and the bonus at most
+    open_terms = q.join(bounds, "query_id", "left").where((F.coalesce("found", F.lit(0)) < k) | (F.col("rest") + bonus + 0.001 >= F.col("bound")))
+    found = scored(staged(met(open_terms), "case-pairs"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def retrieval_metrics(found: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:

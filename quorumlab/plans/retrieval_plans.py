@@ -138,8 +138,8 @@ def evidence_verdict(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.evidence_verdict(claims, retrieval.bm25_evidence(claims, _sections(spark, d)))
 
 
-_CASES = "SELECT 'c' || doc_id AS case_id, 'p' || (doc_id - doc_id % 4) AS paper_id, {k}[doc_id % 10 + 1] AS claim_type, array_to_string(string_split(text, ' ')[1:20], ' ') AS text, CASE quality WHEN 1 THEN 'strong' ELSE 'weak' END AS label FROM documents JOIN labels USING (doc_id)".format(k=S._list(L.CLAIM_TYPES))
-S.add_cte("cases", f"SELECT *, {S.d_token_list('text')} AS tk FROM ({_CASES})")
+_CASES = "SELECT task_id AS case_id, paper_id, claim_type, claim_text AS text, CASE meta_label WHEN 'survived' THEN 'strong' ELSE 'weak' END AS label FROM claims JOIN claim_labels USING (task_id)"
+S.add_cte("cases", f"SELECT *, {S.d_token_list('text')} AS tk FROM ({_CASES})", "claims", "claim_labels")
 S.add_cte("case_tf", "SELECT case_id, paper_id, term, length, count(*) AS tf FROM (SELECT case_id, paper_id, len(tk) AS length, unnest(tk) AS term FROM cases) GROUP BY ALL", "cases")
 S.add_cte(
     "case_found",
@@ -155,14 +155,10 @@ JOIN case_tf t ON t.term = q.term AND t.paper_id <> q.paper_id WHERE q.df > 0 GR
 
 
 def _cases(spark: SparkSession, d: str) -> DataFrame:
-    docs = S.table(spark, d, "documents").join(S.table(spark, d, "labels"), "doc_id")
-    return docs.select(
-        F.concat(F.lit("c"), "doc_id").alias("case_id"),
-        F.concat(F.lit("p"), F.col("doc_id") - F.col("doc_id") % 4).alias("paper_id"),
-        F.element_at(T.words_of(L.CLAIM_TYPES), (F.col("doc_id") % 10 + 1).cast("int")).alias("claim_type"),
-        F.array_join(F.slice(F.split("text", " "), 1, 20), " ").alias("text"),
-        F.when(F.col("quality") == 1, "strong").otherwise("weak").alias("label"),
-    )
+    """Every labelled claim, whole, with its label."""
+    rows = S.claims(spark, d).join(S.claim_labels(spark, d).select("task_id", "meta_label"), "task_id")
+    label = F.when(F.col("meta_label") == "survived", "strong").otherwise("weak")
+    return rows.select(F.col("task_id").alias("case_id"), "paper_id", "claim_type", F.col("claim_text").alias("text"), label.alias("label"))
 
 
 @query(S.sql("SELECT query_id, rank, case_id, score FROM case_found", "case_found"))

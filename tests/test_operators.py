@@ -59,6 +59,31 @@ def test_memory_fills_up_with_the_best_scores(spark):
     assert [(r["query_id"], r["memory_id"], r["similarity"]) for r in found] == [(1, "m1", 1.0), (1, "m0", 0.5), (1, "m2", 0.0), (3, "m2", 0.0), (3, "m3", 0.0), (3, "m4", 0.0)]
 
 
+def test_bounded_searches_are_exact(spark):
+    """Top lists with bounds against comparing every query with everything, with common words in all texts."""
+    rng = random.Random(2)
+    words = [f"word{i}" for i in range(60)]
+    weights = [60 // (i + 1) + 1 for i in range(60)]
+    texts = [" ".join(["common", *rng.choices(words, weights, k=rng.randint(1, 14))]) for _ in range(120)]
+    queries = spark.createDataFrame([(i, " ".join(["common", *rng.choices(words, weights, k=rng.randint(1, 10))])) for i in range(25)] + [(99, "unseen thing")], "query_id int, query_text string")
+    rows = [(f"m{i}", i, "ab"[i % 2], t, round(rng.random(), 2), "l") for i, t in enumerate(texts)]
+    memory = spark.createDataFrame(rows, "memory_id string, ord int, dimension string, input_text string, mapped_score double, gold_label string")
+    tokens = lambda t: set(t.split())
+    expected = set()
+    for r in queries.collect():
+        for d in "ab":
+            own = tokens(r["query_text"])
+            ranked = sorted((-round(len(own & tokens(t)) / len(own | tokens(t)), 4), -s, i, m) for m, i, x, t, s, _ in rows if x == d)
+            expected |= {(r["query_id"], d, n + 1, x[3]) for n, x in enumerate(ranked[:4])}
+    for rare in (1, 3):
+        found = {(r["query_id"], r["dimension"], r["rank"], r["memory_id"]) for r in retrieval.memory_topk(queries, memory, 4, rare).collect()}
+        assert found == expected
+    cases = spark.createDataFrame([(f"c{i:03}", f"p{i // 3}", "xy"[i % 2], t, "l") for i, t in enumerate(texts)], "case_id string, paper_id string, claim_type string, text string, label string")
+    whole = {(r["query_id"], r["case_id"]): r["score"] for r in retrieval.case_retrieval(cases, 4, 1000).collect()}
+    for rare in (1, 2):
+        assert {(r["query_id"], r["case_id"]): r["score"] for r in retrieval.case_retrieval(cases, 4, rare).collect()} == whole
+
+
 CLAIMS = [
     ("t1", "p1", "r1", 0, 0, "The baseline comparison is missing in every experiment", "baseline"),
     ("t2", "p1", "r2", 1, 0, "Missing baseline comparison for the main experiment", "baseline"),
