@@ -92,7 +92,7 @@ def _d_dedupe_tokens(x: str) -> str:
 
 
 #: The stand-in claims with each third one repeated in other words and joined with the one before it.
-_VARIED = "CASE claim_index % 3 WHEN 1 THEN 'Weaknesses: ' || upper(before_text) || ' should' WHEN 2 THEN claim_text || ' ' || before_text ELSE claim_text END"
+_VARIED = "CASE claim_index % 3 WHEN 1 THEN 'Weaknesses: ' || before_text || ' should' WHEN 2 THEN claim_text || ' ' || before_text ELSE claim_text END"
 S.add_cte("varied", f"SELECT review_id, claim_index, {_VARIED} AS claim_text FROM (SELECT *, coalesce(lag(claim_text) OVER (PARTITION BY review_id ORDER BY claim_index), '') AS before_text FROM claims)", "claims")
 S.add_cte("numbered", f"SELECT review_id, claim_index, claim_text, {_d_dedupe_tokens('claim_text')} AS tk, row_number() OVER (PARTITION BY review_id ORDER BY claim_index) AS rn FROM varied", "varied")
 S.add_cte("greedy", """SELECT * FROM (WITH RECURSIVE walk AS (
@@ -113,7 +113,7 @@ def dedupe_claims(spark: SparkSession, d: str) -> DataFrame:
     before = F.coalesce(F.lag("claim_text").over(Window.partitionBy("review_id").orderBy("claim_index")), F.lit(""))
     at, text = F.col("claim_index") % 3, F.col("claim_text")
     rows = S.claims(spark, d).select("review_id", "claim_index", "claim_text", before.alias("before_text"))
-    varied = F.when(at == 1, F.concat(F.lit("Weaknesses: "), F.upper("before_text"), F.lit(" should"))).when(at == 2, F.concat_ws(" ", text, "before_text")).otherwise(text)
+    varied = F.when(at == 1, F.concat(F.lit("Weaknesses: "), "before_text", F.lit(" should"))).when(at == 2, F.concat_ws(" ", text, "before_text")).otherwise(text)
     found = C.deduplicated(rows.select("review_id", "claim_index", varied.alias("claim_text")))
     return found.select("review_id", F.col("claim_index").cast("bigint").alias("claim_index"), "claim_text")
 
@@ -139,7 +139,7 @@ def locate_source(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Pages get headings: some open a section, some repeat the open one.
-_PAGED = "array_to_string([['Abstract', '1 Introduction to It', 'References', 'Appendix', 'no heading'][page_id % 5 + 1], {text}, 'B.2 More of It: part (two)', upper(left({text}, 40)), 'APPENDIX'], chr(10))"
+_PAGED = "array_to_string([['Abstract', '1 Introduction to It', 'References', 'Appendix', 'no heading'][page_id % 5 + 1], {text}, 'B.2 More of It: part (two)', left({text}, 40), 'APPENDIX'], chr(10))"
 S.add_cte(
     "page_lines",
     f"""SELECT paper_id, page, pos, line, CASE WHEN starts_with(lower(line), 'abstract') THEN 'Abstract' WHEN starts_with(lower(line), 'appendix') THEN 'Appendix'
@@ -162,7 +162,7 @@ SELECT * FROM walk)""", "page_texts")
 def chunk_pages(spark: SparkSession, d: str) -> DataFrame:
     pages = S.table(spark, d, "pages").withColumn("t", T.clean_text("html"))
     opening = F.element_at(T.words_of(("Abstract", "1 Introduction to It", "References", "Appendix", "no heading")), (F.col("page_id") % 5 + 1).cast("int"))
-    text = F.concat_ws("\n", opening, "t", F.lit("B.2 More of It: part (two)"), F.upper(F.left("t", F.lit(40))), F.lit("APPENDIX"))
+    text = F.concat_ws("\n", opening, "t", F.lit("B.2 More of It: part (two)"), F.left("t", F.lit(40)), F.lit("APPENDIX"))
     return C.chunked_pages(pages.select(F.concat(F.lit("p"), F.col("page_id") - F.col("page_id") % 3).alias("paper_id"), F.col("page_id").alias("page"), text.alias("text")))
 
 
