@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quorumlab.llm import chat, decontaminate, language, packing, quality, queries, rules, secrets, simhash, substrings, token_files
+from quorumlab.llm import chat, decontaminate, language, near_copies, packing, quality, queries, rules, secrets, simhash, substrings, token_files
 from quorumlab.llm.encoding import PieceEncoder
 from quorumlab.llm.shared import joined_by_hot, new_path
 
@@ -629,6 +629,25 @@ def test_deduplicated_finds_near_copies(spark):
     assert 60 < len(set(root)) < 300 and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
 
 
+def test_sets_that_meet_on_rare_shingles(spark):
+    """No pair of other roots at 0.8 is missed; sets that share only a common passage are not paired."""
+    rng = random.Random(11)
+    passage, sets = list(range(40)), []
+    for i in range(120):  # families of near sets around a passage that all hold
+        own = [1000 + 100 * (i // 4) + k for k in range(rng.choice((8, 30)))]
+        sets.append(sorted(set(passage) | set(own) - set(rng.sample(own, rng.randint(0, 4))) | {50_000 + i}))
+    sets += [[7], [7, 8, 9, 10], [7, 8, 9, 10, 11], sets[0][1:]]
+    rows = [(i, len(s), i // 2, s) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "node bigint, n bigint, root bigint, s array<bigint>")
+    found = {(r["a"], r["b"]) for r in near_copies.by_rare_shingles(table.drop("s"), table.select("node", "s"), 0.8).collect()}
+    near = lambda a, b: 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))
+    expected = {(i, j) for j in range(len(sets)) for i in range(j) if i // 2 != j // 2 and near(sets[i], sets[j])}
+    assert len(expected) > 100 and expected <= found and all(i // 2 != j // 2 for i, j in found)
+    apart = [(i, 60, i, passage + [10_000 + 20 * i + k for k in range(20)]) for i in range(60)]
+    table = spark.createDataFrame(apart, "node bigint, n bigint, root bigint, s array<bigint>")
+    assert near_copies.by_rare_shingles(table.drop("s"), table.select("node", "s"), 0.8).count() == 0
+
+
 # decontamination
 
 
