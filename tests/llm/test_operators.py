@@ -629,23 +629,51 @@ def test_deduplicated_finds_near_copies(spark):
     assert 60 < len(set(root)) < 300 and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
 
 
-def test_sets_that_meet_on_rare_shingles(spark):
-    """No pair of other roots at 0.8 is missed; sets that share only a common passage are not paired."""
+def test_sets_that_meet_on_rare_differences(spark):
+    """No pair of other roots at 0.8 is missed; sets that share only a common passage or their head are not paired."""
     rng = random.Random(11)
-    passage, sets = list(range(40)), []
+    schema, base = "head bigint, node bigint, n bigint, root bigint", list(range(100))
+    passage, sets = list(range(40)), [base, list(range(70)), [7, 8, 9, 10]]
     for i in range(120):  # families of near sets around a passage that all hold
         own = [1000 + 100 * (i // 4) + k for k in range(rng.choice((8, 30)))]
         sets.append(sorted(set(passage) | set(own) - set(rng.sample(own, rng.randint(0, 4))) | {50_000 + i}))
-    sets += [[7], [7, 8, 9, 10], [7, 8, 9, 10, 11], sets[0][1:]]
-    rows = [(i, len(s), i // 2, s) for i, s in enumerate(sets)]
-    table = spark.createDataFrame(rows, "node bigint, n bigint, root bigint, s array<bigint>")
-    found = {(r["a"], r["b"]) for r in near_copies.by_rare_shingles(table.drop("s"), table.select("node", "s"), 0.8).collect()}
+    for i in range(120):  # edits of the first head, few of them common to several sets, around the bound
+        cut = rng.sample(base, rng.randint(0, 14)) + base[: rng.choice((0, 0, 9))]
+        sets.append(sorted(set(base) - set(cut) | {60_000 + rng.randrange(200) for _ in range(rng.randint(0, 14))}))
+    sets += [[7], [7, 8, 9, 10, 11], sets[3][1:], list(range(125)), list(range(126))]
     near = lambda a, b: 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))
-    expected = {(i, j) for j in range(len(sets)) for i in range(j) if i // 2 != j // 2 and near(sets[i], sets[j])}
-    assert len(expected) > 100 and expected <= found and all(i // 2 != j // 2 for i, j in found)
-    apart = [(i, 60, i, passage + [10_000 + 20 * i + k for k in range(20)]) for i in range(60)]
-    table = spark.createDataFrame(apart, "node bigint, n bigint, root bigint, s array<bigint>")
-    assert near_copies.by_rare_shingles(table.drop("s"), table.select("node", "s"), 0.8).count() == 0
+    rows, expected = [], set()
+    for h in range(3):  # all sets meet at each of three heads
+        root = {i: h if near(sets[h], sets[i]) else i for i in range(len(sets))}
+        rows += [(h, i, len(s), root[i]) for i, s in enumerate(sets) if i != h]
+        expected |= {(i, j) for j in range(len(sets)) for i in range(j) if h not in (i, j) and root[i] != root[j] and near(sets[i], sets[j])}
+    table = spark.createDataFrame(list(enumerate(sets)), "node bigint, s array<bigint>")
+    found = {(r["a"], r["b"]) for r in near_copies.by_differences(spark.createDataFrame(rows, schema), table, 0.8).collect()}
+    assert len(expected) > 300 and expected <= found and 5 * len(found) < len(sets) * (len(sets) - 1) / 2
+    passages = [[*passage, *range(10_000 + 20 * i, 10_020 + 20 * i)] for i in range(60)]
+    edits = [sorted(set(base) - set(rng.sample(base, 18)) | set(range(20_000 + 9 * i, 20_009 + 9 * i))) for i in range(60)]
+    for apart, most in ((passages, 0), (edits, 60 * 59 / 2 / 5)):
+        assert not any(near(base, s) for s in apart)
+        rows = [(0, i, len(s), i) for i, s in enumerate(apart, 1)]
+        table = spark.createDataFrame(list(enumerate([base, *apart])), "node bigint, s array<bigint>")
+        assert near_copies.by_differences(spark.createDataFrame(rows, schema), table, 0.8).count() <= most
+    assert near_copies.by_differences(spark.createDataFrame([], schema), table, 0.8).count() == 0
+
+
+def test_family_around_one_base(spark):
+    """Edits of one base, many of which fall just short of it and of each other: components equal brute force."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = []
+    for _ in range(250):
+        copy = list(base)
+        for _ in range(rng.randint(1, 6)):
+            copy[rng.randrange(150)] = f"v{rng.randrange(20)}"
+        texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    expected = naive_near_copies(rows)
+    assert 10 < len(expected) < 240 and {r["doc_id"] for r in kept.collect()} == expected
 
 
 # decontamination
