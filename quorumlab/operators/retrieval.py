@@ -16,61 +16,87 @@ from quorumlab.sources.files import staged
 K1, B = 1.4, 0.75
 
 
-def memory_topk(queries: DataFrame, memory: DataFrame, k: int = 5, rare: int = 3) -> DataFrame:
+def least_common(t: Column, n: Column, size: Column) -> Column:
+    """How many tokens sets of ``n`` and ``size`` must share for a Jaccard similarity of ``t``; one at least."""
+    return F.greatest(F.ceil(t * (n + size) / (1 + t) - 1e-9), F.lit(1))
+
+
+def memory_topk(queries: DataFrame, memory: DataFrame, k: int = 5, *, rare: int = 20, near: float = 2.0, spare_hits: int = 2) -> DataFrame:
     """Per (query, dimension) the k memories of highest Jaccard similarity, then score, then ordinal.
 
     ``queries``: query_id, query_text. ``memory``: memory_id, ord, dimension, input_text, mapped_score, gold_label.
-    Queries first meet memories on their ``rare`` rarest tokens; the k-th best similarity found there is a bound t.
-    A memory that reaches t shares one of a query's |q| - ceil(t |q|) + 1 rarest tokens, so only these are joined
-    then, and common tokens never are where a bound exists. Memories without a common token have similarity 0
-    and fill up where a query has fewer than k others; only the first 2k - 1 of each dimension can be needed for
-    that. Queries without tokens get nothing.
+
+    Equal token sets are indexed once, and only their k best members of a dimension are kept. Postings carry a class of
+    the set's size (four to a doubling). Each query keeps the k-th best similarity of each dimension, t. A set of s tokens
+    reaches t with a query of n only by ``c = t (n + s) / (1 + t)`` common tokens; so of a query's tokens, ordered from
+    the rarest, all but the last c - p are joined with the postings of a size class, and pairs that meet fewer than
+    p = ``spare_hits`` times are left out. Large sets need many common tokens, so they meet on rare ones only, and classes
+    that need more than the query has are not joined. Bounds come from three passes: the tokens with up to ``rare``
+    postings together; sets up to ``near`` times the query's size; the larger ones. What passes is verified by whole
+    sets, so results are exact. Memories without a common token have similarity 0 and fill up where a query has fewer
+    than k others; only the first 2k - 1 of each dimension, a short list, can be needed for that. Queries without tokens
+    get nothing; dimensions are few by nature (a list on the driver).
     """
-    m = memory.select("memory_id", "ord", "dimension", "mapped_score", "gold_label", F.array_distinct(T.token_list("input_text")).alias("own"))
-    m = staged(m, "memory-tokens")
-    q = staged(queries.select("query_id", F.array_distinct(T.token_list("query_text")).alias("tokens")).where(F.size("tokens") > 0), "query-tokens")
-    index = m.select("memory_id", "dimension", F.explode("own").alias("token"))
+    facts = ["memory_id", "ord", "dimension", "mapped_score", "gold_label"]
+    m = memory.select(*facts, F.array_sort(F.array_distinct(T.token_list("input_text"))).alias("own"))
+    m = staged(m.withColumn("set_id", F.md5(F.array_join("own", " "))), "memory-tokens")
+    merit = Window.partitionBy("set_id", "dimension").orderBy(F.desc("mapped_score"), "ord")
+    members = m.select("set_id", *facts).withColumn("n", F.row_number().over(merit)).where(F.col("n") <= k).drop("n")
+    members = staged(members, "memory-members")
+    lower_bits = "greatest(length(bin(size)) - 3, 0)"
+    low = F.expr(f"shiftleft(shiftright(size, {lower_bits}), {lower_bits})")
+    sets = m.groupBy("set_id").agg(F.first("own").alias("own"), F.collect_set("dimension").alias("dimensions")).withColumn("size", F.size("own"))
+    sets = staged(sets.withColumn("low", low).where("size > 0"), "memory-sets")
+    index = sets.select("set_id", "size", "low", F.explode("own").alias("token"))
     frequency = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    q = staged(queries.select("query_id", F.array_distinct(T.token_list("query_text")).alias("tokens")).where(F.size("tokens") > 0), "query-tokens")
     # a query's tokens that some memory has, the rarest first
-    known = q.select("query_id", F.explode("tokens").alias("token")).join(frequency, "token")
+    known = q.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(frequency, "token")
     order = Window.partitionBy("query_id").orderBy("df", "token")
-    known = staged(known.withColumn("place", F.row_number().over(order)).select("query_id", "token", "place"), "query-places")
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(q, "query_id").join(m, "memory_id").withColumn("common", F.size(F.array_intersect("tokens", "own")))
-        similarity = T.round4(F.col("common") / (F.size("tokens") + F.size("own") - F.col("common")))
-        return rows.select("query_id", "memory_id", "ord", "dimension", "mapped_score", "gold_label", similarity.alias("similarity"))
-
-    def met(rows: DataFrame) -> DataFrame:
-        return rows.join(index, "token").select("query_id", "dimension", "memory_id").distinct()
-
-    first = compared(met(known.where(F.col("place") <= rare)).select("query_id", "memory_id"))
-    best = Window.partitionBy("query_id", "dimension").orderBy(F.desc("similarity"))
-    bounds = first.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy("query_id", "dimension").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("t"))
-    # similarities are rounded to four decimals, so a tie with the bound may lie below it by as much
-    bound = F.when(F.col("n") == k, F.greatest(F.col("t") - 0.0001, F.lit(0.0))).otherwise(0.0)
-    bounds = bounds.select("query_id", bound.alias("t"))
-    needed = q.select("query_id", F.size("tokens").alias("size"))
-    # tokens are joined for all dimensions at once, so the lowest bound of a query counts
-    reach = bounds.groupBy("query_id").agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("bounded"))
-    n_dimensions = m.select("dimension").distinct().count()
-    reach = needed.join(reach, "query_id", "left").select("query_id", F.when(F.col("bounded") == n_dimensions, F.col("size") - F.ceil(F.col("t") * F.col("size")) + 1).otherwise(F.col("size")).alias("reach"))
-    pairs = met(known.join(reach, "query_id").where(F.col("place") <= F.col("reach"))).select("query_id", "memory_id")
-    hits = compared(pairs)
-    names = ["query_id", "memory_id", "ord", "dimension", "mapped_score", "gold_label", "similarity"]
-    # the first 2k - 1 memories of each dimension, a short list, beside every query
+    places = {"place": F.row_number().over(order), "postings": F.sum("df").over(order), "known": F.count(F.lit(1)).over(Window.partitionBy("query_id"))}
+    known = staged(known.withColumns(places), "query-places")
+    # the first 2k - 1 memories of each dimension
     rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("mapped_score"), "ord"))
-    facts = [n for n in names if n not in ("query_id", "similarity")]
-    spare = m.withColumn("rn", rank).where(F.col("rn") <= 2 * k - 1).agg(F.collect_list(F.struct(*facts)).alias("spare"))
-    listed = [r.asDict() for r in spare.first()["spare"]]  # 2k - 1 rows for each dimension
-    if not listed:
-        return hits.withColumn("rank", F.lit(1))
-    one = F.broadcast(q.sparkSession.createDataFrame([(1, listed)], f"one int, spare array<struct<{', '.join(f'{n}: {m.schema[n].dataType.simpleString()}' for n in facts)}>>"))
+    listed = [r.asDict() for r in m.select(*facts).withColumn("rn", rank).where(F.col("rn") <= 2 * k - 1).drop("rn").collect()]
+    spare = f"array<struct<{', '.join(f'{n}: {m.schema[n].dataType.simpleString()}' for n in facts)}>>"
+    one = F.broadcast(q.sparkSession.createDataFrame([(1, listed)], f"one int, spare {spare}"))
     fill = q.select("query_id", F.lit(1).alias("one")).join(one, "one").select("query_id", F.inline("spare"))
-    fill = fill.join(hits.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti").withColumn("similarity", F.lit(0.0))
-    order = Window.partitionBy("query_id", "dimension").orderBy(F.desc("similarity"), F.desc("mapped_score"), "ord")
-    both = hits.select(*names).unionByName(fill.select(*names))
-    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    dimensions = F.array(*(F.lit(d) for d in sorted({r["dimension"] for r in listed}, key=str))).cast(f"array<{m.schema['dimension'].dataType.simpleString()}>")
+    classes = staged(sets.select(F.explode("dimensions").alias("dimension"), "low").distinct(), "size-classes")
+    best = Window.partitionBy("query_id", "dimension").orderBy(F.desc("similarity"), F.desc("mapped_score"), "ord")
+    names = ["query_id", *facts, "similarity"]
+
+    def first_k(rows: DataFrame) -> DataFrame:
+        return rows.select(*names).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The k best members of the paired sets, by whole sets."""
+        both = pairs.join(q, "query_id").join(sets.select("set_id", "own"), "set_id").withColumn("common", F.size(F.array_intersect("tokens", "own")))
+        similarity = T.round4(F.col("common") / (F.size("tokens") + F.size("own") - F.col("common")))
+        return first_k(both.select("query_id", "set_id", similarity.alias("similarity")).join(members, "set_id"))
+
+    def met(found: DataFrame, sizes: Column) -> DataFrame:
+        """Pairs of the size classes ``sizes`` that can still reach the k-th best of ``found``."""
+        bounds = found.groupBy("query_id", "dimension").agg(F.count(F.lit(1)).alias("rows"), F.min("similarity").alias("t"))
+        each = known.select("query_id", "n", "known").distinct().withColumn("dimension", F.explode(dimensions))
+        # similarities are rounded to four decimals, so a tie with the bound may lie below it by as much
+        t = F.when(F.col("rows") == k, F.greatest(F.col("t") - 0.0001, F.lit(0.0))).otherwise(0.0)
+        need = each.join(bounds, ["query_id", "dimension"], "left").withColumn("t", t).join(classes, "dimension").where(sizes)
+        need = need.groupBy("query_id", "n", "known", "low").agg(F.min("t").alias("t")).withColumn("need", least_common(F.col("t"), F.col("n"), F.col("low")))
+        need = need.where(F.col("need") <= F.col("known")).withColumn("hits", F.least("need", F.lit(spare_hits)))
+        asked = known.select("query_id", "token", "place").join(need, "query_id").where(F.col("place") <= F.col("known") - F.col("need") + F.col("hits"))
+        seen = asked.select("query_id", "token", "low", "n", "t", "need", "hits").join(index, ["token", "low"])
+        seen = seen.groupBy("query_id", "set_id").agg(F.count(F.lit(1)).alias("c"), *(F.first(x).alias(x) for x in ("n", "t", "need", "hits", "size")))
+        enough = (F.col("c") >= F.col("hits")) & (F.col("c") + F.col("need") - F.col("hits") >= least_common(F.col("t"), F.col("n"), F.col("size")))
+        return seen.where(enough).select("query_id", "set_id")
+
+    rarest = known.where((F.col("place") == 1) | (F.col("postings") <= rare)).select("query_id", "token")
+    found = staged(verified(rarest.join(index, "token").select("query_id", "set_id").distinct()), "best-memories")
+    for sizes in (F.col("low") <= near * F.col("n"), F.col("low") > near * F.col("n")):
+        more = verified(met(found, sizes))
+        found = staged(first_k(found.drop("rank").unionByName(more.drop("rank")).distinct()), "best-memories")
+    fill = fill.join(found.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti").withColumn("similarity", F.lit(0.0))
+    return first_k(found.select(*names).unionByName(fill.select(*names)))
 
 
 def memory_prior(found: DataFrame) -> DataFrame:
