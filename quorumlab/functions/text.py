@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import operator
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlab.functions import lexicons as L
@@ -33,6 +33,11 @@ def map_of(values: dict) -> Column:
     return F.expr(f"map({', '.join(_sql(x) for pair in values.items() for x in pair)})")
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns that are computed once, however often later steps name them."""
+    return df.select("*", F.inline(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))))
+
+
 def round4(x: Column) -> Column:
     return F.round(x, 4)
 

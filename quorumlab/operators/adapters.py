@@ -99,16 +99,31 @@ def spans(df: DataFrame) -> DataFrame:
 
 
 def alignments(review: DataFrame, rebuttal: DataFrame) -> DataFrame:
-    """Review sentences with the rebuttal sentences aligned to them, and a robustness label by ordered rules.
+    """Review sentences with the rebuttal sentences aligned to them, and how far these go towards the point.
 
-    ``review``: doc, sentence, text. ``rebuttal``: doc, targets (array of sentences), action, text.
+    ``review``: doc, sentence. ``rebuttal``: doc, pos, targets (array of sentences), action, stance, text. The context
+    is the aligned texts in order, repeated ones once; cases of actions and stances don't count.
     """
-    each = rebuttal.select("doc", F.explode("targets").alias("sentence"), "action")
-    sets = each.groupBy("doc", "sentence").agg(F.array_sort(F.collect_set("action")).alias("actions"), F.count(F.lit(1)).alias("n"))
-    rows = review.join(sets, ["doc", "sentence"], "left")
-    has = lambda *x: F.arrays_overlap("actions", T.words_of(x))
-    label = F.when(F.col("actions").isNull(), "unanswered").when(has("reject", "contradict"), "contested").when(has("done", "concede"), "resolved").when(has("answer"), "answered").otherwise("acknowledged")
-    return rows.select("doc", "sentence", F.coalesce("n", F.lit(0)).alias("n"), label.alias("gold_label"))
+    plain = lambda c: F.lower(T.clean_ws(c))
+    each = rebuttal.select("doc", F.explode("targets").alias("sentence"), "pos", plain("action").alias("action"), plain("stance").alias("stance"), T.clean_ws("text").alias("text"))
+    some = lambda c, words: F.max(F.col(c).isin(*words))
+    texts = F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("pos", "text")))), lambda x: x["text"])
+    found = each.groupBy("doc", "sentence").agg(
+        F.count(F.lit(1)).alias("n"),
+        some("action", L.SETTLING_ACTIONS).alias("settled"),
+        some("stance", L.ANSWERING_STANCES).alias("answered"),
+        some("action", L.HALF_ACTIONS).alias("half"),
+        F.array_join(F.array_distinct(texts), "\n").alias("context"),
+    )
+    label = (
+        F.when(F.col("n").isNull(), "not_addressed")
+        .when(F.col("settled"), "resolved_or_weakened")
+        .when(F.col("answered"), "specifically_addressed")
+        .when(F.col("half"), "partially_addresses")
+        .otherwise("generic_or_unclear")
+    )
+    rows = review.join(found, ["doc", "sentence"], "left")
+    return rows.select("doc", "sentence", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("context", F.lit("")).alias("context_text"), label.alias("gold_label"))
 
 
 def argument_pairs(lines: DataFrame) -> DataFrame:

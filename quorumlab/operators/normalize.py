@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quorumlab.functions import lexicons as L
 from quorumlab.functions import text as T
 
 
@@ -51,20 +52,26 @@ def papers_of(replies: DataFrame) -> DataFrame:
     return replies.groupBy("paper_id").agg(F.count_if(kind == "official_review").alias("reviews"), F.count_if(kind == "meta_review").alias("decisions"), F.coalesce(last, F.lit("")).alias("decision_text"))
 
 
-REVIEWER_SIGNAL = r"(strength|weakness|concern|the|question|recommend)"
-ADMIN_PATTERN = r"(we thank|camera-ready|dear |uploaded)"
+def one_of(patterns: tuple[str, ...]) -> str:
+    return "(?is)" + "|".join(f"(?:{p})" for p in patterns)
 
 
-def rolling_reviews(replies: DataFrame, since_ms: int, least: int = 80) -> DataFrame:
-    """Comments of a rolling venue that read as reviews; papers without any are left out.
+def rolling_reviews(papers: DataFrame, comments: DataFrame, year: int, least: int = 80) -> DataFrame:
+    """Comments of a rolling venue that read as reviews, as reviews; papers without any are left out.
 
-    Kept: papers with a decision or with activity since ``since_ms``; comments of at least ``least`` characters
-    with a reviewer signal, by reviewers, without author or admin patterns.
+    ``papers``: paper_id, status, modified_ms. ``comments``: paper_id, reply_id, invitation, title, comment. Kept are
+    decided papers and those of the year, and of their official comments those of at least ``least`` characters that
+    have a reviewer's signal and nothing of an author's response or of administration.
     """
-    current = replies.groupBy("paper_id").agg(((F.max("created_ms") >= since_ms) | (F.count_if(F.col("note_type") == "meta_review") > 0)).alias("keep")).where("keep")
-    low = F.lower(F.coalesce("text", F.lit("")))
-    reviews = replies.where(F.col("note_type").isin("official_comment", "official_review") & (F.col("role") == "reviewer") & (F.length(low) >= least) & low.rlike(REVIEWER_SIGNAL) & ~low.rlike(ADMIN_PATTERN))
-    return reviews.join(current, "paper_id", "left_semi").select("paper_id", "reply_id", F.length("text").cast("bigint").alias("n_chars"))
+    status = F.coalesce("status", F.lit(""))
+    current = T.any_word(F.lower(status), L.DECIDED_STATUS) | (F.year(F.timestamp_millis("modified_ms")) == year)
+    papers = papers.where(current).select("paper_id", F.when(status == "", "Unknown").otherwise(T.clean_text(status)).alias("decision"))
+    said = F.array_join(F.filter(F.array(T.stripped(F.coalesce("title", F.lit(""))), T.stripped(F.coalesce("comment", F.lit("")))), lambda x: x != ""), "\n")
+    rows = comments.where(F.contains("invitation", F.lit("/-/Official_Comment"))).withColumn("said", said)
+    compact = T.clean_ws("said")
+    rows = rows.where((F.length(compact) >= least) & ~compact.rlike(one_of(L.AUTHOR_OR_ADMIN)) & F.col("said").rlike(one_of(L.REVIEWER_SIGNALS)))
+    texts = [T.clean_text(x).alias(name) for x, name in (("said", "review_text"), ("title", "summary"), ("comment", "weaknesses"))]
+    return rows.join(papers, "paper_id").select("paper_id", F.col("reply_id").alias("review_id"), "decision", *texts)
 
 
 def auxiliary(replies: DataFrame) -> DataFrame:

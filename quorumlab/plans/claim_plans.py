@@ -48,14 +48,70 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FOLD = lambda x: f"lower({S.d_clean_ws(x)})"
-_TYPES = S._in(L.CLAIM_TYPES)
+_TAILS = ("", " (implied)", " It should compare.", " rating of 5", " This is terrible.", " Why is it?", " A weak reject is given.", " source sentence", " (inferred from context).", " Fine.")
+_KINDS, _WEIGHTS, _NAMED = (*L.AUDITED_TYPES, "odd"), (*L.AUDITED_WEIGHTS, "odd"), ("review_text", "weaknesses", "summary", "other")
+S.add_cte(
+    "proposed",
+    f"""SELECT task_id, review_id, claim_text || {S._list(_TAILS)}[n % 10 + 1] AS claim_text, {S._list(_NAMED)}[n % 4 + 1] AS source_field, {S._list(_KINDS)}[n % 12 + 1] AS claim_type, {S._list(_WEIGHTS)}[n % 6 + 1] AS importance,
+CASE n % 5 WHEN 0 THEN replace(left(claim_text, 30), ' ', '  ') WHEN 1 THEN claim_text WHEN 2 THEN left(claim_text, 20) || ' zz' WHEN 3 THEN '' ELSE left(claim_text, 25) END AS quote
+FROM (SELECT *, length(claim_text) AS n FROM claims)""",
+    "claims",
+)
+S.add_cte("quotable", "SELECT reply_id AS review_id, text AS review_text, 'Weaknesses: ' || text AS weaknesses, '' AS summary FROM v_reply", "v_reply")
+
+
+def _d_phrase(x: str, words) -> str:
+    listed = "|".join(words).replace("'", "''")
+    return rf"regexp_matches({x}, '(^|[^\p{{L}}\p{{N}}_])({listed})($|[^\p{{L}}\p{{N}}_])')"
+
 
+def _d_meta(x: str) -> str:
+    return f"(len(list_filter({S._list(L.META_CUES)}, lambda w: contains({x}, w))) > 0 OR regexp_matches({x}, '\\brating of\\s+[0-9]'))"
 
-@query(S.sql(f"SELECT task_id, CASE WHEN claim_type IN ({_TYPES}) THEN claim_type ELSE 'general' END AS claim_type, CASE WHEN importance IN ('major', 'medium', 'minor', 'question') THEN importance ELSE 'medium' END AS importance FROM candidates WHERE {S.d_clean_ws('claim_text')} <> '' AND {S.d_clean_ws('quote')} <> '' AND contains({_FOLD('field_text')}, {_FOLD('quote')})", "candidates"))
+
+def _d_question(x: str) -> str:
+    low = f"lower({S.d_clean_ws(x)})"
+    return f"(suffix({low}, '?') OR (split_part({low}, ' ', 1) IN ({S._in(L.QUESTION_STARTERS)}) AND contains({x}, '?')))"
+
+
+_BOTH = f"{_FOLD('claim')} || ' ' || {_FOLD('sentence')}"
+_LABEL, _ASIDE = r"(?i)^\s*(summary|strengths|weaknesses|questions|rating|confidence)\s*:\s*", r"(?i)\s*\((implied|implicit|inferred)[^)]*\)\.?\s*\z"
+S.add_cte(
+    "quoted",
+    f"""SELECT task_id, {S.d_clean("claim_text")} AS claim, {S.d_clean("quote")} AS sentence, replace(claim_type, 'odd', 'general') AS kind, replace(importance, 'odd', 'medium') AS weight,
+{S.d_clean("CASE source_field WHEN 'review_text' THEN review_text WHEN 'weaknesses' THEN weaknesses ELSE summary END")} AS field
+FROM proposed JOIN quotable USING (review_id) WHERE source_field <> 'other'""",
+    "proposed",
+    "quotable",
+)
+S.add_cte("held", f"SELECT *, {S.d_strip(f"regexp_replace(sentence, '{_LABEL}', '')")} AS plain FROM quoted WHERE claim <> '' AND sentence <> '' AND field <> '' AND contains({_FOLD('field')}, {_FOLD('sentence')})", "quoted")
+S.add_cte(
+    "mended",
+    f"SELECT task_id, sentence, kind, weight, {S.d_strip(f"regexp_replace(CASE WHEN NOT {_d_meta(_FOLD('claim'))} THEN claim WHEN NOT {_d_meta(_FOLD('plain'))} THEN plain ELSE '' END, '{_ASIDE}', '')")} AS claim FROM held",
+    "held",
+)
+
+
+@query(
+    S.sql(
+        f"""SELECT task_id, kind AS claim_type, weight AS importance, md5(claim) AS digest FROM mended WHERE claim <> '' AND ({_d_phrase(_BOTH, L.TONE_CUES)}
+OR (kind <> 'tone' AND weight <> 'tone-only' AND ({_d_question("claim")} OR {_d_question("sentence")} OR weight = 'question'
+OR ({_d_phrase(_BOTH, L.SCORE_CUES)} AND {_d_phrase(_BOTH, L.REASON_CUES)}) OR {_d_phrase(_BOTH, L.LIMITATION_CUES)} OR {_d_phrase(_BOTH, L.REQUEST_CUES)})))""",
+        "mended",
+    )
+)
 def validate_claims(spark: SparkSession, d: str) -> DataFrame:
-    rows = _candidates(spark, d).withColumn("source_sentence", F.col("quote")).drop("field_text")
-    reviews = S.view(spark, d, "v_reply").select(F.col("reply_id").alias("review_id"), F.col("text").alias("review_text"))
-    return C.validated(rows, reviews).select("task_id", "claim_type", "importance")
+    text, n = F.col("claim_text"), F.length("claim_text")
+    pick = lambda values: F.element_at(T.words_of(values), n % len(values) + 1)
+    quote = F.when(n % 5 == 0, F.replace(F.left(text, F.lit(30)), F.lit(" "), F.lit("  "))).when(n % 5 == 1, text)
+    quote = quote.when(n % 5 == 2, F.concat(F.left(text, F.lit(20)), F.lit(" zz"))).when(n % 5 == 3, "").otherwise(F.left(text, F.lit(25)))
+    rows = S.claims(spark, d).select(
+        "task_id", "review_id", F.concat(text, pick(_TAILS)).alias("claim_text"), pick(_NAMED).alias("source_field"),
+        pick(_KINDS).alias("claim_type"), pick(_WEIGHTS).alias("importance"), quote.alias("source_sentence"),
+    )
+    fields = [F.col("text").alias("review_text"), F.concat(F.lit("Weaknesses: "), "text").alias("weaknesses"), F.lit("").alias("summary")]
+    reviews = S.view(spark, d, "v_reply").select(F.col("reply_id").alias("review_id"), *fields)
+    return C.validated(rows, reviews).select("task_id", "claim_type", "importance", F.md5(F.col("claim_text").cast("binary")).alias("digest"))
 
 
 S.add_cte(

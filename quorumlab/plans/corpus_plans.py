@@ -287,16 +287,34 @@ def adapt_spans(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", "tag", digest("text"), digest("evidence"), "gold_label")
 
 
-_ACT = "['reject', 'done', 'answer', 'thank']"
+_ACTIONS = ("rebuttal_done", "rebuttal_future", "rebuttal_answer", "Rebuttal_Resolved", "", "rebuttal_reject", "rebuttal_partial")
+_STANCES = ("concur", "dispute", "Answer ", "mitigate", "nonarg")
 
 
-@query(f"SELECT doc, sentence, n, CASE WHEN n = 0 THEN 'unanswered' WHEN list_contains(acts, 'reject') THEN 'contested' WHEN list_contains(acts, 'done') THEN 'resolved' WHEN list_contains(acts, 'answer') THEN 'answered' ELSE 'acknowledged' END AS gold_label FROM (SELECT r.doc, r.sentence, count(b.action) AS n, list(b.action) FILTER (b.action IS NOT NULL) AS acts FROM (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS sentence FROM lineitem WHERE l_linestatus = 'O') r LEFT JOIN (SELECT l_orderkey AS doc, unnest([l_linenumber, l_linenumber + 1]) AS sentence, {_ACT}[l_suppkey % 4 + 1] AS action FROM lineitem WHERE l_returnflag = 'N') b USING (doc, sentence) GROUP BY ALL)")
+@query(
+    f"""WITH reply AS (
+  SELECT l_orderkey AS doc, unnest([l_linenumber, l_linenumber + 1]) AS sentence, l_partkey AS pos, {S._list(_ACTIONS)}[l_suppkey % 7 + 1] AS act, {S._list(_STANCES)}[l_partkey % 5 + 1] AS stance,
+         'about ' || l_partkey % 3 AS said FROM lineitem WHERE l_returnflag = 'N'),
+grouped AS (
+  SELECT doc, sentence, count(*) AS n, bool_or(lower(act) IN ('rebuttal_done', 'rebuttal_resolution', 'rebuttal_resolved')) AS a, bool_or(trim(lower(stance)) IN ('concur', 'answer')) AS b,
+         bool_or(lower(act) IN ('rebuttal_future', 'rebuttal_partial', 'rebuttal_followup')) AS c FROM reply GROUP BY ALL),
+texts AS (SELECT doc, sentence, string_agg(said, chr(10) ORDER BY pos) AS context_text FROM (SELECT doc, sentence, said, min(pos) AS pos FROM reply GROUP BY ALL) GROUP BY ALL)
+SELECT r.doc, r.sentence, coalesce(n, 0) AS n, coalesce(context_text, '') AS context_text,
+       CASE WHEN n IS NULL THEN 'not_addressed' WHEN a THEN 'resolved_or_weakened' WHEN b THEN 'specifically_addressed' WHEN c THEN 'partially_addresses' ELSE 'generic_or_unclear' END AS gold_label
+FROM (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS sentence FROM lineitem WHERE l_linestatus = 'O') r LEFT JOIN grouped USING (doc, sentence) LEFT JOIN texts USING (doc, sentence)"""
+)
 def adapt_alignments(spark: SparkSession, d: str) -> DataFrame:
     lines = S.table(spark, d, "lineitem")
     review = lines.where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("int").alias("sentence")).distinct()
-    action = F.element_at(T.words_of(("reject", "done", "answer", "thank")), (F.col("l_suppkey") % 4 + 1).cast("int"))
-    at = F.col("l_linenumber").cast("int")
-    rebuttal = lines.where("l_returnflag = 'N'").select(F.col("l_orderkey").alias("doc"), F.array(at, at + 1).alias("targets"), action.alias("action"))
+    at, part = F.col("l_linenumber").cast("int"), F.col("l_partkey")
+    rebuttal = lines.where("l_returnflag = 'N'").select(
+        F.col("l_orderkey").alias("doc"),
+        part.alias("pos"),
+        F.array(at, at + 1).alias("targets"),
+        F.element_at(T.words_of(_ACTIONS), (F.col("l_suppkey") % 7 + 1).cast("int")).alias("action"),
+        F.element_at(T.words_of(_STANCES), (part % 5 + 1).cast("int")).alias("stance"),
+        F.concat(F.lit("about "), part % 3).alias("text"),
+    )
     return adapters.alignments(review, rebuttal)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
+from quorumlab.functions import lexicons as L
+from quorumlab.functions import text as T
 from quorumlab.operators import normalize
 from quorumlab.plans import standins as S
 from quorumlab.plans.registry import query
@@ -106,9 +107,42 @@ def normalize_threads(spark: SparkSession, d: str) -> DataFrame:
     return normalize.papers_of(normalize.classified(_read(spark, d)))
 
 
-@query(S.sql(f"SELECT paper_id, reply_id, length(text) AS n_chars FROM v_reply WHERE note_type IN ('official_comment', 'official_review') AND length(text) >= 80 AND regexp_matches(lower(text), '{normalize.REVIEWER_SIGNAL}') AND NOT regexp_matches(lower(text), '{normalize.ADMIN_PATTERN}') AND paper_id IN (SELECT paper_id FROM v_reply GROUP BY paper_id HAVING max(created_ms) >= 4000 OR count(*) FILTER (note_type = 'meta_review') > 0)", "v_reply"))
+_SIGNALS = ("", " The paper has weaknesses.", " We recommend a major revision.", " The authors thank nobody.", " Strengths are missing.", " We have updated the appendix and the paper.", " Thank you.")
+_TITLES = ("", "Comment", "Response to Reviewer 2", "A concern", "Summary of changes")
+_STATUSES = ("Accepted by V", "Under review for V", "Withdrawn by authors", "", "Rejected", "Submitted")
+_YEAR_MS = 1_500_000_000_000
+S.add_cte(
+    "comments",
+    f"""SELECT paper_id, reply_id, invitation, {S._list(_TITLES)}[length(text) % 5 + 1] AS title, text || {S._list(_SIGNALS)}[length(text) % 7 + 1] AS comment FROM reply""",
+    "reply",
+)
+S.add_cte(
+    "rolling_papers",
+    f"SELECT paper_id, {S._list(_STATUSES)}[n % 6 + 1] AS status, {_YEAR_MS} + n * 2592000000 AS modified_ms FROM (SELECT paper_id, CAST(sum(length(text)) AS BIGINT) % 36 AS n FROM v_reply GROUP BY paper_id)",
+    "v_reply",
+)
+_SAID = "CASE WHEN title = '' THEN {0} ELSE title || chr(10) || {0} END".format(S.d_strip("comment"))
+
+
+@query(
+    S.sql(
+        f"""SELECT paper_id, reply_id AS review_id, CASE WHEN status = '' THEN 'Unknown' ELSE status END AS decision, md5({S.d_clean("said")}) AS review_text, {S.d_clean("title")} AS summary, md5({S.d_clean("comment")}) AS weaknesses
+FROM (SELECT *, {_SAID} AS said FROM comments WHERE contains(invitation, '/-/Official_Comment')) JOIN rolling_papers USING (paper_id)
+WHERE (contains(lower(status), 'accepted') OR contains(lower(status), 'rejected') OR contains(lower(status), 'withdrawn') OR year(make_timestamp(modified_ms * 1000)) = 2018)
+AND length({S.d_clean_ws("said")}) >= 80 AND NOT regexp_matches({S.d_clean_ws("said")}, '{normalize.one_of(L.AUTHOR_OR_ADMIN)}') AND regexp_matches(said, '{normalize.one_of(L.REVIEWER_SIGNALS)}')""",
+        "comments",
+        "rolling_papers",
+    )
+)
 def normalize_rolling_venue(spark: SparkSession, d: str) -> DataFrame:
-    return normalize.rolling_reviews(normalize.classified(_read(spark, d)), 4000)
+    n, size = F.length("text"), F.sum(F.length("text")) % 36
+    replies = _read(spark, d).select(F.col("id").alias("paper_id"), F.inline("replies"))
+    pick = lambda values, at: F.element_at(T.words_of(values), (at + 1).cast("int"))
+    papers = replies.groupBy("paper_id").agg(pick(_STATUSES, size % 6).alias("status"), (size * 2_592_000_000 + _YEAR_MS).alias("modified_ms"))
+    comments = replies.select("paper_id", "reply_id", "invitation", pick(_TITLES, n % 5).alias("title"), F.concat("text", pick(_SIGNALS, n % 7)).alias("comment"))
+    found = normalize.rolling_reviews(papers, comments, 2018)
+    digest = [F.md5(F.col(c).cast("binary")).alias(c) for c in ("review_text", "weaknesses")]
+    return found.select("paper_id", "review_id", "decision", "summary", *digest)
 
 
 @query(S.sql("SELECT paper_id, count(*) FILTER (note_type = 'author_response') AS responses, CAST(coalesce(sum(length(text)) FILTER (note_type = 'author_response'), 0) AS BIGINT) AS response_chars, count(*) FILTER (note_type IN ('official_comment', 'meta_review')) AS discussions, CAST(coalesce(sum(length(text)) FILTER (note_type IN ('official_comment', 'meta_review')), 0) AS BIGINT) AS discussion_chars, array_to_string(list_sort(list_distinct(coalesce(list(left(sha1(paper_id || ':' || signer), 16)) FILTER (note_type = 'official_review'), []))), ',') AS reviewers FROM reply GROUP BY paper_id", "reply"))
