@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlab.functions import lexicons as L
 from quorumlab.functions import text as T
+from quorumlab.operators import extremes
+from quorumlab.sources.files import staged
 
 WEIGHTS = {"grounding": 0.15, "specificity": 0.15, "consensus": 0.18, "rebuttal": 0.25, "discussion": 0.07, "meta": 0.20}
 MODES = ("deterministic_proxy", "consensus_labels", "rebuttal_labels", "all_labels")
@@ -199,18 +203,110 @@ def calibrated_reviews(rows: DataFrame, reviews: DataFrame) -> DataFrame:
     )
 
 
-def compared(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two scored runs joined on the task: mean, median and absolute difference by label transition."""
-    a = left.select("task_id", F.col("robustness").alias("a"), F.col("robustness_label").alias("la"))
-    b = right.select("task_id", F.col("robustness").alias("b"), F.col("robustness_label").alias("lb"))
-    delta = F.round(F.col("b") - F.col("a"), 4)
-    rows = a.join(b, "task_id").withColumn("delta", delta)
-    return rows.groupBy(F.concat_ws("->", "la", "lb").alias("transition")).agg(
+def compared(left: DataFrame, right: DataFrame, examples: int = 8) -> DataFrame:
+    """Two scored runs joined on the task, as rows of sections.
+
+    ``all`` and each ``transition`` of labels: tasks and mean, median and mean absolute difference. ``changed``: tasks of
+    another label and their share. ``signal``: the mean difference of each. ``lowest`` and ``highest``: the tasks of the
+    largest drops and gains, by place.
+    """
+    signals = [f"s_{k}" for k in WEIGHTS]
+    a = left.select("task_id", F.col("robustness").alias("a"), F.col("robustness_label").alias("la"), *(F.col(s).alias(f"a{s}") for s in signals))
+    b = right.select("task_id", F.col("robustness").alias("b"), F.col("robustness_label").alias("lb"), *(F.col(s).alias(f"b{s}") for s in signals))
+    deltas = [F.round(F.col(f"b{s}") - F.col(f"a{s}"), 4).alias(s) for s in signals]
+    rows = a.join(b, "task_id").select("task_id", "la", "lb", F.round(F.col("b") - F.col("a"), 4).alias("delta"), *deltas)
+    rows = staged(rows, "run-deltas")
+
+    def measured(grouped):
+        return grouped.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.round(F.avg("delta"), 4).alias("value"),
+            F.round(F.percentile("delta", F.lit(0.5)), 4).alias("median"),
+            F.round(F.avg(F.abs("delta")), 4).alias("mean_abs"),
+        )
+
+    def section(df: DataFrame, name: str) -> DataFrame:
+        kinds = {"name": "string", "place": "int", "n": "bigint", "value": "double", "median": "double", "mean_abs": "double"}
+        return df.select(F.lit(name).alias("section") if name else F.col("section"), *((F.col(c) if c in df.columns else F.lit(None).cast(k)).alias(c) for c, k in kinds.items()))
+
+    changed = F.col("la") != F.col("lb")
+    means = F.array(*(F.struct(F.lit(k).alias("name"), F.col(f"m_{k}").alias("value")) for k in WEIGHTS))
+    by_signal = rows.agg(F.count(F.lit(1)).alias("n"), *(T.mean4(f"s_{k}").alias(f"m_{k}") for k in WEIGHTS)).select("n", F.inline(means))
+    ends = extremes.two_ended(rows.select(F.lit(0).alias("g"), "task_id", "delta"), ["g"], "delta", ["task_id"], lowest=examples, highest=examples)
+    parts = [
+        section(measured(rows.groupBy()).withColumn("name", F.lit("all")), "all"),
+        section(measured(rows.groupBy(F.concat_ws("->", "la", "lb").alias("name"))), "transition"),
+        section(rows.agg(F.count_if(changed).alias("n"), T.rate(changed).alias("value")).withColumn("name", F.lit("labels")), "changed"),
+        section(by_signal, "signal"),
+        section(ends.select(F.col("end").alias("section"), F.col("task_id").alias("name"), "place", F.lit(1).cast("bigint").alias("n"), F.col("delta").alias("value")), ""),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def calibration_report(reviews: DataFrame, claims: DataFrame, examples: int = 8) -> DataFrame:
+    """Means of calibrated reviews, overall and by style and rating, and examples of reviews and claims, by section.
+
+    ``lowest`` and ``highest``: the reviews of least and largest reliability. ``rebuttal_resolved``, ``consensus``,
+    ``high_robustness`` and ``low_robustness``: the first claims of each kind. ``reviews``: ``calibrated_reviews``.
+    """
+    reviews, claims = staged(reviews, "calibrated-reviews"), staged(claims.select("task_id", "robustness", "robustness_label", "rebuttal_label", "consensus_proxy"), "calibrated-claims")
+    counts = [
+        F.count(F.lit(1)).alias("review_count"),
+        F.sum("claim_count").alias("claim_count"),
+        F.round(F.avg("reliability"), 4).alias("reliability"),
+        F.round(F.avg("calibrated_reliability"), 4).alias("calibrated_reliability"),
+        F.round(F.avg("severity"), 4).alias("severity"),
+    ]
+    numbers = ["review_count", "claim_count", "reliability", "calibrated_reliability", "severity"]
+    facts = ["review_id", "style_label", "rating_label", "claim_count", "reliability", "calibrated_reliability", "severity"]
+    ends = extremes.two_ended(reviews.select(F.lit(0).alias("g"), *facts), ["g"], "reliability", ["review_id"], lowest=examples, highest=examples)
+    kinds = F.filter(
+        F.array(
+            F.when(F.col("rebuttal_label") == "likely_resolved_or_answered", F.lit("rebuttal_resolved")),
+            F.when(F.col("consensus_proxy").isin("strong", "partial"), F.lit("consensus")),
+            F.when(F.col("robustness_label") == "high", F.lit("high_robustness")),
+            F.when(F.col("robustness_label") == "low", F.lit("low_robustness")),
+        ),
+        lambda k: k.isNotNull(),
+    )
+    some = claims.select(F.explode(kinds).alias("section"), F.lit(0).alias("first"), "task_id", "robustness", "robustness_label")
+    some = extremes.two_ended(some, ["section"], "first", ["task_id"], lowest=examples)
+    none, zero = F.lit(None).cast("string"), F.lit(None).cast("int")
+    groups = reviews.groupBy("style_label", "rating_label").agg(*counts)
+    total = reviews.groupBy().agg(*counts)
+    parts = [
+        total.select(F.lit("all").alias("section"), none.alias("name"), zero.alias("place"), none.alias("style_label"), none.alias("rating_label"), *numbers),
+        groups.select(F.lit("group").alias("section"), none.alias("name"), zero.alias("place"), "style_label", "rating_label", *numbers),
+        ends.select(F.col("end").alias("section"), F.col("review_id").alias("name"), "place", "style_label", "rating_label", F.lit(1).cast("bigint").alias("review_count"), *numbers[1:]),
+        some.select("section", F.col("task_id").alias("name"), "place", F.col("robustness_label").alias("style_label"), none.alias("rating_label"), F.lit(0).cast("bigint").alias("review_count"), F.lit(1).cast("bigint").alias("claim_count"), F.col("robustness").alias("reliability"), F.lit(None).cast("double").alias("calibrated_reliability"), F.lit(None).cast("double").alias("severity")),
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def survival_report(claims: DataFrame, papers: DataFrame, examples: int = 12) -> DataFrame:
+    """Survival counts and rates overall and by type, importance, field and decision, and the first claims of each label.
+
+    ``claims``: task_id, paper_id, claim_type, importance, source_field, survival_label. ``papers``: paper_id, decision
+    (of all papers, with claims or without). Decisions without claims have no row.
+    """
+    papers = papers.select("paper_id", T.decision_class("decision").alias("decision"))
+    claims = staged(claims.select("task_id", "paper_id", "claim_type", "importance", "source_field", "survival_label").join(papers, "paper_id", "left"), "survival-claims")
+    facets = ("claim_type", "importance", "source_field", "decision")
+    pairs = F.array(F.struct(F.lit("all").alias("facet"), F.lit("all").alias("value")), *(F.struct(F.lit(k).alias("facet"), F.coalesce(F.nullif(k, F.lit("")), F.lit("unknown")).alias("value")) for k in facets))
+    label = F.col("survival_label")
+    counts = claims.select("survival_label", F.inline(pairs)).groupBy("facet", "value").agg(
         F.count(F.lit(1)).alias("n"),
-        F.round(F.avg("delta"), 4).alias("mean_delta"),
-        F.round(F.percentile("delta", F.lit(0.5)), 4).alias("median_delta"),
-        F.round(F.avg(F.abs("delta")), 4).alias("mean_abs_delta"),
+        F.count_if(label == "survived").alias("survived"),
+        F.count_if(label == "partial").alias("partial"),
+        T.rate(label == "survived").alias("strict_rate"),
+        T.rate(label != "not_found").alias("loose_rate"),
     )
+    decided = papers.groupBy(F.lit("decision").alias("facet"), F.col("decision").alias("value")).agg(F.count(F.lit(1)).alias("papers"))
+    counts = counts.join(decided, ["facet", "value"], "left").withColumn("place", F.lit(None).cast("int"))
+    first = extremes.two_ended(claims.select("survival_label", F.lit(0).alias("first"), "task_id"), ["survival_label"], "first", ["task_id"], lowest=examples)
+    missing = [F.lit(None).cast(k).alias(c) for c, k in counts.dtypes if c not in ("facet", "value", "place")]
+    named = first.select(F.concat(F.lit("example:"), "survival_label").alias("facet"), F.col("task_id").alias("value"), *missing, "place")
+    return counts.unionByName(named)
 
 
 def identity_summary(identities: DataFrame) -> DataFrame:

@@ -228,19 +228,47 @@ def case_retrieval(cases: DataFrame, k: int = 5, rare: int = 3, bonus: float = 0
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def retrieval_metrics(found: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """Per label: queries, hit rate at k, mean reciprocal rank, and the share whose majority label is right."""
+def chance(positives: Column, n: Column, k: int) -> Column:
+    """The probability that k of n rows drawn without return have a positive one: 1 - C(n - p, k) / C(n, k).
+
+    The quotient is the product of (n - p - i) / (n - i) over i < k, exact for any n that a long holds."""
+    draws = F.least(F.lit(k).cast("bigint"), n)
+    miss = F.aggregate(
+        F.sequence(F.lit(0).cast("bigint"), F.greatest(draws - 1, F.lit(0).cast("bigint"))),
+        F.lit(1.0),
+        lambda left, i: left * F.greatest(n - positives - i, F.lit(0).cast("bigint")) / F.greatest(n - i, F.lit(1).cast("bigint")),
+    )
+    return F.when((n <= 0) | (positives <= 0), 0.0).otherwise(1 - miss)
+
+
+def retrieval_metrics(found: DataFrame, cases: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """Per label: queries, hit rate at k, mean reciprocal rank, the share whose majority label among k is right (ties:
+    the label met first), the hit rate of k random cases of other papers, and the share of the largest label.
+
+    ``found``: query_id, query_label, label, rank. ``cases``: case_id, paper_id, label. Queries are the cases. The random
+    rate is computed once for each (paper, label), as all of its queries draw from the same counts.
+    """
     hit = F.col("label") == F.col("query_label")
     per = found.groupBy("query_id", "query_label").agg(F.min(F.when(hit, F.col("rank"))).alias("first"))
-    votes = found.groupBy("query_id", "label").agg(F.count(F.lit(1)).alias("n"))
-    major = votes.groupBy("query_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("major"))
+    votes = found.groupBy("query_id", "label").agg(*(F.count_if(F.col("rank") <= k).alias(f"n_{k}") for k in ks), F.min("rank").alias("met"))
+    major = votes.groupBy("query_id").agg(*(F.max(F.struct(F.col(f"n_{k}").alias("n"), (-F.col("met")).alias("met"), "label"))["label"].alias(f"major_{k}") for k in ks))
     rows = per.join(major, "query_id")
-    return rows.groupBy("query_label").agg(
+    rates = rows.groupBy("query_label").agg(
         F.count(F.lit(1)).alias("queries"),
         *(T.rate(F.coalesce(F.col("first") <= k, F.lit(False))).alias(f"hit_{k}") for k in ks),
         F.round(F.avg(F.coalesce(F.round(1.0 / F.col("first"), 4), F.lit(0.0))), 3).alias("mrr"),
-        T.rate(F.col("major") == F.col("query_label")).alias("majority_accuracy"),
+        *(T.rate(F.col(f"major_{k}") == F.col("query_label")).alias(f"majority_accuracy_{k}") for k in ks),
     )
+    own = cases.groupBy("paper_id", "label").agg(F.count(F.lit(1)).alias("own"))
+    paper = own.groupBy("paper_id").agg(F.sum("own").alias("of_paper"))
+    label = own.groupBy("label").agg(F.sum("own").alias("of_label"))
+    total = cases.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    drawn = own.join(paper, "paper_id").join(label, "label").withColumns({"n": F.lit(total) - F.col("of_paper"), "positives": F.col("of_label") - F.col("own")})
+    drawn = drawn.groupBy("label", "n", "positives").agg(F.sum("own").alias("queries"))  # papers of equal counts are one
+    mean = [F.round(F.sum(chance(F.col("positives"), F.col("n"), k) * F.col("queries")) / F.sum("queries"), 4).alias(f"random_{k}") for k in ks]
+    drawn = drawn.groupBy(F.col("label").alias("query_label")).agg(*mean)
+    largest = label.agg(F.round(F.max("of_label") / max(total, 1), 4).alias("majority_baseline")).first()["majority_baseline"]
+    return rates.join(drawn, "query_label").withColumn("majority_baseline", F.lit(largest))
 
 
 def graded(claims: DataFrame, records: DataFrame, k: int = 3) -> DataFrame:

@@ -166,18 +166,30 @@ def case_retrieval(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.case_retrieval(_cases(spark, d)).select("query_id", F.col("rank").cast("bigint").alias("rank"), "case_id", "score")
 
 
+_FACTORIAL = "list_product(list_transform(range(0, least({k}, n)), lambda i: greatest(n - p - i, 0)::DOUBLE)) / list_product(list_transform(range(0, least({k}, n)), lambda i: (n - i)::DOUBLE))"
+_RANDOM = ", ".join(f"round(avg(CASE WHEN n <= 0 OR p <= 0 THEN 0 ELSE 1 - {_FACTORIAL.format(k=k)} END), 4) AS random_{k}" for k in (1, 3, 5))
+
+
 @query(
     S.sql(
-        """SELECT query_label, count(*) AS queries, """
+        """SELECT * FROM (SELECT query_label, count(*) AS queries, """
         + ", ".join(f"round(count(*) FILTER (first <= {k})::DOUBLE / count(*), 4) AS hit_{k}" for k in (1, 3, 5))
-        + """, round(avg(coalesce(round(1.0::DOUBLE / first, 4), 0)), 3) AS mrr, round(count(*) FILTER (major = query_label)::DOUBLE / count(*), 4) AS majority_accuracy
-FROM (SELECT query_id, query_label, min(rank) FILTER (label = query_label) AS first FROM case_found GROUP BY ALL)
-JOIN (SELECT query_id, first(label ORDER BY n DESC, label) AS major FROM (SELECT query_id, label, count(*) AS n FROM case_found GROUP BY ALL) GROUP BY query_id) USING (query_id) GROUP BY query_label""",
+        + ", round(avg(coalesce(round(1.0::DOUBLE / first, 4), 0)), 3) AS mrr, "
+        + ", ".join(f"round(count(*) FILTER (major_{k} = query_label)::DOUBLE / count(*), 4) AS majority_accuracy_{k}" for k in (1, 3, 5))
+        + " FROM (SELECT query_id, query_label, min(rank) FILTER (label = query_label) AS first FROM case_found GROUP BY ALL) JOIN (SELECT query_id, "
+        + ", ".join(f"first(label ORDER BY n{k} DESC, met) AS major_{k}" for k in (1, 3, 5))
+        + " FROM (SELECT query_id, label, "
+        + ", ".join(f"count(*) FILTER (rank <= {k}) AS n{k}" for k in (1, 3, 5))
+        + f""", min(rank) AS met FROM case_found GROUP BY ALL) GROUP BY query_id) USING (query_id) GROUP BY query_label)
+JOIN (SELECT label AS query_label, {_RANDOM} FROM (SELECT q.label, (SELECT count(*) FROM cases c WHERE c.paper_id <> q.paper_id) AS n, (SELECT count(*) FROM cases c WHERE c.paper_id <> q.paper_id AND c.label = q.label) AS p FROM cases q) GROUP BY label) USING (query_label),
+(SELECT round(max(n)::DOUBLE / sum(n), 4) AS majority_baseline FROM (SELECT label, count(*) AS n FROM cases GROUP BY label))""",
         "case_found",
+        "cases",
     )
 )
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.retrieval_metrics(retrieval.case_retrieval(_cases(spark, d)))
+    cases = _cases(spark, d)
+    return retrieval.retrieval_metrics(retrieval.case_retrieval(cases), cases)
 
 
 @query(S.sql(f"SELECT task_id, record_id, grade, rank FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY grade DESC, record_id) AS rank FROM (SELECT task_id, s.section_id AS record_id, round(10 * len(list_intersect({S.d_plain_tokens('claim_text')}, {S.d_plain_tokens('text')})) + least(length(text) % 90, 50) / 10.0::DOUBLE, 4) AS grade, len(list_intersect({S.d_plain_tokens('claim_text')}, {S.d_plain_tokens('text')})) AS overlap FROM section_claims c JOIN sections s USING (paper_id)) WHERE overlap > 0) WHERE rank <= 3", "section_claims", "sections"))
