@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorumlab.llm.shared import SpanHash, mixed, staged, text_slices, unused
+from quorumlab.llm.skew import joined_salted
 
 #: Slots of the Bloom filter: a bit array of 2 MB, whatever the size of the tables.
 FILTER_BITS = 1 << 24
@@ -114,7 +115,7 @@ def filter_of(windows: DataFrame) -> np.ndarray:
     return table
 
 
-def scanned(docs: DataFrame, table: np.ndarray, sizes: list[int], window: int) -> DataFrame:
+def scanned(docs: DataFrame, table: np.ndarray, sizes: list[int], window: int, longest: int) -> DataFrame:
     """One row per document: doc_id, n_words and the places whose shingle passes the filter.
 
     A place has the shingle's hash and the words around it that a window over it can reach.
@@ -134,27 +135,29 @@ def scanned(docs: DataFrame, table: np.ndarray, sizes: list[int], window: int) -
                     text = np.searchsorted(words.first, at[hit], "right") - 1
                     for t, x, p in zip(text.tolist(), h[hit].view(np.int64).tolist(), at[hit].tolist(), strict=True):
                         a, z = int(words.first[t]), int(words.first[t] + words.count[t])
-                        low, high = max(a, p - window + size), min(z, p + window)
+                        # windows of a short shingle are that shingle; longer ones reach ``window`` words around it
+                        low, high = (max(a, p - window + size), min(z, p + window)) if size == longest else (p, p + size)
                         places[t].append({"at": p - a, "size": size, "h": x, "low": low - a, "around": words.written(low, high)})
                 kind = pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int32()), ("h", pa.int64()), ("low", pa.int64()), ("around", pa.string())]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(texts)), pa.array(words.count.astype(np.int64)), pa.array(places, kind)], names=["doc_id", "n_words", "places"]
                 )
 
-    fields = "doc_id bigint, n_words bigint, places array<struct<at:bigint,size:int,h:bigint,low:bigint,around:string>>"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(find, fields)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    fields = f"doc_id {kind}, n_words bigint, places array<struct<at:bigint,size:int,h:bigint,low:bigint,around:string>>"
+    return docs.select("doc_id", "text").mapInArrow(find, fields)
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, shingle: int = 5, share: int = 20) -> DataFrame:
-    """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per document row: doc_id (of any type), n_words, n_hit, n_items, items_sha256, contaminated."""
     windows = staged(item_windows(items, window, shingle), "item-windows")
     sizes = [r["size"] for r in windows.select("size").distinct().orderBy("size").collect()]  # 1 to ``shingle``
-    found = scanned(docs, filter_of(windows), sizes, window).withColumn("row", F.monotonically_increasing_id())
+    found = scanned(docs, filter_of(windows), sizes, window, shingle).withColumn("row", F.monotonically_increasing_id())
     found = staged(found, "document-places")
     places = found.select("row", "n_words", F.explode("places").alias("p")).select("row", "n_words", "p.*")
 
     # frequency of each shingle that items have, over all documents
-    frequency = places.groupBy("size", "h").agg(F.count("*").alias("df"))
+    frequency = staged(places.groupBy("size", "h").agg(F.count("*").alias("df")), "shingle-frequencies")
     shingles = windows.select("words", "n", "size", F.posexplode("shingles").alias("place", "h")).distinct()
     ranked = shingles.join(frequency, ["size", "h"], "left")
     rarest = ranked.groupBy("words", "n", "size").agg(
@@ -162,7 +165,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, shingl
     )
     prefixes = rarest.where("prefix.df > 0").select("words", "n", "size", "prefix.h", "prefix.place")
 
-    near = places.join(prefixes, ["size", "h"])
+    near = joined_salted(places, prefixes, ["size", "h"], frequency, "df")  # a passage may stand in most documents
     start = F.col("at") - F.col("place")
     near = near.withColumn("start", start).where((F.col("start") >= F.col("low")) & (F.col("start") + F.col("n") <= F.col("n_words")))
     around = F.split("around", " ")
@@ -193,9 +196,13 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 13, shingl
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, *, window: int = 13, shingle: int = 5, share: int = 20) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, each judged by its own doc_id and text."""
+    """The rows of ``docs`` that are not contaminated, each judged by its own doc_id and text.
+
+    Rows are known by SHA-256 of doc_id and text (a null of either differs from every value), so none is taken for
+    another; repeated rows share one verdict."""
     key = unused(docs, "__key")
-    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("0")) for c in ("doc_id", "text")]
+    keyed = docs.withColumn(key, F.unhex(F.sha2(F.concat_ws(";", *parts), 256)))
     bad = contamination(keyed.select(F.col(key).alias("doc_id"), "text"), items, window=window, shingle=shingle, share=share)
     bad = staged(bad.where("contaminated").select(F.col("doc_id").alias(key)).distinct(), "contaminated")
     return keyed.join(bad, key, "left_anti").drop(key).select(*docs.columns)
