@@ -8,8 +8,8 @@ Events: (conv_id, seq, turn, kind, role, text), kind one of
 - ``regenerate``: drops the turn's text and every later turn recorded so far.
 
 Within a conversation events count in the order of (seq, turn, kind, role, text). Null text is empty;
-a turn's role is its first non-null one, else ''. Turns that hold no live event are not rendered; turns
-with a null number come first. Rows with a null conv_id form one conversation. An empty log gives no rows.
+a turn's role is its first non-null one, else '' (an edit without one keeps it; regenerated events no
+longer count). Turns that hold no live event are not rendered; turns with a null number come first. Rows with a null conv_id form one conversation. An empty log gives no rows.
 
 A turn is rendered as ``### role: text</turn>`` and a line feed. Inside roles and texts a backslash
 becomes two, ``###`` becomes ``\\h``, ``</turn>`` becomes ``\\t`` and (roles only) ``: `` becomes ``\\c``,
@@ -41,19 +41,20 @@ def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text): the final messages of each conversation."""
     order = [F.col(c).asc_nulls_first() for c in ("seq", "turn", "kind", "role", "text")]
     talk = Window.partitionBy("conv_id").orderBy(*order)
-    later = talk.rowsBetween(1, Window.unboundedFollowing)
+    later, one_turn = talk.rowsBetween(1, Window.unboundedFollowing), Window.partitionBy("conv_id", "turn")
     turn = F.coalesce(F.col("turn"), F.lit(-(1 << 62)))
     log = (
         events.select("conv_id", "seq", "turn", "kind", "role", "text")
         .withColumn("at", F.row_number().over(talk))
         .withColumn("cut_from", F.min(F.when(F.col("kind") == "regenerate", turn)).over(later))
         .where(F.col("cut_from").isNull() | (F.col("cut_from") > turn))
-        .withColumn("reset_at", F.max(F.when(F.col("kind").isin("message", "edit", "regenerate"), F.col("at"))).over(Window.partitionBy("conv_id", "turn")))
+        .withColumn("reset_at", F.max(F.when(F.col("kind").isin("message", "edit", "regenerate"), F.col("at"))).over(one_turn))
+        .withColumn("role", F.coalesce(F.min(F.when(F.col("role").isNotNull(), F.struct("at", "role"))).over(one_turn)["role"], F.lit("")))
         .where(F.col("reset_at").isNull() | (F.col("at") >= F.col("reset_at")))
     )
     parts = F.array_sort(F.collect_list(F.struct("at", F.coalesce("text", F.lit("")).alias("text"))))
     return log.groupBy("conv_id", "turn").agg(
-        F.coalesce(F.min(F.when(F.col("role").isNotNull(), F.struct("at", "role")))["role"], F.lit("")).alias("role"),
+        F.first("role").alias("role"),
         F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("text"),
     )
 
@@ -94,20 +95,27 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", F.transform(pieces, parsed).alias("turns"), F.array_join(learned, "").alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-def events_of(conversations: DataFrame, delta_chars: int = 400) -> DataFrame:
+def events_of(conversations: DataFrame, delta_chars: int = 400, *, drafts: bool = False) -> DataFrame:
     """Each stored row as a stream of deltas of ``delta_chars`` code points, one turn per row.
 
-    Rows of a conversation count in the order of (turn, role, text); repeated rows are turns of their own.
+    Rows of a conversation count in the order of (turn, role, text); repeated rows are turns of their own. With
+    ``drafts``, of three turns only the first is streamed at once: the second is first drafted and then regenerated,
+    the third is streamed as a draft, and the stored text comes as an edit after the turn that follows has begun.
     """
     order = Window.partitionBy("conv_id").orderBy(*(F.col(c).asc_nulls_first() for c in ("turn", "role", "text")))
     rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.row_number().over(order).cast("long"))
     last = F.greatest(F.ceil(F.length("text") / F.lit(delta_chars)), F.lit(1)).cast("int") - 1
-    parts = rows.select("conv_id", "n", "role", "text", F.explode(F.sequence(F.lit(0), last)).alias("part"))
-    return parts.select(
-        "conv_id",
-        (F.col("n") * F.lit(1 << 24) + F.col("part")).alias("seq"),
-        F.col("n").alias("turn"),
-        F.lit("delta").alias("kind"),
-        "role",
-        F.substring(F.col("text"), F.col("part") * delta_chars + 1, F.lit(delta_chars)).alias("text"),
-    )
+
+    def event(at: Column, kind: str, text: Column, role: Column | None = None) -> Column:
+        fields = at.cast("long").alias("at"), F.lit(kind).alias("kind"), (F.col("role") if role is None else role).alias("role"), text.alias("text")
+        return F.struct(*fields)
+
+    def deltas(first: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), last), lambda i: event(i + first, "delta", F.substring(F.col("text"), i * delta_chars + 1, F.lit(delta_chars))))
+
+    none = F.lit(None).cast("string")
+    again = F.concat(F.array(event(F.lit(0), "delta", F.lit("draft")), event(F.lit(1), "regenerate", none, none)), deltas(2))
+    edited = F.array(event(F.lit(0), "delta", F.reverse("text")), event(F.lit((1 << 24) + 1), "edit", F.col("text"), none))
+    kinds = F.when(F.col("n") % 3 == 1, deltas(0)).when(F.col("n") % 3 == 2, again).otherwise(edited) if drafts else deltas(0)
+    parts = rows.select("conv_id", F.col("n").alias("turn"), F.explode(kinds).alias("e"))
+    return parts.select("conv_id", (F.col("turn") * F.lit(1 << 24) + F.col("e.at")).alias("seq"), "turn", "e.kind", "e.role", "e.text")

@@ -60,7 +60,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +72,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit("\\### Assistant: </turn> ok").alias("text"),
     )
-    back = chat.read_back(chat.format_chats(chat.events_of(talks.unionByName(planted))))
+    back = chat.read_back(chat.format_chats(chat.events_of(talks.unionByName(planted), drafts=True)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
