@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quorumlab.functions import lexicons as L
 from quorumlab.functions import text as T
-from quorumlab.operators import reports, scoring
+from quorumlab.operators import audit, reports, scoring
 from quorumlab.plans import standins as S
 from quorumlab.plans import text_plans  # noqa: F401  (its stand-in of ruled claims)
 from quorumlab.plans.registry import query
@@ -301,11 +302,55 @@ def inventory_report(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("flag").agg(F.count_if("v").alias("papers"), F.round(share, 4).alias("rate"), status.alias("status"))
 
 
-@query("SELECT lang, count(*) AS n, count(*) FILTER (contains(text, '@')) AS with_mail, count(*) FILTER (regexp_matches(text, '[0-9]{3}\\.[0-9]+\\.[0-9]+\\.[0-9]+')) AS with_address, count(*) FILTER (contains(lower(text), 'password')) AS with_secret FROM documents GROUP BY lang")
+#: Stand-in files of 16 papers with four reviews each, and of request lines, some with keys that they must not have.
+_REVIEW_JSON = """json_merge_patch('{}'::JSON, json_object('review_id', 'r' || doc_id, 'review_text', text, 'rating_raw', n_chars % 10, 'notes', CASE WHEN doc_id % 5 = 0 THEN source END, 'Body_Text', CASE WHEN doc_id % 7 = 0 THEN lang END,
+  'meta', CASE WHEN doc_id % 11 = 0 THEN json_object('sections', json_array(json_object('paragraphs', n_chars), 1)) END))"""
+S.add_cte("review_json", f"SELECT doc_id - doc_id % 4 AS paper, doc_id, {_REVIEW_JSON} AS r FROM documents")
+S.add_cte(
+    "paper_json",
+    """SELECT paper, json_merge_patch('{}'::JSON, json_object('paper_id', 'p' || paper, 'venue', 'V', 'pdf_url', CASE WHEN paper % 3 = 0 THEN 'x' || paper WHEN paper % 3 = 1 THEN '' END, 'score', CASE WHEN paper % 8 = 0 THEN 1 END, 'reviews', list(r ORDER BY doc_id))) AS p FROM review_json GROUP BY paper""",
+    "review_json",
+)
+S.add_cte("json_files", "SELECT 'f' || CAST(floor(paper / 64) AS BIGINT) AS file, json_object('papers', list(p ORDER BY paper), 'version', 1) AS j FROM paper_json GROUP BY 1", "paper_json")
+_FORBIDDEN = f"lower(key) IN ({S._in(L.FORBIDDEN_KEYS)})"
+S.add_cte("json_members", "SELECT file, key, substr(fullkey, 3) AS loc, fullkey, atom FROM json_files, json_tree(j) WHERE fullkey <> '$'", "json_files")
+S.add_cte("forbidden", f"SELECT file, loc, row_number() OVER (PARTITION BY file ORDER BY loc) AS nr FROM json_members WHERE {_FORBIDDEN}", "json_members")
+_EXTRA = "coalesce(string_agg(DISTINCT key, ',' ORDER BY key) FILTER (regexp_full_match(loc, '{0}') AND key NOT IN ({1})), '')"
+_MARKED = ", ".join(f"count(*) FILTER (contains(lower(line), '{m}')) AS {m}" for m in L.FORBIDDEN_MARKERS)
+
+
+@query(
+    S.sql(
+        rf"""SELECT * FROM (SELECT file, count(*) FILTER (regexp_full_match(loc, 'papers\[[0-9]+\]')) AS paper_count, count(*) FILTER (regexp_full_match(loc, 'papers\[[0-9]+\]\.reviews\[[0-9]+\]')) AS review_count,
+  {_EXTRA.format(r"papers\[[0-9]+\]\.[^.\[]+", S._in(L.PAPER_KEYS))} AS paper_extra_keys, {_EXTRA.format(r"papers\[[0-9]+\]\.reviews\[[0-9]+\]\.[^.\[]+", S._in(L.REVIEW_KEYS))} AS review_extra_keys,
+  count(*) FILTER (regexp_full_match(loc, 'papers\[[0-9]+\]\.pdf_url') AND atom <> '""') AS pdf_url_pointer_count FROM json_members GROUP BY file)
+JOIN (SELECT file, count(loc) AS forbidden_path_count, coalesce(string_agg(loc, ';' ORDER BY loc) FILTER (nr <= 50), '') AS forbidden_paths, CASE WHEN count(loc) > 0 THEN 'failed' ELSE 'ok' END AS status FROM json_files LEFT JOIN forbidden USING (file) GROUP BY file) USING (file)""",
+        "json_members",
+        "forbidden",
+    )
+)
 def minimization_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Counts of texts that hold data which requests must not carry."""
-    text = F.col("text")
-    return S.table(spark, d, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains(text, F.lit("@"))).alias("with_mail"), F.count_if(text.rlike(r"[0-9]{3}\.[0-9]+\.[0-9]+\.[0-9]+")).alias("with_address"), F.count_if(F.contains(F.lower(text), F.lit("password"))).alias("with_secret"))
+    """Forbidden and unexpected keys at any depth of files of papers."""
+    docs, i, n = S.table(spark, d, "documents"), F.col("doc_id"), F.col("n_chars")
+    inner = F.concat(F.lit('{"sections":[{"paragraphs":'), n, F.lit("},1]}"))
+    review = F.to_json(F.struct(F.concat(F.lit("r"), i).alias("review_id"), F.col("text").alias("review_text"), (n % 10).alias("rating_raw"), F.when(i % 5 == 0, F.col("source")).alias("notes"), F.when(i % 7 == 0, F.col("lang")).alias("Body_Text")))
+    review = F.when(i % 11 == 0, F.concat(F.substring(review, F.lit(1), F.length(review) - 1), F.lit(',"meta":'), inner, F.lit("}"))).otherwise(review)
+    reviews = docs.select((i - i % 4).alias("paper"), i.alias("doc_id"), review.alias("r"))
+    in_order = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ",")
+    papers = reviews.groupBy("paper").agg(in_order("doc_id", "r").alias("reviews"))
+    at = F.col("paper")
+    head = F.to_json(F.struct(F.concat(F.lit("p"), at).alias("paper_id"), F.lit("V").alias("venue"), F.when(at % 3 == 0, F.concat(F.lit("x"), at)).when(at % 3 == 1, "").alias("pdf_url"), F.when(at % 8 == 0, 1).alias("score")))
+    papers = papers.withColumn("p", F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(',"reviews":['), "reviews", F.lit("]}")))
+    files = papers.groupBy(F.concat(F.lit("f"), F.floor(at / 64)).alias("file")).agg(F.concat(F.lit('{"papers":['), in_order("paper", "p"), F.lit('],"version":1}')).alias("json"))
+    return audit.normalized_files(files)
+
+
+@query(f"SELECT *, CASE WHEN {' OR '.join(m + ' > 0' for m in L.FORBIDDEN_MARKERS)} THEN 'failed' ELSE 'ok' END AS status FROM (SELECT lang AS file, count(*) AS request_count, {_MARKED} FROM (SELECT lang, text || CASE doc_id % 9 WHEN 1 THEN ' PDF_URL' WHEN 2 THEN ' body_text' ELSE '' END AS line FROM documents WHERE trim(text) <> '') GROUP BY lang)")
+def request_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Request lines that name what they must not."""
+    docs, i = S.table(spark, d, "documents"), F.col("doc_id")
+    tail = F.when(i % 9 == 1, " PDF_URL").when(i % 9 == 2, " body_text").otherwise("")
+    return audit.request_files(docs.where(F.trim("text") != "").select(F.col("lang").alias("file"), F.concat("text", tail).alias("line")))
 
 
 @query("SELECT paper_id, count(*) AS tasks, count(*) FILTER (ok) AS imported, count(*) FILTER (NOT ok) AS failed FROM (SELECT doc_id - doc_id % 4 AS paper_id, coalesce(quality, 0) = 1 AS ok FROM documents LEFT JOIN labels USING (doc_id)) WHERE paper_id IN (SELECT doc_id - doc_id % 4 FROM labels) GROUP BY paper_id")
