@@ -24,34 +24,55 @@ def _events(spark: SparkSession, d: str, one_by_one: bool = True) -> DataFrame:
     return (reader.option("maxFilesPerTrigger", 1) if one_by_one else reader).parquet(folder)
 
 
+def _last(changes: DataFrame) -> DataFrame:
+    return changes.groupBy(*community.KEYS).agg(F.max(F.struct("ts", "event_id", "choice"))["choice"].alias("choice"))
+
+
 @query(S.sql("SELECT paper_id, reviewer_key, session_id, action FROM live", "live"))
 def vote_state_stream(spark: SparkSession, d: str) -> DataFrame:
     """The last change of each key's vote; withdrawn votes are gone."""
     changes = community.run_available(community.vote_state(_events(spark, d), late="40 days"), shared_folder(spark, "votes"), "update")
-    last = changes.groupBy(*community.KEYS).agg(F.max(F.struct("ts", "batch", "action"))["action"].alias("action"))
-    return last.where("action <> 'vote_none'")
+    return _last(changes).where("choice <> 'vote_none'").withColumnRenamed("choice", "action")
+
+
+@query(
+    S.sql(
+        """SELECT paper_id, reviewer_key, session_id, emoji FROM (SELECT *, ['laugh', 'none', 'fire', 'clap'][CAST(floor(value * 10) AS BIGINT) % 4 + 1] AS emoji,
+row_number() OVER (PARTITION BY paper_id, reviewer_key, session_id ORDER BY ts DESC, event_id DESC) AS rn FROM v_activity WHERE action = 'reaction') WHERE rn = 1 AND emoji <> 'none'""",
+        "v_activity",
+    )
+)
+def reaction_state_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The last reaction of each key; those taken back are gone."""
+    emoji = F.element_at(F.array(*map(F.lit, ("laugh", "none", "fire", "clap"))), (F.floor(F.col("value") * 10) % 4 + 1).cast("int"))
+    changes = community.run_available(community.reaction_state(_events(spark, d), emoji, late="40 days"), shared_folder(spark, "reactions"), "update")
+    return _last(changes).where("choice <> 'none'").withColumnRenamed("choice", "emoji")
 
 
 @query(
     S.sql(
-        """SELECT make_timestamp(stop * 1000000) AS until, paper_id, reviewer_key, count(*) FILTER (action = 'comment') AS comments, count(*) FILTER (starts_with(action, 'vote')) AS votes, count(*) FILTER (action = 'reaction') AS reactions
-FROM (SELECT *, unnest(range(CAST(floor(epoch(ts) / 43200) AS BIGINT) + 1, CAST(floor(epoch(ts) / 43200) AS BIGINT) + 5)) * 43200 AS stop FROM v_activity)
-WHERE stop <= (SELECT max(epoch(ts)) - 7200 FROM v_activity) GROUP BY ALL""",
+        """SELECT make_timestamp(stop * 1000000) AS until, paper_id, reviewer_key, CAST(sum(comments) AS BIGINT) AS comments, CAST(sum(votes) AS BIGINT) AS votes, CAST(sum(reactions) AS BIGINT) AS reactions
+FROM (SELECT unnest(range(pane + 1, pane + 49)) * 3600 AS stop, * FROM (
+  SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS pane, paper_id, reviewer_key, count(*) FILTER (action = 'comment') AS comments, count(*) FILTER (starts_with(action, 'vote')) AS votes, count(*) FILTER (action = 'reaction') AS reactions FROM v_activity GROUP BY ALL)
+  WHERE (pane + 1) * 3600 <= (SELECT max(epoch(ts)) - 7200 FROM v_activity)) GROUP BY stop, paper_id, reviewer_key HAVING sum(comments + votes + reactions) >= 2""",
         "v_activity",
     )
 )
 def activity_48h_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Exact counts of the closed sliding windows of activity (distinct commenters are approximate in the stream)."""
-    stream = community.sliding_activity(_events(spark, d, one_by_one=False), "48 hours", "12 hours", "2 hours")
-    found = community.run_available(stream, shared_folder(spark, "activity-48h"), "append")
+    """Hourly windows of 48 hours with two events or more, merged from closed hourly panes."""
+    panes = community.run_available(community.activity_panes(_events(spark, d, one_by_one=False)), shared_folder(spark, "activity-panes"), "append")
+    found = community.windows_of(panes).where("comments + votes + reactions >= 2")
     return found.select(F.col("until").cast("timestamp_ntz").alias("until"), "paper_id", "reviewer_key", "comments", "votes", "reactions")
 
 
 @query(
-    """SELECT session_id, kind, max(n) AS n FROM (SELECT session_id, kind, w, count(*) AS n FROM (SELECT 'u' || user_id AS session_id, CASE WHEN event_type IN ('click', 'error', 'signup') THEN 'vote' WHEN event_type = 'view' THEN 'comment' ELSE 'reaction' END AS kind, unnest(range(CAST(floor(epoch(ts) / 600) AS BIGINT) - 5, CAST(floor(epoch(ts) / 600) AS BIGINT) + 1)) AS w FROM events) GROUP BY ALL)
-WHERE n > CASE kind WHEN 'vote' THEN 3 WHEN 'reaction' THEN 2 ELSE 1 END GROUP BY ALL"""
+    S.sql(
+        """SELECT session_id, kind, event_id, n FROM (SELECT *, count(*) OVER (PARTITION BY session_id, kind ORDER BY epoch_us(ts) RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS n FROM (SELECT *, CASE WHEN prefix(action, 'vote') THEN 'vote' ELSE action END AS kind FROM v_activity))
+WHERE n > CASE kind WHEN 'vote' THEN 3 WHEN 'reaction' THEN 2 WHEN 'comment' THEN 1 END AND epoch_us(ts) < (SELECT floor(max(epoch_us(ts)) / 1000) * 1000 - 600000000 FROM v_activity)""",
+        "v_activity",
+    )
 )
 def rate_limit_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Largest excess of each session and kind over its limit in any hour, by ten-minute steps."""
-    found = community.run_available(community.over_limit(_events(spark, d), {"vote": 3, "reaction": 2, "comment": 1}, late="40 days"), shared_folder(spark, "limits"), "update")
-    return found.groupBy("session_id", "kind").agg(F.max("n").alias("n"))
+    """Actions over their session's limit in the hour before them, up to ten minutes before the newest event."""
+    stream = community.over_limit(_events(spark, d, one_by_one=False), {"vote": 3, "reaction": 2, "comment": 1})
+    return community.run_available(stream, shared_folder(spark, "limits")).select("session_id", "kind", "event_id", "n")

@@ -1,6 +1,7 @@
-"""Streams of community events: live votes, sliding activity and rate limits.
+"""Streams of community events: live votes and reactions, sliding activity and rate limits.
 
-Late events are dropped by the watermark; the batch forms give the exact answers over a whole log.
+Late events are dropped by the watermark; the batch forms give the exact answers over a whole log. Keyed state is kept by
+``transformWithState`` processors: values, lists and event-time timers that end them, in the RocksDB state store.
 """
 
 from __future__ import annotations
@@ -8,63 +9,165 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-VOTES = "paper_id string, reviewer_key string, session_id string, action string, ts timestamp"
 KEYS = ["paper_id", "reviewer_key", "session_id"]
+CHOICES = "paper_id string, reviewer_key string, session_id string, choice string, event_id bigint, ts timestamp"
+EXCEEDED = "session_id string, kind string, event_id bigint, ts timestamp, n bigint"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def vote_state(events: DataFrame, keep: str = "30 days", late: str = "1 day") -> DataFrame:
-    """Every change of the live vote of each (paper, reviewer, session); a withdrawn vote comes as ``vote_none``.
+def micros(stamps: pd.Series) -> list[int]:
+    return (stamps.astype("datetime64[us]").astype("int64")).tolist()
 
-    The state of a key is its newest vote and ends ``keep`` after it.
-    """
-    days_ms = int(keep.split()[0]) * 86_400_000
 
-    def newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+class Newest(StatefulProcessor):
+    """The newest choice of a key as a value state; a timer ends it ``keep_ms`` after that event."""
+
+    def __init__(self, keep_ms: int) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "at bigint, event_id bigint, choice string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = self.newest.get() if self.newest.exists() else None
+        before = now
+        for part in rows:
+            for at, event_id, choice in zip(micros(part["ts"]), part["event_id"].tolist(), part["choice"].tolist(), strict=True):
+                if now is None or (at, event_id) > (now[0], now[1]):
+                    now = (at, event_id, choice)
+        if now is before:
+            return
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.newest.update(now)
+        self.handle.registerTimer(now[0] // 1000 + self.keep_ms)
+        columns = dict(zip(KEYS, ([k] for k in key), strict=True))
+        yield pd.DataFrame({**columns, "choice": [now[2]], "event_id": [now[1]], "ts": [pd.Timestamp(now[0], unit="us")]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.newest.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class Trailing(StatefulProcessor):
+    """Events of one (session, kind) that exceed their limit in the time before them, counted exactly.
+
+    Events wait in a list until the watermark has passed them, so those that come in another order count too; a list holds
+    no more than the events of the window and of the allowed lateness, and is gone when both have passed."""
+
+    def __init__(self, limits: dict[str, int], window_ms: int) -> None:
+        self.limits, self.window = limits, window_ms * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "at bigint, event_id bigint, told boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if key[1] not in self.limits:
             return
-        now = state.get if state.exists else None
-        changed = False
-        for rows in batches:
-            for ts, event_id, action in rows[["ts", "event_id", "action"]].itertuples(index=False):
-                at = (ts.value // 1000, int(event_id))
-                if now is None or at > (now[0], now[1]):
-                    now, changed = (*at, action), True
-        state.update(now)
-        state.setTimeoutTimestamp(max(now[0] // 1000 + days_ms, state.getCurrentWatermarkMs() + 1))
-        if changed:
-            yield pd.DataFrame({**dict(zip(KEYS, ([k] for k in key), strict=True)), "action": [now[2]], "ts": [pd.Timestamp(now[0], unit="us")]})
-
-    votes = events.where(F.col("action").startswith("vote")).withWatermark("ts", late)
-    return votes.groupBy(*KEYS).applyInPandasWithState(newest, VOTES, "at bigint, event_id bigint, action string", "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def sliding_activity(events: DataFrame, window: str = "48 hours", slide: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Comments, votes, reactions and approximate distinct commenters of each (paper, reviewer) in sliding windows."""
+        came = [(at, e, False) for part in rows for at, e in zip(micros(part["ts"]), part["event_id"].tolist(), strict=True)]
+        if came:
+            self.events.appendList(came)
+            for at in {at // 1000 + 1 for at, _, _ in came}:
+                self.handle.registerTimer(at)
+        return
+        yield
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        events = sorted((e[0], e[1], e[2]) for e in self.events.get())
+        times, first, last, out = [e[0] for e in events], 0, 0, []
+        for i, (at, event_id, told) in enumerate(events):
+            if at >= passed:
+                break
+            while times[first] < at - self.window:
+                first += 1
+            while last < len(times) and times[last] <= at:
+                last += 1
+            if not told:
+                if last - first > self.limits[key[1]]:
+                    out.append((key[0], key[1], event_id, pd.Timestamp(at, unit="us"), last - first))
+                events[i] = (at, event_id, True)
+        kept = [e for e in events if not e[2] or e[0] >= passed - self.window]
+        if kept:
+            self.events.put(kept)
+            if all(e[2] for e in kept):  # nothing waits: end the list once its window has passed
+                self.handle.registerTimer((max(e[0] for e in kept) + self.window) // 1000 + 1)
+        else:
+            self.events.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "kind", "event_id", "ts", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def days_in_ms(span: str) -> int:
+    return int(span.split()[0]) * 86_400_000
+
+
+def live_choices(events: DataFrame, keep: str = "30 days", late: str = "1 day") -> DataFrame:
+    """Every change of the live choice (a vote or a reaction) of each (paper, reviewer, session).
+
+    ``events``: the keys, choice, event_id, ts. A withdrawn choice comes as the choice that withdraws it. The state of a
+    key is its newest event and ends ``keep`` after it."""
+    keyed = events.select(*KEYS, "choice", "event_id", "ts").withWatermark("ts", late).groupBy(*KEYS)
+    return keyed.transformWithStateInPandas(Newest(days_in_ms(keep)), CHOICES, "Update", "EventTime")
+
+
+def vote_state(events: DataFrame, keep: str = "30 days", late: str = "1 day") -> DataFrame:
+    """Changes of live votes; ``events`` have an action, of which those that begin with ``vote`` count."""
+    return live_choices(events.where(F.col("action").startswith("vote")).withColumn("choice", F.col("action")), keep, late)
+
+
+def reaction_state(events: DataFrame, emoji: Column, keep: str = "30 days", late: str = "1 day") -> DataFrame:
+    """Changes of live reactions: another emoji replaces the one before, ``none`` takes it back."""
+    return live_choices(events.where(F.col("action") == "reaction").withColumn("choice", emoji), keep, late)
+
+
+def over_limit(events: DataFrame, limits: dict[str, int], seconds: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """(session, kind, event, n): the actions that exceed the limit of their kind in the ``seconds`` before them, as the
+    batch form counts them, each told once the watermark has passed it."""
+    kind = F.when(F.col("action").startswith("vote"), "vote").otherwise(F.col("action"))
+    keyed = events.select("session_id", kind.alias("kind"), "event_id", "ts").withWatermark("ts", late).groupBy("session_id", "kind")
+    return keyed.transformWithStateInPandas(Trailing(limits, seconds * 1000), EXCEEDED, "Append", "EventTime")
+
+
+def activity_panes(events: DataFrame, pane: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Comments, votes, reactions and a sketch of the commenters of each (paper, reviewer) and pane: one row a pane.
+
+    An event goes to one pane, whatever windows are asked for later; ``windows_of`` merges panes."""
     comment = F.col("action") == "comment"
     return (
         events.withWatermark("ts", late)
-        .groupBy(F.window("ts", window, slide), "paper_id", "reviewer_key")
+        .groupBy(F.window("ts", pane), "paper_id", "reviewer_key")
         .agg(
-            F.approx_count_distinct(F.when(comment, F.col("session_id")), 0.02).alias("commenters"),
+            F.hll_sketch_agg(F.when(comment, F.col("session_id"))).alias("sketch"),
             F.count_if(comment).alias("comments"),
             F.count_if(F.col("action").startswith("vote")).alias("votes"),
             F.count_if(F.col("action") == "reaction").alias("reactions"),
         )
-        .select(F.col("window.end").alias("until"), "paper_id", "reviewer_key", "commenters", "comments", "votes", "reactions")
+        .select(F.col("window.start").alias("pane"), "paper_id", "reviewer_key", "sketch", "comments", "votes", "reactions")
     )
 
 
-def over_limit(events: DataFrame, limits: dict[str, int], window: str = "1 hour", slide: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
-    """(session, kind, window) whose actions exceed the limit of their kind."""
-    kind = F.when(F.col("action").startswith("vote"), "vote").otherwise(F.col("action"))
-    counts = events.withColumn("kind", kind).withWatermark("ts", late).groupBy(F.window("ts", window, slide), "session_id", "kind").agg(F.count(F.lit(1)).alias("n"))
-    allowed = F.try_element_at(F.create_map(*(F.lit(x) for pair in limits.items() for x in pair)), F.col("kind"))
-    return counts.where(F.col("n") > allowed).select(F.col("window.end").alias("until"), "session_id", "kind", "n")
+def windows_of(panes: DataFrame, panes_each: int = 48, pane_seconds: int = 3600) -> DataFrame:
+    """Sliding windows of ``panes_each`` panes, one step a pane: exact counts and commenters within the sketch's error.
+
+    Pane rows, not events, multiply; sketches merge as unions, so a commenter of several panes counts once."""
+    steps = F.sequence(F.lit(1), F.lit(panes_each))
+    ends = panes.withColumn("until", F.explode(F.transform(steps, lambda i: F.timestamp_seconds(F.unix_seconds("pane") + i * pane_seconds))))
+    sums = [F.sum(c).alias(c) for c in ("comments", "votes", "reactions")]
+    return ends.groupBy("until", "paper_id", "reviewer_key").agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("commenters"), *sums)
 
 
 def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
@@ -80,7 +183,13 @@ def run_available(stream: DataFrame, path: str, mode: str = "append") -> DataFra
     def put(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    writer.foreachBatch(put).start().awaitTermination()
+    kept = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)  # what processors with several states and timers need
+    try:
+        query = writer.foreachBatch(put).start()
+    finally:
+        spark.conf.set(PROVIDER, kept)
+    query.awaitTermination()
     return spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(out)
 
 
