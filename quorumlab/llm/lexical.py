@@ -6,8 +6,8 @@ a Bloom filter of fixed size, then known by 64 bits of hash). A term's document
 all terms are counted over the whole table. A term's weight is floor(1000 * ln((2N + 2) / (2df + 1))); a document's
 score sums weight * ((10^9 * tf) div (1000 * tf + 8 * m)) over an item's terms, repeats included.
 
-Documents are dealt to blocks with inverted lists of their own, and every item meets every block (``blocks``). In a
-block the shortest lists of an item, up to ``SHORT`` of the block's documents together, are read term by term into
+Documents are dealt to blocks of some ``PER_BLOCK`` postings with inverted lists of their own, and every item meets
+every block (``blocks``). In a block the shortest lists of an item, up to ``SHORT`` of the block's documents together, are read term by term into
 accumulators. These then are one more iterator, with its own bound, beside the item's long lists: windows of ``WINDOW``
 documents are visited in the order of documents, and a window is skipped if the accumulators' largest sum in it and
 the long lists' largest parts there together fall short of the k-th best score so far. In other windows, all lists are
@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quorumlab.llm.blocks import against_blocks, blocks_for
+from quorumlab.llm.blocks import against_blocks
 from quorumlab.llm.decontaminate import FILTER_BITS, Words, filter_of
 from quorumlab.llm.shared import staged, text_slices
 
-PER_BLOCK, WINDOW, SHORT = 1 << 15, 128, 0.25
+#: Postings of a block, which take some 80 bytes each while its lists are built.
+PER_BLOCK, WINDOW, SHORT = 1 << 20, 128, 0.25
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -144,7 +145,9 @@ def ranked_documents(docs: DataFrame, items: DataFrame, *, k: int = 10, floor: i
     asked = staged(item_terms(items), "item-terms")
     vocabulary = asked.select(F.array("h").alias("shingles"))
     rows = staged(document_terms(docs, filter_of(vocabulary)), "document-terms").where("n > 0")
-    total = rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
+    zero = F.lit(0).cast("bigint")
+    sums = [F.coalesce(F.sum(x), zero).alias(name) for x, name in ((F.col("n"), "terms"), (F.size("terms"), "postings"))]
+    total = rows.agg(F.count(F.lit(1)).alias("docs"), *sums).first()
     n, length = total["docs"], max(total["terms"], 1)
     df = rows.select(F.explode("terms").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2 * n + 2).cast("double") / (2 * F.col("df") + 1).cast("double"))).cast("bigint")
@@ -152,7 +155,7 @@ def ranked_documents(docs: DataFrame, items: DataFrame, *, k: int = 10, floor: i
     queries = weighed.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("h", "w"))).alias("q"))
     queries = queries.select("item_id", F.col("q.h").alias("asked"), F.col("q.w").alias("weights"))
     rows = rows.where(F.size("terms") > 0).withColumn("m", F.expr(f"{floor} + ((({100 - floor} * n) * {n}L) div {length}L)")).drop("n")
-    blocks = blocks_for(rows, per_block)
+    blocks = max(-(-total["postings"] // per_block), docs.sparkSession.sparkContext.defaultParallelism)
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
 
     def answered(lists, batch):
