@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import html.entities
 import operator
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 from quorumlab.functions import lexicons as L
 
 EDGE = r"^[ \t\n\r\f]+|[ \t\n\r\f]+\z"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 MARK = "\x01"
 
 
@@ -67,10 +67,70 @@ def stripped(x: Column) -> Column:
     return F.regexp_replace(x, EDGE, "")
 
 
+@functools.cache
+def _entities() -> tuple[str, str, int]:
+    """Named entities that end with a semicolon, the old ones that need none, and the longest of these."""
+    named = html.entities.html5
+    old = {k: v for k, v in named.items() if not k.endswith(";")}
+    return _packed({k: v for k, v in named.items() if k.endswith(";")}), _packed(old), max(map(len, old))
+
+
+def _packed(values: dict) -> str:
+    return "\x02".join(f"{k}\x01{v}" for k, v in values.items())
+
+
+def _literal_map(packed: str) -> Column:
+    """A map of any size as one literal, which Spark folds."""
+    return F.str_to_map(F.lit(packed), F.lit("\x02"), F.lit("\x01"))
+
+
+@functools.cache
+def _numbered() -> str:
+    """Numbers that stand for another character or for none: the upper control block means Windows-1252 letters."""
+    fixed = {0: "\ufffd", 0x0D: "\r"} | {n: bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0)}
+    fixed = {n: chr(n) if v == "\ufffd" and n else v for n, v in fixed.items()}
+    controls = [*range(1, 9), 0x0B, *range(0x0E, 0x20), 0x7F, *range(0xFDD0, 0xFDF0), *(plane + last for plane in range(0, 0x110000, 0x10000) for last in (0xFFFE, 0xFFFF))]
+    return _packed(fixed | {n: "" for n in controls})
+
+
+def _number(digits: Column, base: int) -> Column:
+    value = F.conv(F.when(F.length(digits) <= 12, digits).otherwise("ffffffff" if base == 16 else "4294967295"), base, 10).cast("bigint")
+    plain = F.decode(F.unhex(F.lpad(F.hex(value), 8, "0")), "UTF-32")
+    odd = ((value >= 0xD800) & (value <= 0xDFFF)) | (value > 0x10FFFF)
+    return F.coalesce(F.try_element_at(_literal_map(_numbered()), value.cast("string")), F.when(odd, "\ufffd").otherwise(plain))
+
+
+def unescaped(x: Column | str) -> Column:
+    """Named and numeric entities replaced, each once and from the left: of names the longest that is known.
+
+    The pieces after each ``&`` are looked at one by one; texts without one are left alone."""
+    closed, open_ended, longest = _entities()
+    full, old = _literal_map(closed), _literal_map(open_ended)
+
+    def entity(piece: Column) -> Column:
+        word = F.regexp_extract(piece, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)", 1)
+        rest = F.substring(piece, F.length(word) + 1, F.length(piece))
+        digits = F.regexp_extract(word, r"^#[xX]?([0-9a-fA-F]+)", 1)
+        number = F.when(F.lower(F.substring(word, 2, 1)) == "x", _number(digits, 16)).otherwise(_number(digits, 10))
+        sizes = F.filter(F.sequence(F.lit(longest), F.lit(2), F.lit(-1)), lambda n: (n <= F.length(word)) & F.map_contains_key(old, F.substring(word, F.lit(1), n)))
+        size = F.get(sizes, 0)
+        known = F.try_element_at(full, word)
+        return (
+            F.when(word == "", F.concat(F.lit("&"), piece))
+            .when(word.startswith("#"), F.concat(number, rest))
+            .when(known.isNotNull(), F.concat(known, rest))
+            .when(size.isNotNull(), F.concat(F.try_element_at(old, F.substring(word, F.lit(1), size)), F.substring(piece, size + 1, F.length(piece))))
+            .otherwise(F.concat(F.lit("&"), piece))
+        )
+
+    pieces = F.split(c(x), "&", -1)
+    whole = F.array_join(F.concat(F.slice(pieces, 1, 1), F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), entity)), "")
+    return F.when(F.contains(c(x), F.lit("&")), whole).otherwise(c(x))
+
+
 def clean_text(x: Column | str) -> Column:
-    t = F.coalesce(c(x), F.lit(""))
-    for a, b in ENTITIES:
-        t = F.replace(t, F.lit(a), F.lit(b))
+    """Entities and tags resolved, line ends and blanks folded."""
+    t = F.transform(F.array(F.coalesce(c(x), F.lit(""))), unescaped)[0]
     t = F.regexp_replace(t, "<[^>]+>", " ")
     t = F.replace(t, F.lit("\r"), F.lit("\n"))
     t = F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), "\n{3,}", "\n\n")
@@ -149,9 +209,14 @@ def overlap_score(query: Column, segment: Column) -> Column:
 
 def overlap_of(both: Column, query: Column, segment: Column) -> Column:
     """``overlap_score`` of two sets whose common tokens are known."""
-    n = F.size(both).cast("double")
-    score = F.lit(0.68) * (n / F.size(query)) + F.lit(0.32) * (n / F.sqrt((F.size(query) * F.size(segment)).cast("double")))
-    score = score + F.when(F.arrays_overlap(both, words_of(L.ANCHORS)), F.lit(0.08)).otherwise(F.lit(0.0))
+    return overlap_counted(F.size(both), F.size(query), F.size(segment), F.arrays_overlap(both, words_of(L.ANCHORS)))
+
+
+def overlap_counted(common: Column, query: Column, segment: Column, anchored: Column) -> Column:
+    """``overlap_score`` from the sizes of two sets and of what they share, and whether that holds an anchor."""
+    n = common.cast("double")
+    score = F.lit(0.68) * (n / query) + F.lit(0.32) * (n / F.sqrt((query * segment).cast("double")))
+    score = score + F.when(anchored, F.lit(0.08)).otherwise(F.lit(0.0))
     return F.when(n > 0, F.least(F.lit(1.0), score)).otherwise(F.lit(0.0))
 
 

@@ -6,7 +6,7 @@ partners are partially aggregated maxima, so no group is sorted or gathered. Tie
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quorumlab.functions import lexicons as L
@@ -124,16 +124,38 @@ def discussion(claims: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def consensus(claims: DataFrame) -> DataFrame:
-    """Best claim of another review of the same paper, with a bonus for an equal type."""
-    rows = prepared(claims).select("task_id", "paper_id", "review_id", "claim_type", "turn", "claim_index", "tokens")
-    other = rows.select("paper_id", F.col("review_id").alias("other_review"), F.col("claim_type").alias("other_type"), F.col("turn").alias("other_turn"), F.col("claim_index").alias("other_index"), F.col("tokens").alias("other_tokens"))
-    pairs = rows.where(F.size("tokens") > 0).join(other, "paper_id").where("review_id <> other_review")
-    bonus = F.when((F.col("claim_type") != "") & (F.col("claim_type") == F.col("other_type")), 0.05).otherwise(0.0)
-    pairs = pairs.withColumn("score", F.least(F.lit(1.0), T.overlap_score(F.col("tokens"), F.col("other_tokens")) + bonus))
-    first = F.max(F.struct("score", (-F.col("other_turn")).alias("t"), (-F.col("other_index")).alias("i"), "other_review"))
-    best = pairs.where("score > 0").groupBy("task_id").agg(first.alias("best")).select("task_id", "best.score", "best.other_review")
+    """Best claim of another review of the same paper, with a bonus for an equal type.
+
+    Claims of a paper meet on the tokens they share, and what they share is counted, so no two claims without a common
+    token are paired. Those can only score by the bonus: beside the index, each (paper, type) has its first claims of two
+    reviews, of which one is another's for any claim. The earliest of equal scores counts.
+    """
+    rows = prepared(claims).select("task_id", "paper_id", "review_id", "claim_type", "turn", "claim_index", "tokens", F.size("tokens").alias("n"))
+    rows = staged(rows, "consensus-claims")
+    tokens = rows.select("task_id", "paper_id", "review_id", "claim_type", "turn", "claim_index", "n", F.explode("tokens").alias("token"))
+    facts = ("task_id", "review_id", "claim_type", "turn", "claim_index", "n")
+    other = tokens.select("paper_id", "token", *(F.col(c).alias(f"other_{c}") for c in facts))
+    shared = tokens.select("paper_id", "token", "task_id", "review_id", "claim_type", "n").join(other, ["paper_id", "token"]).where("review_id <> other_review_id")
+    pairs = shared.groupBy("task_id", "other_task_id").agg(
+        F.count(F.lit(1)).alias("common"),
+        F.max(F.col("token").isin(*L.ANCHORS)).alias("anchored"),
+        *(F.first(c).alias(c) for c in ("claim_type", "n", *(f"other_{x}" for x in facts if x != "task_id"))),
+    )
+    bonus = F.when((F.col("claim_type") != "") & (F.col("claim_type") == F.col("other_claim_type")), 0.05).otherwise(0.0)
+    score = F.least(F.lit(1.0), T.overlap_counted(F.col("common"), F.col("n"), F.col("other_n"), F.col("anchored")) + bonus)
+    found = pairs.select("task_id", score.alias("score"), F.col("other_turn").alias("turn"), F.col("other_claim_index").alias("claim_index"), F.col("other_review_id").alias("other"))
+    # the bonus alone: the first claim of a type in each of two reviews of a paper
+    typed = rows.where("claim_type <> ''")
+    firsts = typed.groupBy("paper_id", "claim_type", "review_id").agg(F.min(F.struct("turn", "claim_index")).alias("at"))
+    order = Window.partitionBy("paper_id", "claim_type").orderBy("at", F.desc("review_id"))
+    firsts = firsts.withColumn("place", F.row_number().over(order)).where("place <= 2")
+    firsts = firsts.select("paper_id", "claim_type", F.col("review_id").alias("other"), "at.turn", "at.claim_index")
+    by_type = typed.where("n > 0").select("task_id", "paper_id", "review_id", "claim_type").join(firsts, ["paper_id", "claim_type"]).where("review_id <> other")
+    found = found.unionByName(by_type.select("task_id", F.lit(0.05).alias("score"), "turn", "claim_index", "other"))
+    best = F.max(F.struct("score", (-F.col("turn")).alias("t"), (-F.col("claim_index")).alias("i"), "other"))
+    best = found.where("score > 0").groupBy("task_id").agg(best.alias("best")).select("task_id", "best.score", "best.other")
     out = rows.select("task_id").join(best, "task_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    return out.select("task_id", consensus_label(F.col("score")).alias("consensus_proxy"), T.round4(F.col("score")).alias("consensus_score"), F.coalesce("other_review", F.lit("")).alias("matched_review_id"))
+    return out.select("task_id", consensus_label(F.col("score")).alias("consensus_proxy"), T.round4(F.col("score")).alias("consensus_score"), F.coalesce("other", F.lit("")).alias("matched_review_id"))
 
 
 def signals(claims: DataFrame, segments: DataFrame) -> DataFrame:

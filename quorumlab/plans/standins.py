@@ -140,9 +140,13 @@ def d_strip(x: str) -> str:
     return rf"regexp_replace({x}, '^[ \t\n\r\f]+|[ \t\n\r\f]+\z', '', 'g')"
 
 
+#: The entities of the given tables, ``&amp;`` last.
+D_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+
+
 def d_clean(x: str) -> str:
     t = f"coalesce({x}, '')"
-    for a, b in T.ENTITIES:
+    for a, b in D_ENTITIES:
         t = f"replace({t}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
     t = rf"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
     t = rf"replace({t}, chr(13), chr(10))"

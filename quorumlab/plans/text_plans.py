@@ -12,9 +12,14 @@ from quorumlab.plans import standins as S
 from quorumlab.plans.registry import query
 
 
-@query(f"SELECT page_id, {S.d_clean('html')} AS cleaned FROM pages")
+#: Entities of all kinds, and what they stand for.
+_ENTITIES = " caf&eacute; &#233;&#x1F600;&#128; &notit; &copy 2 &amp;lt; &CounterClockwiseContourIntegral; &nosuch; &#xD800;&"
+_RESOLVED = " caf\u00e9 \u00e9\U0001f600\u20ac \u00acit; \u00a9 2 &amp;lt; \u2233 &nosuch; \ufffd&"
+
+
+@query("SELECT page_id, " + S.d_clean(f"html || '{_RESOLVED}'") + " AS cleaned FROM pages")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    return S.table(spark, d, "pages").select("page_id", T.clean_text("html").alias("cleaned"))
+    return S.table(spark, d, "pages").select("page_id", T.clean_text(F.concat("html", F.lit(_ENTITIES))).alias("cleaned"))
 
 
 @query("SELECT page_id, array_to_string(list_filter([url, NULL, CASE WHEN page_id % 3 = 0 THEN html END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS content FROM pages")
