@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quorumlab.operators import boards
+from quorumlab.operators import boards, search
 from quorumlab.plans import standins as S
 from quorumlab.plans.registry import query
 
@@ -167,11 +169,31 @@ def latest_scorecard(spark: SparkSession, d: str) -> DataFrame:
     return newest.select("paper_id", "s.row_id", "s.helpfulness")
 
 
-@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'a') ORDER BY page_id % 5 DESC, url, page_id LIMIT 20 OFFSET 20")
+_NEEDLES = (("org/", 20), (".", 13), ("THE", 50), ("no such text", 20))
+
+
+@query(
+    "WITH p AS (SELECT CAST(page_id AS VARCHAR) AS paper_id, url AS title, 'V' || page_id % 3 AS venue, page_id % 5 AS year FROM pages) "
+    + " UNION ALL ".join(
+        f"SELECT '{n}' AS needle, CAST(floor((rn - 1) / {size}) AS BIGINT) AS page, (rn - 1) % {size} + 1 AS place, paper_id FROM (SELECT *, row_number() OVER (ORDER BY year DESC, title, paper_id) AS rn FROM p WHERE contains(lower(title), '{n.lower()}') OR contains(paper_id, '{n}')) WHERE rn <= 3 * {size}"
+        for n, size in _NEEDLES
+    )
+)
 def search_papers(spark: SparkSession, d: str) -> DataFrame:
-    """The second page of a case-insensitive search, newest year first, then by title."""
-    pages = S.table(spark, d, "pages").where(F.col("url").ilike("%a%"))
-    return pages.orderBy(F.desc(F.col("page_id") % 5), "url", "page_id").offset(20).limit(20).select("page_id", "url")
+    """The first three pages of some searches, each found behind the cursor of the page before."""
+    papers = S.table(spark, d, "pages").select(
+        F.col("page_id").cast("string").alias("paper_id"), F.col("page_id").cast("string").alias("forum_id"), F.col("url").alias("title"),
+        F.concat(F.lit("V"), F.col("page_id") % 3).alias("venue"), (F.col("page_id") % 5).alias("year"),
+    )
+    index, pages = search.trigram_index(papers), []
+    for needle, size in _NEEDLES:
+        cursor = ""
+        for page in range(3):
+            found, cursor = search.search_papers(papers, index, needle=needle, limit=size, cursor=cursor)
+            pages.append(found.select(F.lit(needle).alias("needle"), F.lit(page).cast("bigint").alias("page"), F.col("place").cast("bigint").alias("place"), "paper_id"))
+            if cursor is None:
+                break
+    return functools.reduce(DataFrame.unionByName, pages)
 
 
 @query(S.sql("SELECT n_name AS venue, count(c_custkey) AS papers, min(c_custkey % 7) AS first_year, max(c_custkey % 7) AS last_year FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_name"))
