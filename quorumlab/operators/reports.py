@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quorumlab.functions import text as T
+from quorumlab.sources.files import staged
 
 
 def f1(p: Column, r: Column) -> Column:
@@ -82,3 +83,42 @@ def pairwise_majority(judgments: DataFrame) -> DataFrame:
 
 def tokens_of(chars: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(chars / 4.0, 0).cast("bigint"))
+
+
+def quality_report(papers: DataFrame, reviews: DataFrame, top: int = 20, tracked: int = 10_000) -> DataFrame:
+    """Per venue: papers, reviews, reviews per paper with their histogram, empty texts, coverage and top decisions.
+
+    ``papers``: venue, paper_id, decision, abstract. ``reviews``: venue, paper_id, review_text, rating_normalized,
+    confidence_normalized. Papers without reviews count. The likely top decisions come from a sketch of frequent items
+    (twice ``top`` of them, mergeable and of fixed size); their counts come from an exact second pass.
+    """
+    blank = T.clean_ws("review_text") == ""
+    per = reviews.groupBy("venue", "paper_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(blank).alias("empty"), F.count("rating_normalized").alias("rated"), F.count("confidence_normalized").alias("sure")
+    )
+    decision = T.clean_ws("decision")
+    known = F.when((decision != "") & (F.lower(decision) != "unknown"), decision)
+    rows = papers.select("venue", "paper_id", known.alias("decision"), (T.clean_ws("abstract") != "").alias("abstract")).join(per, ["venue", "paper_id"], "left")
+    rows = staged(rows.na.fill(0, ["n", "empty", "rated", "sure"]), "paper-quality")
+    n, one = F.sum("n"), F.count(F.lit(1))
+    rate = lambda x, of: F.when(of > 0, F.round(x / of, 4)).otherwise(0.0)
+    out = rows.groupBy("venue").agg(
+        one.alias("papers"), n.alias("reviews"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(n / one, 3).alias("mean_reviews"),
+        rate(F.sum("empty"), n).alias("empty_rate"), rate(F.sum("rated"), n).alias("rating_coverage"), rate(F.sum("sure"), n).alias("confidence_coverage"),
+        rate(F.count("decision"), one).alias("decision_coverage"), rate(F.count_if("abstract"), one).alias("abstract_coverage"),
+    )
+    sizes = rows.groupBy("venue", "n").agg(one.alias("papers"))
+    bars = F.transform(F.array_sort(F.collect_list(F.struct("n", "papers"))), lambda b: F.concat_ws(":", b["n"], b["papers"]))
+    histogram = sizes.groupBy("venue").agg(F.array_join(bars, ",").alias("histogram"))
+    likely = rows.where("decision IS NOT NULL").groupBy("venue").agg(F.expr(f"approx_top_k(decision, {2 * top}, {tracked})").alias("items"))
+    likely = likely.select("venue", F.inline("items")).select("venue", F.col("item").alias("decision"))
+    exact = rows.join(likely, ["venue", "decision"], "left_semi").groupBy("venue", "decision").agg(one.alias("held"))  # a bounded list a venue
+    ranked = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("held")).alias("order"), "decision", "held"))), 1, top)
+    decisions = exact.groupBy("venue").agg(F.array_join(F.transform(ranked, lambda d: F.concat_ws(":", d["decision"], d["held"])), ",").alias("top_decisions"))
+    return out.join(histogram, "venue").join(decisions, "venue", "left").withColumn("top_decisions", F.coalesce("top_decisions", F.lit("")))
+
+
+def quality_gate(report: DataFrame, papers: int = 100, reviews: int = 120, empty_rate: float = 0.05) -> DataFrame:
+    """pass or fail of each venue of a ``quality_report``."""
+    gate = lambda bad, name: F.when(bad, "fail").otherwise("pass").alias(name)
+    return report.select("venue", gate(F.col("papers") < papers, "paper_gate"), gate(F.col("reviews") < reviews, "review_gate"), gate(F.col("empty_rate") > empty_rate, "empty_gate"))

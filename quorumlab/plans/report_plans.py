@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quorumlab.functions import lexicons as L
 from quorumlab.functions import text as T
-from quorumlab.operators import audit, reports, scoring
+from quorumlab.operators import audit, inventory, reports, scoring
 from quorumlab.plans import standins as S
 from quorumlab.plans import text_plans  # noqa: F401  (its stand-in of ruled claims)
 from quorumlab.plans.registry import query
@@ -217,28 +217,52 @@ def pseudo_label_agreement(spark: SparkSession, d: str) -> DataFrame:
 # quality, coverage and cost over reviews
 
 
-@query(S.sql("SELECT venue, count(*) AS papers, CAST(sum(n) AS BIGINT) AS reviews, min(n) AS least, max(n) AS most, round(sum(n)::DOUBLE / count(*), 3) AS mean_reviews, round(sum(empty)::DOUBLE / sum(n), 4) AS empty_rate, round(sum(rated)::DOUBLE / sum(n), 4) AS rating_coverage, round(sum(sure)::DOUBLE / sum(n), 4) AS confidence_coverage FROM (SELECT venue, paper_id, count(*) AS n, count(*) FILTER (trim(coalesce(review_text, '')) = '') AS empty, count(rating_normalized) AS rated, count(confidence_normalized) AS sure FROM v_review GROUP BY ALL) GROUP BY venue", "v_review"))
+_SAID = ("Accept (poster)", "Reject", "Unknown", "", "Accept (oral)", "Withdrawn")
+S.add_cte(
+    "v_paper",
+    f"""SELECT venue, paper_id, {S._list(_SAID)}[n % 6 + 1] AS decision, CASE WHEN n % 5 = 0 THEN ' ' ELSE 'An abstract' END AS abstract FROM (SELECT venue, paper_id, CAST(sum(n_chars) AS BIGINT) AS n FROM v_review GROUP BY ALL)
+UNION ALL SELECT 'en', 'x' || n_nationkey, 'Reject', '' FROM nation""",
+    "v_review",
+)
+S.add_cte(
+    "paper_quality",
+    "SELECT * REPLACE (coalesce(n, 0) AS n, coalesce(empty, 0) AS empty, coalesce(rated, 0) AS rated, coalesce(sure, 0) AS sure, CASE WHEN decision NOT IN ('', 'Unknown') THEN decision END AS decision) FROM v_paper LEFT JOIN (SELECT venue, paper_id, count(*) AS n, count(*) FILTER (trim(coalesce(review_text, ''), ' ' || chr(10) || chr(9) || chr(13)) = '') AS empty, count(rating_normalized) AS rated, count(confidence_normalized) AS sure FROM v_review GROUP BY ALL) USING (venue, paper_id)",
+    "v_paper",
+)
+_SHARE = "CASE WHEN {1} > 0 THEN round({0}::DOUBLE / {1}, 4) ELSE 0.0::DOUBLE END AS {2}"
+S.add_cte(
+    "venue_quality",
+    "SELECT venue, count(*) AS papers, CAST(sum(n) AS BIGINT) AS reviews, min(n) AS least, max(n) AS most, round(sum(n)::DOUBLE / count(*), 3) AS mean_reviews, "
+    + ", ".join(_SHARE.format(x, of, name) for x, of, name in (("sum(empty)", "sum(n)", "empty_rate"), ("sum(rated)", "sum(n)", "rating_coverage"), ("sum(sure)", "sum(n)", "confidence_coverage"), ("count(decision)", "count(*)", "decision_coverage"), ("count(*) FILTER (trim(abstract) <> '')", "count(*)", "abstract_coverage")))
+    + " FROM paper_quality GROUP BY venue",
+    "paper_quality",
+)
+
+
+@query(
+    S.sql(
+        """SELECT v.*, histogram, coalesce(top_decisions, '') AS top_decisions FROM venue_quality v
+JOIN (SELECT venue, string_agg(n || ':' || k, ',' ORDER BY n) AS histogram FROM (SELECT venue, n, count(*) AS k FROM paper_quality GROUP BY ALL) GROUP BY venue) USING (venue)
+LEFT JOIN (SELECT venue, string_agg(decision || ':' || k, ',' ORDER BY k DESC, decision) AS top_decisions FROM (SELECT venue, decision, count(*) AS k FROM paper_quality WHERE decision IS NOT NULL GROUP BY ALL) GROUP BY venue) USING (venue)""",
+        "venue_quality",
+        "paper_quality",
+    )
+)
 def quality_report(spark: SparkSession, d: str) -> DataFrame:
     return _quality(spark, d)
 
 
 def _quality(spark: SparkSession, d: str) -> DataFrame:
-    blank = F.trim(F.coalesce("review_text", F.lit(""))) == ""
-    papers = S.view(spark, d, "v_review").groupBy("venue", "paper_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(blank).alias("empty"), F.count("rating_normalized").alias("rated"), F.count("confidence_normalized").alias("sure"))
-    n = F.sum("n")
-    return papers.groupBy("venue").agg(
-        F.count(F.lit(1)).alias("papers"), n.alias("reviews"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(n / F.count(F.lit(1)), 3).alias("mean_reviews"),
-        F.round(F.sum("empty") / n, 4).alias("empty_rate"), F.round(F.sum("rated") / n, 4).alias("rating_coverage"), F.round(F.sum("sure") / n, 4).alias("confidence_coverage"),
-    )
-
-
-S.add_cte("venue_n", "SELECT venue, count(DISTINCT paper_id) AS papers, count(*) AS reviews, round(count(*) FILTER (trim(coalesce(review_text, '')) = '')::DOUBLE / count(*), 4) AS empty_rate FROM v_review GROUP BY venue", "v_review")
+    reviews = S.view(spark, d, "v_review")
+    n = F.sum("n_chars")
+    papers = reviews.groupBy("venue", "paper_id").agg(F.element_at(T.words_of(_SAID), (n % 6 + 1).cast("int")).alias("decision"), F.when(n % 5 == 0, " ").otherwise("An abstract").alias("abstract"))
+    bare = S.table(spark, d, "nation").select(F.lit("en").alias("venue"), F.concat(F.lit("x"), "n_nationkey").alias("paper_id"), F.lit("Reject").alias("decision"), F.lit("").alias("abstract"))
+    return reports.quality_report(papers.unionByName(bare), reviews)
 
 
-@query(S.sql("SELECT venue, CASE WHEN papers < 100 THEN 'fail' ELSE 'pass' END AS paper_gate, CASE WHEN reviews < 120 THEN 'fail' ELSE 'pass' END AS review_gate, CASE WHEN empty_rate > 0.05 THEN 'fail' ELSE 'pass' END AS empty_gate FROM venue_n", "venue_n"))
+@query(S.sql("SELECT venue, CASE WHEN papers < 100 THEN 'fail' ELSE 'pass' END AS paper_gate, CASE WHEN reviews < 120 THEN 'fail' ELSE 'pass' END AS review_gate, CASE WHEN empty_rate > 0.05 THEN 'fail' ELSE 'pass' END AS empty_gate FROM venue_quality", "venue_quality"))
 def quality_gate(spark: SparkSession, d: str) -> DataFrame:
-    gate = lambda bad, name: F.when(bad, "fail").otherwise("pass").alias(name)
-    return _quality(spark, d).select("venue", gate(F.col("papers") < 100, "paper_gate"), gate(F.col("reviews") < 120, "review_gate"), gate(F.col("empty_rate") > 0.05, "empty_gate"))
+    return reports.quality_gate(_quality(spark, d))
 
 
 @query(S.sql("SELECT source, venue, count(DISTINCT paper_id) AS papers, count(*) AS reviews, round(count(rating_normalized)::DOUBLE / count(*), 4) AS rating_coverage, round(count(confidence_normalized)::DOUBLE / count(*), 4) AS confidence_coverage FROM v_review GROUP BY ALL", "v_review"))
@@ -272,34 +296,52 @@ def post_rebuttal(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(first, "paper_id").groupBy("paper_id").agg(F.count_if(updated).alias("review_updates"), F.count_if(after & (kind == "official_comment")).alias("reviewer_comments"), F.count_if(after & F.lower("text").rlike("(score|rating|ing)")).alias("rating_like"))
 
 
-_KINDS = ("official_review", "author_response", "official_comment", "meta_review")
+_KIND = "CASE WHEN note_type = 'meta_review' AND length(text) % 3 = 0 THEN 'decision' ELSE note_type END"
+_NOTE = f"""SELECT paper_id, turn AS pos, {_KIND} AS note_type, CASE WHEN signer_role = 'authors' AND turn % 2 = 0 THEN 'reviewer' ELSE signer_role END AS signer_role, created_ms, modified_ms, CASE WHEN length(text) % 5 = 0 THEN '' ELSE text END AS text,
+CASE WHEN length(text) % 4 = 0 THEN '' ELSE text END AS comment_text, CASE WHEN length(text) % 2 = 0 THEN 'Accept' ELSE '' END AS decision,
+CASE WHEN length(text) % 3 = 0 THEN CAST(5 AS DOUBLE) END AS rating_normalized, CASE WHEN length(text) % 4 = 0 THEN CAST(2 AS DOUBLE) END AS confidence_normalized FROM v_reply"""
+S.add_cte("inventory_note", _NOTE, "v_reply")
+S.add_cte("first_note", "SELECT paper_id, min(created_ms) AS first_ms FROM inventory_note WHERE note_type = 'author_response' GROUP BY paper_id", "inventory_note")
+_TALK = "note_type = 'official_comment' AND signer_role IN ('reviewer', 'area_chair', 'program_chair')"
 S.add_cte(
     "inventory",
-    "SELECT paper_id, count(*) AS replies, " + ", ".join(f"count(*) FILTER (note_type = '{k}') AS {k}" for k in _KINDS) + ", count(*) FILTER (note_type = 'official_comment' AND created_ms > first_ms) AS post_comments FROM v_reply LEFT JOIN first_response USING (paper_id) GROUP BY paper_id",
-    "v_reply", "first_response",
-)
+    f"""SELECT paper_id, count(pos) AS replies, count(*) FILTER (note_type = 'official_review') AS reviews, count(*) FILTER (note_type = 'author_response') AS author_responses, count(*) FILTER (note_type = 'meta_review') AS meta_reviews,
+count(*) FILTER (note_type = 'decision') AS decisions, count(*) FILTER (note_type = 'official_comment') AS official_comments, count(*) FILTER ({_TALK}) AS discussion, count(*) FILTER ({_TALK} AND created_ms > first_ms) AS post_comments,
+count(*) FILTER (note_type = 'official_review' AND modified_ms > first_ms AND modified_ms > created_ms) AS review_updates, min(first_ms) AS first_ms,
+coalesce(first(decision ORDER BY pos) FILTER (note_type = 'decision' AND decision <> ''), first({S.d_clean("text")} ORDER BY pos) FILTER (note_type = 'decision' AND {S.d_clean("text")} <> ''), '') AS label,
+count(*) FILTER (note_type = 'official_review' AND rating_normalized IS NOT NULL) AS ratings, count(*) FILTER (note_type = 'official_review' AND confidence_normalized IS NOT NULL) AS sure,
+count(*) FILTER (note_type = 'meta_review' AND text <> '') AS meta_text, count(*) FILTER (note_type = 'decision' AND comment_text <> '') AS decision_comment
+FROM (SELECT paper_id FROM inventory_note UNION SELECT 'empty' || r_regionkey FROM region) LEFT JOIN inventory_note USING (paper_id) LEFT JOIN first_note USING (paper_id) GROUP BY paper_id""",
+    "inventory_note",
+    "first_note",
+)
+_HAS = ("reviews > 0", "reviews >= 2", "ratings > 0", "sure > 0", "author_responses > 0", "meta_reviews > 0", "meta_text > 0", "decisions > 0", "label <> ''", "decision_comment > 0", "official_comments > 0", "discussion > 0", "post_comments > 0", "review_updates > 0")
+_CAN = ("true", _HAS[4], _HAS[6], _HAS[9], f"({_HAS[6]} OR {_HAS[9]})", _HAS[11], _HAS[12], _HAS[13], _HAS[1], _HAS[2], _HAS[3])
+_BITS = (*_HAS, *(f"reviews > 0 AND {c}" for c in _CAN))
+S.add_cte("masked", "SELECT *, CAST(" + " + ".join(f"CASE WHEN {c} THEN {1 << i} ELSE 0 END" for i, c in enumerate(_BITS)) + " AS INTEGER) AS mask FROM inventory", "inventory")
 
 
 def _inventory(spark: SparkSession, d: str) -> DataFrame:
-    rows = S.view(spark, d, "v_reply")
-    first = rows.where("note_type = 'author_response'").groupBy("paper_id").agg(F.min("created_ms").alias("first_ms"))
-    kind = F.col("note_type")
-    return rows.join(first, "paper_id", "left").groupBy("paper_id").agg(F.count(F.lit(1)).alias("replies"), *(F.count_if(kind == k).alias(k) for k in _KINDS), F.count_if((kind == "official_comment") & (F.col("created_ms") > F.col("first_ms"))).alias("post_comments"))
+    notes = spark.sql(_NOTE.replace("FROM v_reply", "FROM {v}"), v=S.view(spark, d, "v_reply"))
+    bare = S.table(spark, d, "region").select(F.concat(F.lit("empty"), "r_regionkey").alias("paper_id"))
+    return inventory.paper_inventory(notes.select("paper_id").distinct().unionByName(bare), notes)
 
 
-@query(S.sql("SELECT paper_id, replies, official_review, author_response, official_comment, meta_review, post_comments, official_review >= 2 AS inter_review_consensus, official_review > 0 AND author_response > 0 AS rebuttal_alignment, official_review > 0 AND meta_review > 0 AS concern_survival, official_review > 0 AND post_comments > 0 AS post_rebuttal_followup FROM inventory", "inventory"))
+@query(S.sql(f"SELECT paper_id, replies, {', '.join(inventory.COUNTS)}, md5(CASE WHEN label = '' THEN 'Unknown' ELSE label END) AS decision, first_ms, mask FROM masked", "masked"))
 def paper_inventory(spark: SparkSession, d: str) -> DataFrame:
-    reviewed = F.col("official_review") > 0
-    return _inventory(spark, d).withColumns({"inter_review_consensus": F.col("official_review") >= 2, "rebuttal_alignment": reviewed & (F.col("author_response") > 0), "concern_survival": reviewed & (F.col("meta_review") > 0), "post_rebuttal_followup": reviewed & (F.col("post_comments") > 0)})
+    return _inventory(spark, d).withColumn("decision", F.md5(F.col("decision").cast("binary")))
 
 
-@query(S.sql("SELECT flag, count(*) FILTER (v) AS papers, round(count(*) FILTER (v)::DOUBLE / count(*), 4) AS rate, CASE WHEN count(*) FILTER (v)::DOUBLE / count(*) >= 0.8 THEN 'strong' WHEN count(*) FILTER (v)::DOUBLE / count(*) >= 0.4 THEN 'usable' WHEN count(*) FILTER (v) > 0 THEN 'limited' ELSE 'not_available' END AS status FROM (SELECT unnest(['has_reviews', 'has_two_or_more_reviews', 'has_author_response', 'has_meta_review', 'has_official_comments', 'has_post_rebuttal_comments']) AS flag, unnest([official_review > 0, official_review >= 2, author_response > 0, meta_review > 0, official_comment > 0, post_comments > 0]) AS v FROM inventory) GROUP BY flag", "inventory"))
+@query(
+    S.sql(
+        f"""SELECT CASE WHEN i < 14 THEN 'availability' ELSE 'metric' END AS section, flag, papers, round(papers::DOUBLE / n, 4) AS rate,
+CASE WHEN i < 14 THEN NULL WHEN papers = 0 THEN 'not_available' WHEN flag IN ({S._in(inventory.SPARSE)}) AND papers::DOUBLE / n < 0.2 THEN 'limited' WHEN papers::DOUBLE / n >= 0.8 THEN 'strong' WHEN papers::DOUBLE / n >= 0.4 THEN 'usable' ELSE 'limited' END AS status
+FROM (SELECT unnest(range(0, 25)) AS i, unnest({S._list(inventory.NAMES)}) AS flag, unnest([{", ".join(f"count(*) FILTER (mask & {1 << i} > 0)" for i in range(25))}]) AS papers, count(*) AS n FROM masked)""",
+        "masked",
+    )
+)
 def inventory_report(spark: SparkSession, d: str) -> DataFrame:
-    flags = {"has_reviews": F.col("official_review") > 0, "has_two_or_more_reviews": F.col("official_review") >= 2, "has_author_response": F.col("author_response") > 0, "has_meta_review": F.col("meta_review") > 0, "has_official_comments": F.col("official_comment") > 0, "has_post_rebuttal_comments": F.col("post_comments") > 0}
-    rows = _inventory(spark, d).select(F.inline(F.array(*(F.struct(F.lit(k).alias("flag"), v.alias("v")) for k, v in flags.items()))))
-    share = F.count_if("v") / F.count(F.lit(1))
-    status = F.when(share >= 0.8, "strong").when(share >= 0.4, "usable").when(share > 0, "limited").otherwise("not_available")
-    return rows.groupBy("flag").agg(F.count_if("v").alias("papers"), F.round(share, 4).alias("rate"), status.alias("status"))
+    return inventory.inventory_report(_inventory(spark, d))
 
 
 #: Stand-in files of 16 papers with four reviews each, and of request lines, some with keys that they must not have.
