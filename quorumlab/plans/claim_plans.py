@@ -175,23 +175,36 @@ def dedupe_claims(spark: SparkSession, d: str) -> DataFrame:
 
 
 _WORDS_OF = "array_to_string(list_transform(string_split_regex(q, '[ \\t\\n\\r\\f]+'), lambda w: regexp_escape(w)), '\\s+')"
-_LINES = "length(left(field_text, {x})) - length(replace(left(field_text, {x}), chr(10), '')) + 1"
+_LINES = "length(left(t, {x})) - length(replace(left(t, {x}), chr(10), ''))"
+#: Fields with bullets, paragraphs and several sentences around the claims' own texts.
+_MARKED_UP = """'- A first point. It has two sentences.' || chr(10) || '2) ' || text || chr(10) || chr(10) || 'Plain words &amp; more.' || chr(10) || '* last: ' || text"""
+S.add_cte("marked_up", f"SELECT task_id, {S.d_clean(_MARKED_UP.replace('text', 'field_text'))} AS t, {S.d_clean('quote')} AS q FROM candidates", "candidates")
+_BULLET = "regexp_matches(x, '^\\s*([-*+]\\s+|[0-9]+[.)]\\s+)')"
+S.add_cte(
+    "spans",
+    f"""SELECT *, CASE WHEN start >= 0 THEN CAST({_LINES.format(x="start")} AS INTEGER) END AS line_start, CASE WHEN start >= 0 THEN CAST({_LINES.format(x="start + n")} AS INTEGER) END AS line_end, string_split(t, chr(10)) AS ls,
+  list_filter(string_split(regexp_replace(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: {S.d_clean_ws("x")} <> '') AS ss
+FROM (SELECT *, CASE WHEN q <> '' AND contains(t, q) THEN instr(t, q) - 1 WHEN q <> '' AND loose <> '' THEN instr(t, loose) - 1 ELSE -1 END AS start,
+  CASE WHEN contains(t, q) THEN length(q) ELSE length(loose) END AS n, CASE WHEN q <> '' AND contains(t, q) THEN 'exact' WHEN q <> '' AND loose <> '' THEN 'normalized' ELSE 'none' END AS strategy
+FROM (SELECT *, CASE WHEN q <> '' THEN regexp_extract(t, '(?i)' || {_WORDS_OF}) ELSE '' END AS loose FROM marked_up))""",
+    "marked_up",
+)
 
 
 @query(
     S.sql(
-        f"""SELECT task_id, CAST(start AS INTEGER) AS start, CAST(CASE WHEN start < 0 THEN -1 ELSE start + n END AS INTEGER) AS stop, strategy,
-  CASE WHEN start >= 0 THEN CAST({_LINES.format(x="start")} AS INTEGER) END AS line_start, CASE WHEN start >= 0 THEN CAST({_LINES.format(x="start + n")} AS INTEGER) END AS line_end,
-  CASE WHEN start >= 0 THEN CAST(len(regexp_extract_all(left(field_text, start), '\\n{{2,}}')) AS INTEGER) END AS paragraph
-FROM (SELECT *, CASE WHEN q <> '' AND contains(field_text, q) THEN instr(field_text, q) - 1 WHEN q <> '' AND loose <> '' THEN instr(field_text, loose) - 1 ELSE -1 END AS start,
-  CASE WHEN contains(field_text, q) THEN length(q) ELSE length(loose) END AS n, CASE WHEN q <> '' AND contains(field_text, q) THEN 'exact' WHEN q <> '' AND loose <> '' THEN 'normalized' ELSE 'none' END AS strategy
-FROM (SELECT *, CASE WHEN q <> '' THEN regexp_extract(field_text, '(?i)' || {_WORDS_OF}) ELSE '' END AS loose FROM (SELECT *, {S.d_strip("quote")} AS q FROM candidates)))""",
-        "candidates",
+        f"""SELECT task_id, CAST(start AS INTEGER) AS start, CAST(CASE WHEN start < 0 THEN -1 ELSE start + n END AS INTEGER) AS stop, strategy, line_start, line_end,
+  CASE WHEN start >= 0 THEN CAST(len(regexp_extract_all(left(t, start), '\\n[ \\t]*\\n')) AS INTEGER) END AS paragraph,
+  CASE WHEN len(list_filter(ls[line_start + 1:line_end + 1], lambda x: {_BULLET})) > 0 THEN CAST(len(list_filter(ls[1:line_start], lambda x: {_BULLET})) AS INTEGER) END AS bullet,
+  CAST(nullif(coalesce(list_position(list_transform(ss, lambda x: contains(lower({S.d_clean_ws("x")}), lower({S.d_clean_ws("q")}))), true), 0), 0) - 1 AS INTEGER) AS sentence FROM spans""",
+        "spans",
     )
 )
 def locate_source(spark: SparkSession, d: str) -> DataFrame:
-    rows = _candidates(spark, d).select("task_id", "field_text", "quote")
-    return C.located(rows).select("task_id", "start", "stop", "strategy", "line_start", "line_end", "paragraph")
+    parts = ("- A first point. It has two sentences.\n2) ", "\n\nPlain words &amp; more.\n* last: ")
+    text = F.concat(F.lit(parts[0]), "field_text", F.lit(parts[1]), "field_text")
+    rows = _candidates(spark, d).select("task_id", text.alias("field_text"), "quote")
+    return C.located(rows).select("task_id", "start", "stop", "strategy", "line_start", "line_end", "paragraph", "bullet", "sentence")
 
 
 #: Pages get headings: some open a section, some repeat the open one.

@@ -168,11 +168,18 @@ def test_duplicate_claims_go(spark, texts, kept):
 
 
 def test_quotes_are_located(spark):
-    cases = [("One two.\nThree  four.", "three four."), ("One two.\n\nThree  four.", "Three four."), ("a.b a+b (c)", " a+b "), ("x", "y"), (None, "y"), ("x", None), ("say A\\E  b", "a\\e B")]
+    cases = [
+        ("One two.\nThree  four.", "three four."), ("One two.\n\nThree  four.", "Three four."), ("a.b a+b (c)", " a+b "), ("x", "y"), (None, "y"), ("x", None), ("say A\\E  b", "a\\E b"),
+        ("Intro.\n- one. Two here\n- three\nand four\n\n3) five &amp; six", "three and four"), ("Intro.\n- one. Two here\n- three\n \n3) five &amp; six", "five & six"), ("- a b. C d", "C d"),
+    ]
     rows = spark.createDataFrame([(str(i), *c) for i, c in enumerate(cases)], "task_id string, field_text string, quote string")
-    found = [(r["start"], r["stop"], r["strategy"], r["line_start"], r["paragraph"]) for r in claims.located(rows).orderBy("task_id").collect()]
-    none = (-1, -1, "none", None, None)
-    assert found == [(9, 21, "normalized", 2, 0), (10, 22, "normalized", 3, 1), (4, 7, "exact", 1, 0), none, none, none, (4, 10, "normalized", 1, 0)]
+    names = ("start", "stop", "strategy", "line_start", "line_end", "paragraph", "bullet", "sentence")
+    found = [tuple(r[n] for n in names) for r in claims.located(rows).orderBy("task_id").collect()]
+    none = (-1, -1, "none", None, None, None, None)
+    assert found == [
+        (9, 20, "normalized", 1, 1, 0, None, 1), (10, 21, "exact", 2, 2, 1, None, 1), (4, 7, "exact", 0, 0, 0, None, 0), (*none, None), (*none, None), (*none, 0), (4, 9, "normalized", 0, 0, 0, None, 0),
+        (25, 39, "normalized", 2, 3, 0, 1, None), (36, 46, "exact", 4, 4, 1, 2, 4), (7, 10, "exact", 0, 0, 0, 0, 1),
+    ]
 
 
 def test_chunks_carry_their_section(spark):
