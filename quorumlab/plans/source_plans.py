@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,21 +41,24 @@ def read_note_pages(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d).select("id", F.size("replies").cast("bigint").alias("replies"), F.md5(joined.cast("binary")).alias("digest"))
 
 
-@query("SELECT unnest(['csv', 'json', 'jsonl']) AS kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, round(sum(quality)::DOUBLE, 4) AS score FROM documents JOIN labels USING (doc_id)")
+@query("SELECT unnest(['csv', 'json', 'jsonl', 'list']) AS kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, round(sum(quality)::DOUBLE, 4) AS score FROM documents JOIN labels USING (doc_id)")
 def read_records(spark: SparkSession, d: str) -> DataFrame:
-    """The same records by way of JSON lines, wrapped JSON and CSV."""
+    """The same records by way of JSON lines, wrapped JSON, bare lists over many lines behind a byte-order mark, and CSV."""
     rows = S.table(spark, d, "documents").join(S.table(spark, d, "labels"), "doc_id").select(F.col("doc_id").cast("string").alias("id"), "text", F.lit("x").alias("label"), F.col("quality").cast("double").alias("score"))
     out = []
-    for kind in ("jsonl", "json", "csv"):
+    groups = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(8)).alias("g")).agg(F.collect_list(F.struct("id", "text", "label", "score")).alias("items"))
+    for kind in ("jsonl", "json", "csv", "list"):
         path = files.shared_folder(spark, f"records-{kind}")
         if kind == "csv":
             rows.write.csv(path, header=True, escape='"', quoteAll=True)
         elif kind == "jsonl":
             rows.write.json(path)
         else:
-            rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(8)).alias("g")).agg(F.collect_list(F.struct("id", "text", "label", "score")).alias("items")).drop("g").write.json(path)
-        out.append(files.read_records(spark, path, kind).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.round(F.sum("score"), 4).alias("score")).select(F.lit(kind).alias("kind"), "n", "chars", "score"))
-    return out[0].unionByName(out[1]).unionByName(out[2])
+            wrapped = F.to_json(F.struct("items"))
+            bare = F.concat(F.lit("\ufeff[\n"), F.array_join(F.transform("items", lambda x: F.to_json(x)), ",\n"), F.lit("\n]"))
+            groups.select("g", (wrapped if kind == "json" else bare).alias("value")).repartition("g").write.partitionBy("g").text(path)
+        out.append(files.read_records(spark, path, "json" if kind == "list" else kind).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.round(F.sum("score"), 4).alias("score")).select(F.lit(kind).alias("kind"), "n", "chars", "score"))
+    return functools.reduce(DataFrame.unionByName, out)
 
 
 @query("SELECT doc_id, lang, source, n_chars FROM documents")

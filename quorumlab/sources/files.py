@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -66,14 +67,24 @@ def _fields(schema: str) -> str:
 
 
 def read_records(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """Records from JSON lines, from JSON under one of four wrapper keys, or from CSV with a header."""
+    """Records from JSON lines (``jsonl``), from JSON files (``json``) or from CSV with a header (``csv``).
+
+    A JSON file is a list of records, or an object with one under ``records``, ``items``, ``data`` or ``examples`` (the
+    first of these counts); it may span many lines, and is then one task, as a file without line ends for records has
+    no place to be cut. A byte-order mark before JSON is skipped, blank lines too. An object without a list is an error.
+    """
     if kind == "csv":
         return spark.read.schema(RECORD).csv(path, header=True, multiLine=True, escape='"')
     if kind == "jsonl":
-        return spark.read.schema(RECORD).json(path)
-    keys = ("records", "items", "data", "examples")
-    wrapped = spark.read.schema(", ".join(f"{k} array<struct<{_fields(RECORD)}>>" for k in keys)).json(path)
-    return wrapped.select(F.inline(F.coalesce(*keys)))
+        lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("line")).where(F.trim("line") != "")
+        return lines.select(F.inline(F.array(F.from_json("line", RECORD, {"mode": "FAILFAST"}))))
+    keys, own = ("records", "items", "data", "examples"), [f.strip().split()[0] for f in RECORD.split(",")]
+    lists = ", ".join(f"{k} array<struct<{_fields(RECORD)}>>" for k in keys)
+    rows = spark.read.schema(f"{RECORD}, {lists}, _corrupt_record string").json(path, multiLine=True)  # the parser itself skips the mark
+    single = F.array(F.struct(*own))
+    some = functools.reduce(lambda a, b: a | b, (F.col(c).isNotNull() for c in own))
+    none = F.raise_error(F.concat(F.lit(f"no record list in {path}: "), F.coalesce("_corrupt_record", F.lit("")))).cast(f"array<struct<{_fields(RECORD)}>>")
+    return rows.select(F.inline(F.coalesce(*keys, F.when(some & F.col("_corrupt_record").isNull(), single), none)))
 
 
 def flatten_dataset(nested: DataFrame) -> tuple[DataFrame, DataFrame]:
