@@ -239,7 +239,7 @@ def chunk_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 S.add_cte("list_a", "SELECT review_id, claim_index AS a_index, claim_text AS a_text FROM claims", "claims")
-S.add_cte("list_b", "SELECT review_id, claim_index AS b_index, CASE WHEN claim_index % 2 = 0 THEN claim_text ELSE 'changed ' || claim_text END AS b_text FROM claims WHERE claim_index % 5 <> 4", "claims")
+S.add_cte("list_b", "SELECT review_id, claim_index AS b_index, CASE WHEN claim_index % 2 = 0 THEN claim_text ELSE 'changed ' || claim_text END AS b_text FROM claims WHERE paper_id IN (SELECT 'p' || doc_id FROM labels)", "claims")
 
 
 @query(S.sql("SELECT review_id, a_index, b_index, how FROM (SELECT *, row_number() OVER (PARTITION BY review_id, a_index ORDER BY how DESC, b_index) AS rn FROM (SELECT a.review_id, a_index, b_index, CASE WHEN a_text = b_text THEN 'text' ELSE 'position' END AS how FROM list_a a JOIN list_b b ON a.review_id = b.review_id AND (a_text = b_text OR a_index = b_index))) WHERE rn = 1", "list_a", "list_b"))
@@ -248,7 +248,7 @@ def match_claim_sets(spark: SparkSession, d: str) -> DataFrame:
     rows = S.claims(spark, d)
     a = rows.select("review_id", F.col("claim_index").cast("bigint").alias("a_index"), F.col("claim_text").alias("a_text"))
     changed = F.when(F.col("claim_index") % 2 == 0, F.col("claim_text")).otherwise(F.concat(F.lit("changed "), "claim_text"))
-    b = rows.where("claim_index % 5 <> 4").select("review_id", F.col("claim_index").cast("bigint").alias("b_index"), changed.alias("b_text"))
+    b = S.labelled(spark, d, rows).select("review_id", F.col("claim_index").cast("bigint").alias("b_index"), changed.alias("b_text"))
     by_text = a.join(b, (a["review_id"] == b["review_id"]) & (a["a_text"] == b["b_text"])).select(a["review_id"], "a_index", "b_index", F.lit(0).alias("way"))
     by_place = a.join(b, (a["review_id"] == b["review_id"]) & (a["a_index"] == b["b_index"])).select(a["review_id"], "a_index", "b_index", F.lit(1).alias("way"))
     best = by_text.unionByName(by_place).groupBy("review_id", "a_index").agg(F.min(F.struct("way", "b_index")).alias("m"))

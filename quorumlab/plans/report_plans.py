@@ -189,16 +189,16 @@ def paired_deltas(spark: SparkSession, d: str) -> DataFrame:
 
 
 _FIELDS = ("verdict", "tone", "scope")
-S.add_cte("human", "SELECT doc_id AS task_id, ['review', 'claim', 'evidence'][doc_id % 3 + 1] AS task_type, n_chars % 3 AS verdict, n_chars % 2 AS tone, n_chars % 5 AS scope FROM documents WHERE doc_id % 5 <> 0")
-S.add_cte("model", "SELECT doc_id AS task_id, doc_id % 3 AS verdict, n_chars % 2 AS tone, doc_id % 5 AS scope FROM documents WHERE doc_id % 7 <> 0")
+S.add_cte("human", "SELECT doc_id AS task_id, ['review', 'claim', 'evidence'][doc_id % 3 + 1] AS task_type, n_chars % 3 AS verdict, n_chars % 2 AS tone, n_chars % 5 AS scope FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+S.add_cte("model", "SELECT doc_id AS task_id, doc_id % 3 AS verdict, n_chars % 2 AS tone, doc_id % 5 AS scope FROM documents")
 
 
 def _two_runs(spark: SparkSession, d: str) -> DataFrame:
     docs = S.table(spark, d, "documents")
     i, n = F.col("doc_id"), F.col("n_chars")
     kind = F.element_at(T.words_of(("review", "claim", "evidence")), (i % 3 + 1).cast("int"))
-    human = docs.where(i % 5 != 0).select(i.alias("task_id"), kind.alias("task_type"), (n % 3).alias("h_verdict"), (n % 2).alias("h_tone"), (n % 5).alias("h_scope"))
-    model = docs.where(i % 7 != 0).select(i.alias("task_id"), (i % 3).alias("m_verdict"), (n % 2).alias("m_tone"), (i % 5).alias("m_scope"))
+    human = docs.join(S.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select(i.alias("task_id"), kind.alias("task_type"), (n % 3).alias("h_verdict"), (n % 2).alias("h_tone"), (n % 5).alias("h_scope"))
+    model = docs.select(i.alias("task_id"), (i % 3).alias("m_verdict"), (n % 2).alias("m_tone"), (i % 5).alias("m_scope"))
     return human.join(model, "task_id")
 
 
@@ -407,13 +407,13 @@ def import_results(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("paper_id").agg(F.count(F.lit(1)).alias("tasks"), F.count_if(ok).alias("imported"), F.count_if(~ok).alias("failed"))
 
 
-@query(S.sql("SELECT task_id, CASE WHEN j IS NULL THEN verdict WHEN j IN ('supported', 'insufficient', 'possibly_contradicted') THEN j ELSE 'needs_human_check' END AS final_verdict, CASE WHEN j IS NULL THEN 'llm-judge-failed' WHEN j NOT IN ('supported', 'insufficient', 'possibly_contradicted') THEN 'judge-verdict-invalid' ELSE '' END AS added_flag FROM (SELECT *, CASE claim_index % 4 WHEN 0 THEN NULL WHEN 1 THEN 'supported' WHEN 2 THEN 'insufficient' ELSE 'nonsense' END AS j FROM ruled)", "ruled"))
+@query(S.sql("SELECT task_id, CASE WHEN j IS NULL THEN verdict WHEN j IN ('supported', 'insufficient', 'possibly_contradicted') THEN j ELSE 'needs_human_check' END AS final_verdict, CASE WHEN j IS NULL THEN 'llm-judge-failed' WHEN j NOT IN ('supported', 'insufficient', 'possibly_contradicted') THEN 'judge-verdict-invalid' ELSE '' END AS added_flag FROM (SELECT *, CASE WHEN paper_id NOT IN (SELECT 'p' || doc_id FROM labels) THEN NULL WHEN claim_index % 3 = 0 THEN 'supported' WHEN claim_index % 3 = 1 THEN 'insufficient' ELSE 'nonsense' END AS j FROM ruled)", "ruled"))
 def apply_judgements(spark: SparkSession, d: str) -> DataFrame:
     """Judged rows over rule verdicts: valid enums replace them, missing judgements leave a failure flag."""
     verdicts = T.words_of(("supported", "partially_supported", "insufficient", "possibly_contradicted", "vague_or_not_checkable", "needs_human_check"))
-    claims = S.claims(spark, d).select("task_id", "claim_index", F.element_at(verdicts, F.length("claim_text") % 6 + 1).alias("verdict"))
-    at = F.col("claim_index") % 4
-    judged = claims.where(at != 0).select("task_id", F.when(at == 1, "supported").when(at == 2, "insufficient").otherwise("nonsense").alias("j"))
+    claims = S.claims(spark, d).select("task_id", "paper_id", "claim_index", F.element_at(verdicts, F.length("claim_text") % 6 + 1).alias("verdict"))
+    at = F.col("claim_index") % 3
+    judged = S.labelled(spark, d, claims).select("task_id", F.when(at == 0, "supported").when(at == 1, "insufficient").otherwise("nonsense").alias("j"))
     rows = claims.join(judged, "task_id", "left")
     valid = F.col("j").isin("supported", "insufficient", "possibly_contradicted")
     final = F.when(F.col("j").isNull(), F.col("verdict")).when(valid, F.col("j")).otherwise("needs_human_check")

@@ -22,11 +22,11 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "pages").select("page_id", T.clean_text(F.concat("html", F.lit(_ENTITIES))).alias("cleaned"))
 
 
-@query("SELECT page_id, array_to_string(list_filter([url, NULL, CASE WHEN page_id % 3 = 0 THEN html END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS content FROM pages")
+@query("SELECT page_id, array_to_string(list_filter([url, NULL, html], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS content FROM pages")
 def content_text(spark: SparkSession, d: str) -> DataFrame:
     """Joined text of an ordered key list of an open content map."""
     pages = S.table(spark, d, "pages")
-    content = F.create_map(F.lit("title"), F.col("url"), F.lit("tldr"), F.lit(None).cast("string"), F.lit("abstract"), F.when(F.col("page_id") % 3 == 0, F.col("html")))
+    content = F.create_map(F.lit("title"), F.col("url"), F.lit("tldr"), F.lit(None).cast("string"), F.lit("abstract"), F.col("html"))
     keys = T.words_of(("title", "tldr", "abstract", "keywords"))
     values = F.filter(F.transform(keys, lambda k: F.try_element_at(content, k)), lambda v: v.isNotNull())
     return pages.select("page_id", F.array_join(values, "\n\n").alias("content"))
@@ -192,7 +192,7 @@ def claim_defaults(spark: SparkSession, d: str) -> DataFrame:
 
 S.add_cte(
     "judged",
-    f"""SELECT *, [left(claim_text, 40), left(claim_text, 20)][1:claim_index % 3] AS evidence, CASE claim_index % 4 WHEN 0 THEN '' WHEN 1 THEN left(claim_text, 20) ELSE right(claim_text, 15) END AS quote,
+    f"""SELECT *, [claim_text, source_sentence || ' seen'][1:claim_index % 3] AS evidence, CASE claim_index % 4 WHEN 0 THEN '' WHEN 1 THEN claim_text ELSE claim_text || ' unseen words' END AS quote,
   CASE WHEN length(claim_text) % 2 = 0 THEN 'high' ELSE 'medium' END AS confidence, ['strongly_agree', 'agree', 'mixed', 'disagree', 'strongly_disagree', 'odd'][length(claim_text) % 5 + 1 + claim_index % 2] AS given,
   length(claim_text) % 101 AS given_support, CASE verdict WHEN 'supported' THEN 3 WHEN 'partially_supported' THEN 2 WHEN 'insufficient' THEN 1 WHEN 'vague_or_not_checkable' THEN 1 WHEN 'possibly_contradicted' THEN 0 END AS backing, {_FLAGS} AS flags FROM ruled""",
     "ruled",
@@ -218,8 +218,8 @@ def reliability_gate(spark: SparkSession, d: str) -> DataFrame:
     stances = T.words_of((*L.STANCES, "odd"))
     rows = _ruled(spark, d).withColumns(
         {
-            "evidence": F.slice(F.array(F.left(text, F.lit(40)), F.left(text, F.lit(20))), F.lit(1), at % 3),
-            "quote": F.when(at % 4 == 0, "").when(at % 4 == 1, F.left(text, F.lit(20))).otherwise(F.right(text, F.lit(15))),
+            "evidence": F.slice(F.array(text, F.concat("source_sentence", F.lit(" seen"))), F.lit(1), at % 3),
+            "quote": F.when(at % 4 == 0, "").when(at % 4 == 1, text).otherwise(F.concat(text, F.lit(" unseen words"))),
             "confidence": F.when(n % 2 == 0, "high").otherwise("medium"),
             "stance": F.element_at(stances, n % 5 + 1 + at % 2),
             "support_score": (n % 101).cast("bigint"),
@@ -232,7 +232,7 @@ def reliability_gate(spark: SparkSession, d: str) -> DataFrame:
 
 _SCORES = """SELECT doc_id AS row_id, CASE n_chars % 7 WHEN 0 THEN 'n/a' ELSE CAST((n_chars % 130) / CASE n_chars % 3 WHEN 0 THEN 13.0 ELSE 1.0 END AS VARCHAR) END AS outrage,
   CAST(n_chars % CASE n_chars % 3 WHEN 0 THEN 9 ELSE 90 END AS VARCHAR) AS toxicity, CAST(n_chars % CASE n_chars % 3 WHEN 0 THEN 10 ELSE 120 END AS VARCHAR) AS helpfulness,
-  CASE n_chars % 5 WHEN 0 THEN '' WHEN 1 THEN 'two words' ELSE left(text, 60) END AS quote, CASE n_chars % 4 WHEN 0 THEN 'Mostly summary, too short' ELSE 'clear and useful' END AS verdict, n_chars % 2 = 0 AS actionable FROM documents"""
+  CASE n_chars % 5 WHEN 0 THEN '' WHEN 1 THEN 'two words' ELSE text END AS quote, CASE n_chars % 4 WHEN 0 THEN 'Mostly summary, too short' ELSE 'clear and useful' END AS verdict, n_chars % 2 = 0 AS actionable FROM documents"""
 
 
 @query(
@@ -250,7 +250,7 @@ def normalize_scores(spark: SparkSession, d: str) -> DataFrame:
         F.when(n % 7 == 0, "n/a").otherwise(((n % 130) / F.when(n % 3 == 0, 13.0).otherwise(1.0)).cast("string")).alias("outrage"),
         (n % F.when(n % 3 == 0, 9).otherwise(90)).cast("string").alias("toxicity"),
         (n % F.when(n % 3 == 0, 10).otherwise(120)).cast("string").alias("helpfulness"),
-        F.when(n % 5 == 0, "").when(n % 5 == 1, "two words").otherwise(F.left("text", F.lit(60))).alias("quote"),
+        F.when(n % 5 == 0, "").when(n % 5 == 1, "two words").otherwise(F.col("text")).alias("quote"),
         F.when(n % 4 == 0, "Mostly summary, too short").otherwise("clear and useful").alias("verdict"),
         (n % 2 == 0).alias("actionable"),
     )
