@@ -62,7 +62,7 @@ def memory_topk(queries: DataFrame, memory: DataFrame, k: int = 5, *, rare: int
     one = F.broadcast(q.sparkSession.createDataFrame([(1, listed)], f"one int, spare {spare}"))
     fill = q.select("query_id", F.lit(1).alias("one")).join(one, "one").select("query_id", F.inline("spare"))
     dimensions = F.array(*(F.lit(d) for d in sorted({r["dimension"] for r in listed}, key=str))).cast(f"array<{m.schema['dimension'].dataType.simpleString()}>")
-    classes = staged(sets.select(F.explode("dimensions").alias("dimension"), "low").distinct(), "size-classes")
+    classes = sets.select(F.explode("dimensions").alias("dimension"), "low").distinct()
     best = Window.partitionBy("query_id", "dimension").orderBy(F.desc("similarity"), F.desc("mapped_score"), "ord")
     names = ["query_id", *facts, "similarity"]
 
@@ -78,7 +78,7 @@ def memory_topk(queries: DataFrame, memory: DataFrame, k: int = 5, *, rare: int
     def met(found: DataFrame, sizes: Column) -> DataFrame:
         """Pairs of the size classes ``sizes`` that can still reach the k-th best of ``found``."""
         bounds = found.groupBy("query_id", "dimension").agg(F.count(F.lit(1)).alias("rows"), F.min("similarity").alias("t"))
-        each = known.select("query_id", "n", "known").distinct().withColumn("dimension", F.explode(dimensions))
+        each = known.where("place = 1").select("query_id", "n", "known", F.explode(dimensions).alias("dimension"))
         # similarities are rounded to four decimals, so a tie with the bound may lie below it by as much
         t = F.when(F.col("rows") == k, F.greatest(F.col("t") - 0.0001, F.lit(0.0))).otherwise(0.0)
         need = each.join(bounds, ["query_id", "dimension"], "left").withColumn("t", t).join(classes, "dimension").where(sizes)
@@ -93,8 +93,8 @@ def memory_topk(queries: DataFrame, memory: DataFrame, k: int = 5, *, rare: int
     rarest = known.where((F.col("place") == 1) | (F.col("postings") <= rare)).select("query_id", "token")
     found = staged(verified(rarest.join(index, "token").select("query_id", "set_id").distinct()), "best-memories")
     for sizes in (F.col("low") <= near * F.col("n"), F.col("low") > near * F.col("n")):
-        more = verified(met(found, sizes))
-        found = staged(first_k(found.drop("rank").unionByName(more.drop("rank")).distinct()), "best-memories")
+        more = verified(met(found, sizes)).join(found.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
+        found = staged(first_k(found.select(*names).unionByName(more.select(*names))), "best-memories")
     fill = fill.join(found.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti").withColumn("similarity", F.lit(0.0))
     return first_k(found.select(*names).unionByName(fill.select(*names)))
 
