@@ -21,7 +21,7 @@ def least_common(t: Column, n: Column, size: Column) -> Column:
     return F.greatest(F.ceil(t * (n + size) / (1 + t) - 1e-9), F.lit(1))
 
 
-def memory_topk(queries: DataFrame, memory: DataFrame, k: int = 5, *, rare: int = 20, near: float = 2.0, spare_hits: int = 2) -> DataFrame:
+def memory_topk(queries: DataFrame, memory: DataFrame, k: int = 5, rare: int = 20, *, near: float = 2.0, spare_hits: int = 2) -> DataFrame:
     """Per (query, dimension) the k memories of highest Jaccard similarity, then score, then ordinal.
 
     ``queries``: query_id, query_text. ``memory``: memory_id, ord, dimension, input_text, mapped_score, gold_label.
