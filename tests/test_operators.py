@@ -1,5 +1,6 @@
 """Operators on literal rows with known numbers, and under other partitionings."""
 
+import html
 import random
 
 import pytest
@@ -237,3 +238,10 @@ def test_adapters(spark):
 def test_works_are_rebuilt(spark):
     rows = spark.createDataFrame([(0, "w1", "T", {"b": [1], "a": [0, 2]}), (1, "w1", "other", {"z": [0]}), (0, "w2", " ", {"a": [0]}), (0, "w3", "U", {})], "ord int, work_id string, title string, inverted map<string, array<int>>")
     assert [(r["work_id"], r["title"], r["abstract"]) for r in files.works_table(rows).collect()] == [("w1", "T", "a b a")]
+
+
+def test_entities_cut_before_their_semicolon(spark):
+    """Titles that end inside an entity, as in the table of pages: what ``html.unescape`` says."""
+    texts = ["<title>and&amp</title><style>", "oo&amp;&amp;&am</title>", "a&ampb &amp", "x &lt</b> &gt&quot &nbsp&middot"]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.unescaped("t").alias("u")).collect()
+    assert [r["u"] for r in sorted(found, key=lambda r: r["i"])] == [html.unescape(t) for t in texts]
