@@ -143,23 +143,30 @@ def section_weight(section: Column, source_type: Column, kind: Column) -> Column
 
 
 def bm25_evidence(claims: DataFrame, sections: DataFrame, k: int = 3) -> DataFrame:
-    """The k best sections of each claim's own paper.
+    """The k best sections of each claim's own paper. A claim has one paper; of a paper's rows the token lists lie in one task.
 
     ``claims``: task_id, paper_id, claim_text, claim_type. ``sections``: paper_id, section_id, section, source_type, text.
     """
-    terms = claims.select("task_id", "paper_id", "claim_type", expanded_terms(F.col("claim_text"), F.col("claim_type")).alias("terms")).withColumn("n_terms", F.size("terms"))
-    docs = sections.withColumn("tokens", T.token_list(F.concat_ws(" ", "section", "section", "text"))).withColumn("length", F.size("tokens"))
-    paper = docs.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("length").alias("mean_length"))
-    counts = docs.select("paper_id", "section_id", F.explode("tokens").alias("term")).groupBy("paper_id", "section_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = counts.groupBy("paper_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    facts = docs.select("paper_id", "section_id", "section", "source_type", "length").join(paper, "paper_id")
-    weighted = counts.join(df, ["paper_id", "term"]).join(facts, ["paper_id", "section_id"])
-    weighted = weighted.withColumn("w", term_weight(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("length"), F.col("mean_length")))
-    hits = terms.select("task_id", "paper_id", "claim_type", "n_terms", F.explode("terms").alias("term")).join(weighted, ["paper_id", "term"])
-    found = hits.groupBy("task_id", "claim_type", "n_terms", "section_id", "section", "source_type").agg(F.round(F.sum("w"), 6).alias("raw"), F.count(F.lit(1)).alias("matched"))
+    terms = expanded_terms(F.col("claim_text"), F.col("claim_type"))
+    tokens = T.token_list(F.concat_ws(" ", "section", "section", "text"))
+    asked = claims.select("paper_id", F.lit(True).alias("asks"), F.col("task_id").alias("id"), F.col("claim_type").alias("name"), F.lit(None).cast("string").alias("source"), terms.alias("tokens"))
+    held = sections.select("paper_id", F.lit(False).alias("asks"), F.col("section_id").alias("id"), F.col("section").alias("name"), F.col("source_type").alias("source"), tokens.alias("tokens"))
+    # claims and sections are dealt by paper once; all later groups lie inside a paper, so terms are never shuffled
+    rows = asked.unionByName(held).where("paper_id is not null").repartition("paper_id").withColumn("size", F.size("tokens"))
+    paper = Window.partitionBy("paper_id")
+    rows = rows.withColumns({"n_docs": F.count_if(~F.col("asks")).over(paper), "mean_length": F.avg(F.when(~F.col("asks"), F.col("size"))).over(paper)})
+    facts = ["asks", "id", "name", "source", "size", "n_docs", "mean_length"]
+    counts = rows.select("paper_id", *facts, F.explode("tokens").alias("term")).groupBy("paper_id", "term", *facts).agg(F.count(F.lit(1)).alias("tf"))
+    claim = F.struct(F.col("id").alias("task_id"), F.col("name").alias("claim_type"), F.col("size").alias("n_terms"))
+    section = F.struct(F.col("id").alias("section_id"), F.col("name").alias("section"), F.col("source").alias("source_type"), F.col("size").alias("length"), "tf")
+    sides = {"claim": F.collect_list(F.when(F.col("asks"), claim)), "held": F.collect_list(F.when(~F.col("asks"), section))}
+    met = counts.groupBy("paper_id", "term", "n_docs", "mean_length").agg(*(v.alias(k) for k, v in sides.items())).where("size(claim) > 0 and size(held) > 0")
+    hits = met.withColumn("df", F.size("held")).withColumn("held", F.explode("held")).withColumn("claim", F.explode("claim"))
+    hits = hits.select("paper_id", "claim.*", "held.*", term_weight(F.col("held.tf"), F.col("df"), F.col("n_docs"), F.col("held.length"), F.col("mean_length")).alias("w"))
+    found = hits.groupBy("paper_id", "task_id", "claim_type", "n_terms", "section_id", "section", "source_type").agg(F.round(F.sum("w"), 6).alias("raw"), F.count(F.lit(1)).alias("matched"))
     score = F.col("raw") * section_weight(F.col("section"), F.col("source_type"), F.col("claim_type")) * (0.75 + 0.25 * F.col("matched") / F.col("n_terms"))
     found = found.withColumn("weighted", score).withColumn("score", F.round(F.col("weighted") / (F.col("weighted") + 3.0), 3))
-    order = Window.partitionBy("task_id").orderBy(F.desc("score"), "section_id")
+    order = Window.partitionBy("paper_id", "task_id").orderBy(F.desc("score"), "section_id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.withColumn("verdict", F.when(F.col("score") >= 0.45, "supporting_candidate").otherwise("partial_candidate"))
 

@@ -245,3 +245,15 @@ def test_entities_cut_before_their_semicolon(spark):
     texts = ["<title>and&amp</title><style>", "oo&amp;&amp;&am</title>", "a&ampb &amp", "x &lt</b> &gt&quot &nbsp&middot"]
     found = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.unescaped("t").alias("u")).collect()
     assert [r["u"] for r in sorted(found, key=lambda r: r["i"])] == [html.unescape(t) for t in texts]
+
+
+def test_evidence_deals_its_rows_by_paper_once(spark):
+    """Best sections of own papers, with a paper of none and nulls; terms are not shuffled."""
+    claim = [("k1", "p1", "robust baselines missing", "other"), ("k2", "p2", "robust baselines", "other"), ("k3", None, "robust", "other"), ("k4", "p1", "", "other")]
+    section = [("p1", "a", "Body", "paper", "robust baselines here"), ("p1", "b", "Body", "paper", "nothing"), ("p1", "c", "Body", "paper", None), ("p3", "d", "Body", "paper", "robust")]
+    claims_ = spark.createDataFrame(claim, "task_id string, paper_id string, claim_text string, claim_type string")
+    sections = spark.createDataFrame(section, "paper_id string, section_id string, section string, source_type string, text string")
+    found = retrieval.bm25_evidence(claims_, sections)
+    assert [(r["task_id"], r["section_id"], r["rank"], r["matched"]) for r in found.collect()] == [("k1", "a", 1, 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
