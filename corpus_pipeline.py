@@ -24,7 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest doc_id, of each group of near duplicates.
+    """Keeps one document, that of the smallest doc_id, of each group of near duplicates: links of the SimHash trie,
+    then pairs that only MinHash finds, both checked by whole sets.
 
     Null, empty and blank texts are one group. Repeated rows stay once, of rows without a doc_id each text once."""
     return simhash.deduplicated(docs)

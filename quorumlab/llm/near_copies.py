@@ -1,15 +1,19 @@
 """Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and their components.
 
-SimHash fingerprints of such pairs differ in up to about 11 of 64 bits, at which any split into blocks
-leaves groups that grow with the square of the table. So candidates come from MinHash: ``BANDS`` keys of
-``ROWS`` minima each; a pair at 0.8 shares no key with probability (1 - 0.8**4)**20 = 3e-5, a more similar
+Equal sets are one node (a 64-bit hash of the set). First the SimHash fingerprints of all nodes are linked by the
+trie self-join; each node of a SimHash component is compared with the component's first node by whole sets, and what
+reaches the bound is connected.
+
+SimHash fingerprints of pairs at 0.8 differ in up to about 11 of 64 bits, at which any split into blocks leaves
+groups that grow with the square of the table. So the pairs beyond the trie's budget come from MinHash: ``BANDS``
+keys of ``ROWS`` minima each; a pair at 0.8 shares no key with probability (1 - 0.8**4)**20 = 3e-5, a more similar
 one with less. Every candidate is then compared by its whole sets, so nothing below the bound links.
 
-Equal sets are one node (a 64-bit hash of the set). The nodes of a key are first compared with its head, the node
-that meets most others over all its keys, so that a family around one base is compared with that base. Two nodes
-that both reach the bound with a head are connected by it. Of the pairs of a key that the heads leave in different
-components, one node at least falls short of the head; such sets can only be near each other if they share over
-half of what sets the other apart from the head. ``by_differences`` joins them on that, rarest differences first.
+The nodes of a key are first compared with its head, the node that meets most others over all its keys, so that a
+family around one base is compared with that base; nodes that SimHash has connected with it are not compared again.
+Two nodes that both reach the bound with a head are connected by it. Of the pairs of a key that the heads leave in
+different components, one node at least falls short of the head; such sets can only be near each other if they share
+over half of what sets the other apart from the head. ``by_differences`` joins them on that, rarest differences first.
 So a pair is left out only if it is connected already or falls short, and the components are those of all pairs
 that share a key. Pairs of a key that only have the head's shingles or a common passage in common are not listed.
 """
@@ -44,8 +48,8 @@ def node_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 7)).view(np.int64))
 
 
-def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
-    """(doc_id, node, n, keys) of every row: its set's hash and size and the keys of its bands."""
+def signatures(docs: DataFrame, fingerprint, size: int = 5) -> DataFrame:
+    """(doc_id, node, fp, n, keys) of every row: its set's hash, its text's fingerprint, the set's size and the keys of its bands."""
     rng = np.random.default_rng(5)
     odd, plus, fold = (rng.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(3))
     odd |= np.uint64(1)
@@ -66,12 +70,13 @@ def signatures(docs: DataFrame, size: int = 5) -> DataFrame:
                 columns = [
                     batch.column(0).slice(first, len(texts)),
                     pa.array([node_of(s) for s in sets], pa.int64()),
+                    pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)),
                     pa.array(sizes),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), flat),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "keys"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "fp", "n", "keys"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(hashed, "doc_id bigint, node bigint, n bigint, keys array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(hashed, "doc_id bigint, node bigint, fp bigint, n bigint, keys array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame, size: int = 5) -> DataFrame:
@@ -141,13 +146,31 @@ def by_differences(members: DataFrame, sets: DataFrame, similarity: float) -> Da
     return found.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
 
 
-def near_copies(docs: DataFrame, components, *, size: int = 5, similarity: float = 0.8) -> DataFrame:
+def linked_pairs(distinct: DataFrame, links, components) -> DataFrame:
+    """(a, b): each node of a SimHash component with the component's first node. ``distinct``: node, fp, n.
+
+    A node of several texts (of other order or repeats) stands for the smallest of their fingerprints."""
+    prints = staged(distinct.select("fp").distinct(), "distinct-fingerprints")
+    joined = components(links(prints)).withColumnRenamed("node", "fp")
+    named = staged(distinct.select("node", "n", "fp").join(joined, "fp", "left").select("node", "n", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    first = named.groupBy("root").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    pairs = joined_by_hot(named, first.select("root", "a"), "root", first.select("root", F.col("rows").alias("n")))
+    return pairs.where("node <> a").select("a", F.col("node").alias("b"))
+
+
+def near_copies(docs: DataFrame, fingerprint, links, components, *, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, node, component_id) of every row; a component is named by its smallest doc_id.
 
+    ``fingerprint`` gives a text's SimHash, ``links`` the edges among distinct fingerprints (fp) within its budget;
     ``components`` turns edges (a, b) into (node, root).
     """
-    rows = staged(signatures(docs, size), "signatures")
-    distinct = staged(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows")), "distinct-sets")
+    rows = staged(signatures(docs, fingerprint, size), "signatures")
+    one = [F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows")]
+    distinct = staged(rows.groupBy("node").agg(*one), "distinct-sets")
+    linked = staged(linked_pairs(distinct, links, components), "simhash-pairs")
+    met = linked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    edges = alike(linked, staged(shingle_sets(docs, distinct.select("node", "least").join(met, "node"), size), "shingle-sets"), similarity)
+    joined = staged(components(edges), "simhash-components")
     keyed = distinct.select("node", "n", F.explode("keys").alias("key"))
     sizes = staged(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1"), "band-keys")
     counts = sizes.select("key", F.col("rows").alias("n"))
@@ -157,9 +180,12 @@ def near_copies(docs: DataFrame, components, *, size: int = 5, similarity: float
     heads = staged(heads.select("key", F.col("head.node").alias("head"), F.col("head.n").alias("h")), "band-heads")
     groups = staged(joined_by_hot(keyed.drop("rows"), heads, "key", counts).where("node <> head"), "band-groups")
     first = groups.where(sizes_fit(F.col("n"), F.col("h"), similarity))
-    first = staged(first.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "candidate-pairs")
+    first = first.select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    for side in ("a", "b"):  # what SimHash has connected needs no comparison
+        first = first.join(joined.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    first = staged(first.where("root_a is null or root_b is null or root_a <> root_b").select("a", "b"), "candidate-pairs")
     met = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    edges = alike(first, staged(shingle_sets(docs, distinct.select("node", "least").join(met, "node"), size), "shingle-sets"), similarity)
+    edges = edges.unionByName(alike(first, staged(shingle_sets(docs, distinct.select("node", "least").join(met, "node"), size), "shingle-sets"), similarity))
     known = components(edges)
     members = groups.select("head", "node", "n").distinct().join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tops = known.select(F.col("node").alias("head"), F.col("root").alias("top"))
@@ -174,6 +200,6 @@ def near_copies(docs: DataFrame, components, *, size: int = 5, similarity: float
     rooted = distinct.select("node", "least").join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     rooted = staged(rooted.select("node", "root").join(least, "root").select("node", "component_id"), "node-components")
-    for done in (sizes, keyed, heads, groups, first, edges, known, members, sets, second):
+    for done in (linked, joined, sizes, keyed, heads, groups, first, edges, known, members, sets, second):
         drop_staged(done)
     return joined_by_hot(rows.select("doc_id", "node"), rooted, "node", distinct.select("node", F.col("rows").alias("n")))

@@ -206,12 +206,13 @@ def near_duplicates(docs: DataFrame, *, size: int = 3, budget: int = 2, limit: i
 def deduplicated(docs: DataFrame, *, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each component of near copies (the one with the smallest doc_id), with the columns of ``docs``.
 
-    Near copies share ``similarity`` of their ``size``-word shingles (Jaccard); see ``near_copies``.
+    Near copies share ``similarity`` of their ``size``-word shingles (Jaccard). The trie's links within two bits are
+    compared by that first; MinHash keys give the pairs whose fingerprints lie further apart (see ``near_copies``).
     Of rows that share that doc_id, those of different text stay. Rows without a doc_id cannot stand
     for a component: each of their distinct texts stays once.
     """
     kept, text = unused(docs, "__kept"), unused(docs, "__text")
-    found = near_copies(docs, components, size=size, similarity=similarity).where("doc_id = component_id")
+    found = near_copies(docs, fingerprint, links, components, size=size, similarity=similarity).where("doc_id = component_id")
     docs = docs.withColumn(text, F.xxhash64("text"))
     named = docs.join(found.select(F.col("doc_id").alias(kept)).distinct(), F.col("doc_id") == F.col(kept), "left_semi")
     # both are dealt by doc_id already, so texts are not shuffled again

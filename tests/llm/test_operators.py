@@ -676,6 +676,23 @@ def test_family_around_one_base(spark):
     assert 10 < len(expected) < 240 and {r["doc_id"] for r in kept.collect()} == expected
 
 
+def test_deduplicated_goes_by_the_trie(spark, monkeypatch):
+    """With MinHash keys that only equal sets share, copies within two bits still go; links below the bound don't."""
+    monkeypatch.setattr(near_copies, "BANDS", 1)
+    monkeypatch.setattr(near_copies, "ROWS", 400)
+    rng = random.Random(17)
+    texts = []
+    while len(texts) < 40:
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        copy = " ".join([*base[:150], "changed", *base[151:]])
+        if (naive_fingerprint(" ".join(base)) ^ naive_fingerprint(copy)).bit_count() <= 2:
+            texts += [" ".join(base), copy]
+    # one fingerprint, other sets: three-word shingles in the same numbers, of which few make five words
+    apart = ["a b c d e f", "a b c d e f a b c d e f a b c d e f"]
+    kept = simhash.deduplicated(spark.createDataFrame(list(enumerate(texts + apart)), "doc_id bigint, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == naive_near_copies(list(enumerate(texts + apart))) == {*range(0, 40, 2), 40, 41}
+
+
 # decontamination
 
 
