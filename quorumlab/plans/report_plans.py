@@ -158,8 +158,11 @@ def addressability_report(spark: SparkSession, d: str) -> DataFrame:
 def self_consistency(spark: SparkSession, d: str) -> DataFrame:
     """Repeated labels of a claim against its first one."""
     lines = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("claim_id"), F.col("l_returnflag").alias("flag"), "l_linenumber")
-    main = lines.groupBy("claim_id").agg(F.min(F.struct("l_linenumber", "flag"))["flag"].alias("main"))
-    return lines.join(main, "claim_id").groupBy("claim_id").agg(F.count(F.lit(1)).alias("repeats"), F.count_if(F.col("flag") == F.col("main")).alias("exact"), (F.countDistinct("flag") == 1).alias("unanimous"))
+    # counts of each label meet, not its lines: no join, and a claim has as many rows as labels
+    labels = lines.groupBy("claim_id", "flag").agg(F.count(F.lit(1)).alias("n"), F.min("l_linenumber").alias("at"))
+    main = F.min(F.struct("at", "flag", "n"))
+    found = labels.groupBy("claim_id").agg(F.sum("n").alias("repeats"), main.alias("main"), (F.count("flag") == 1).alias("unanimous"))
+    return found.select("claim_id", "repeats", F.when(F.col("main.flag").isNotNull(), F.col("main.n")).otherwise(0).alias("exact"), "unanimous")
 
 
 S.add_cte("majority", "SELECT claim_id, pair, addressability, CAST(sum(n) AS BIGINT) AS judgments, CASE WHEN max(n) >= floor(sum(n) / 2) + 1 THEN first(winner ORDER BY n DESC, winner DESC) ELSE 'unstable' END AS stable_winner FROM (SELECT claim_id, pair, addressability, winner, count(*) AS n FROM v_judgment GROUP BY ALL) GROUP BY claim_id, pair, addressability", "v_judgment")

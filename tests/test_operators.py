@@ -257,3 +257,15 @@ def test_evidence_deals_its_rows_by_paper_once(spark):
     assert [(r["task_id"], r["section_id"], r["rank"], r["matched"]) for r in found.collect()] == [("k1", "a", 1, 2)]
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_self_consistency_counts_labels_once(spark, sf_dir, tmp_path):
+    """Odd lines come out as before, and lines are neither joined with their claim nor doubled for distinct labels."""
+    from quorumlab.plans import report_plans
+
+    rows = [(1, "A", 2), (1, "B", 1), (1, "A", 3), (2, "N", 1), (2, "N", 1), (3, None, 1), (3, "R", 2), (4, "R", 1), (4, "A", 1), (4, "R", 5)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_returnflag string, l_linenumber bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = report_plans.self_consistency(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == [(1, 3, 1, False), (2, 2, 2, True), (3, 2, 0, True), (4, 3, 1, False)]
+    plan = report_plans.self_consistency(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Expand" not in plan
