@@ -6,6 +6,9 @@ bounds which further tokens a better candidate must have, and the last step keep
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -187,52 +190,163 @@ def evidence_verdict(claims: DataFrame, best: DataFrame) -> DataFrame:
     return rows.select("task_id", verdict.alias("verdict"))
 
 
-def case_retrieval(cases: DataFrame, k: int = 5, rare: int = 3, bonus: float = 0.18) -> DataFrame:
+#: Rows of one block of cases, and partial weights that a task holds at a time.
+CASES, HELD = 131_072, 2_000_000
+
+
+def kth_best(query: np.ndarray, score: np.ndarray, queries: int, k: int) -> np.ndarray:
+    """The k-th best score of each of the queries 0 to ``queries`` - 1 (sorted), 0 where there are fewer."""
+    if not len(query):
+        return np.zeros(queries)
+    order = np.argsort(query * (score.max() + 1.0) - score)
+    begins = np.searchsorted(query, np.arange(queries))
+    counts = np.diff(np.append(begins, len(query)))
+    return np.where(counts >= k, score[order[np.minimum(begins + k - 1, len(query) - 1)]], 0.0)
+
+
+def best_cases(asked: pa.Table, held: pa.Table, k: int, rare: int, bonus: float) -> tuple[np.ndarray, ...]:
+    """(row of ``asked``, row of ``held``, summed weights) of the cases that can be among a query's k best of ``held``.
+
+    The weights of common terms are summed for one batch of queries after another: those of the ``rare`` rarest terms for
+    a bound, those of all terms that can lift a case over it, and the other terms' for the cases that these leave. Cases
+    within the rounding of the k-th best score stay, of equal ones the k first by their id.
+    """
+
+    def flat(rows: pa.Table, name: str) -> np.ndarray:
+        return rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+    def codes(name: str) -> tuple[np.ndarray, np.ndarray]:
+        both = pa.concat_arrays([c for rows in (asked, held) for c in rows.column(name).chunks]).dictionary_encode().indices
+        numbers = both.fill_null(-1).to_numpy(zero_copy_only=False)
+        return numbers[: len(asked)], numbers[len(asked) :]
+
+    (paper, own_paper), (kind, own_kind) = codes("paper_id"), codes("claim_type")
+    place = pc.rank(held.column("case_id"), tiebreaker="first").to_numpy()
+    length, mean = held.column("length").to_numpy(), np.maximum(asked.column("mean_length").to_numpy(), 1.0)
+    # postings by term, then case; ``at_term`` numbers the terms from 0
+    number = flat(held, "number")
+    order = np.argsort(number, kind="stable")
+    doc = np.repeat(np.arange(len(held)), pc.list_value_length(held.column("number")).to_numpy())[order]
+    number, tf = number[order], flat(held, "tf")[order]
+    at_term = np.cumsum(np.append(False, number[1:] != number[:-1]))
+    postings = at_term * len(held) + doc
+    terms, idf, ceiling = flat(asked, "number"), flat(asked, "idf"), flat(asked, "ceiling")
+    first = np.searchsorted(number, terms, "left")
+    n = np.searchsorted(number, terms, "right") - first
+    sizes = pc.list_value_length(asked.column("number")).to_numpy()
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(asked)), sizes)
+    nth = np.arange(len(terms)) - (ends - sizes)[owner]
+    total = np.cumsum(ceiling)
+    rest = total[ends - 1][owner] - total + ceiling  # no case has more by this and the later terms
+    load = np.append(0, np.cumsum(n))
+    loads = load[ends]
+
+    def weighed(term: np.ndarray, case: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length[case] / mean[owner[term]]))
+
+    def extra(query: np.ndarray, case: np.ndarray) -> np.ndarray:
+        return np.where((kind[query] == own_kind[case]) & (own_kind[case] >= 0), bonus, 0.0)
+
+    def summed(some: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(query, case, weight) over the postings of the terms ``some``, cases of the query's own paper left out."""
+        term = np.repeat(some, n[some])
+        at = np.arange(len(term)) - np.repeat(np.cumsum(n[some]) - n[some], n[some]) + first[term]
+        other = paper[owner[term]] != own_paper[doc[at]]
+        term, at = term[other], at[other]
+        pair = owner[term] * len(held) + doc[at]
+        order = np.argsort(pair, kind="stable")
+        pair, weight = pair[order], weighed(term, doc[at], tf[at])[order]
+        if not len(pair):
+            return pair, pair, weight
+        heads = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        return *np.divmod(pair[heads], len(held)), np.add.reduceat(weight, heads)
+
+    out, done = [(owner[:0], doc[:0], idf[:0])], 0
+    while done < len(asked):
+        base, start = done, ends[done] - sizes[done]
+        done = max(done + 1, int(np.searchsorted(loads, load[start] + HELD, "right")))
+        some = np.arange(start, ends[done - 1])
+        query, case, raw = summed(some[nth[some] < rare])
+        bound = kth_best(query - base, raw + extra(query, case), done - base, k)
+        lifts = rest[some] + bonus + 0.001 >= bound[owner[some] - base]
+        query, case, raw = summed(some[lifts])
+        # the other terms of a query are its last ones
+        late = np.bincount(owner[some[~lifts]] - base, minlength=done - base)
+        over = np.where(late > 0, rest[np.minimum(ends[base:done] - late, len(rest) - 1)], 0.0)
+        left = raw + extra(query, case) + over[query - base] + 0.001 >= bound[query - base]
+        query, case, raw = query[left], case[left], raw[left]
+        times = late[query - base]
+        pair = np.repeat(np.arange(len(query)), times)
+        term = np.arange(len(pair)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(ends[query] - times, times)
+        pair, term = pair[n[term] > 0], term[n[term] > 0]
+        wanted = at_term[first[term]] * len(held) + case[pair]
+        at = np.minimum(np.searchsorted(postings, wanted), len(postings) - 1)
+        pair, term, at = (x[postings[at] == wanted] for x in (pair, term, at))
+        raw = raw + np.bincount(pair, weighed(term, case[pair], tf[at]), len(query))
+        score = raw + extra(query, case)
+        near = np.flatnonzero(score >= kth_best(query - base, score, done - base, k)[query - base] - 0.00011)
+        near = near[np.lexsort((place[case[near]], -score[near], query[near]))]
+        fresh = np.append(True, (np.diff(query[near]) != 0) | (np.diff(score[near]) != 0))[: len(near)]
+        begun = np.maximum.accumulate(np.where(fresh, np.arange(len(near)), 0))
+        near = near[np.arange(len(near)) - begun < k]
+        out.append((query[near], case[near], raw[near]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def case_retrieval(cases: DataFrame, k: int = 5, rare: int = 3, bonus: float = 0.18, *, block_rows: int = CASES) -> DataFrame:
     """BM25 over labelled cases with a bonus for an equal type, leaving out the query's own paper.
 
-    Corpus statistics of a query are the global ones less those of its paper, so none is recomputed. Queries first
-    meet cases on their ``rare`` rarest terms; the k-th best whole score found there is a bound. Terms whose
-    largest possible weights add up to less than the bound cannot lift a case over it by themselves, so cases
-    are sought on the other, rarer terms only, and then scored on all. ``cases``: case_id, paper_id, claim_type, text,
-    label. Cases without tokens find nothing and are not found.
+    Corpus statistics of a query are the global ones less those of its paper, so none is recomputed. Every case is a
+    query: cases are dealt to blocks, queries to slices, and each (block, slice) is one group that weighs common terms in
+    memory (``best_cases``) and hands on the k best of each query; pairs of cases are never shuffled. A group has about
+    ``block_rows`` cases and no more queries; groups count with the square of the table, as the exact search does. ``cases``: case_id, paper_id, claim_type, text, label. Cases without tokens find nothing and are not found.
     """
     docs = staged(cases.withColumn("tokens", T.token_list("text")).withColumn("length", F.size("tokens")), "cases")
     total = docs.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("len")).first()
     n_all, len_all = total["n"], total["len"] or 0
     own = docs.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_own"), F.sum("length").alias("len_own"))
-    counts = docs.select("case_id", "paper_id", "length", F.explode("tokens").alias("term")).groupBy("case_id", "paper_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    facts = ["case_id", "paper_id", "claim_type", "label", "length"]
+    counts = docs.select(*facts, F.explode("tokens").alias("term")).groupBy(*facts, "term").agg(F.count(F.lit(1)).alias("tf"))
     counts = staged(counts, "case-terms")
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df_all"), F.max("tf").alias("most"))
+    df = staged(df.withColumn("number", F.monotonically_increasing_id()), "case-term-numbers")
     df_own = counts.groupBy("term", "paper_id").agg(F.count(F.lit(1)).alias("df_own"))
-    q = counts.select("case_id", "paper_id", "term").join(df, "term").join(df_own, ["term", "paper_id"]).join(own, "paper_id")
     others = F.lit(n_all) - F.col("n_own")
     mean = (F.lit(len_all) - F.col("len_own")) / F.greatest(others, F.lit(1))
-    q = q.select(F.col("case_id").alias("query_id"), F.col("paper_id").alias("query_paper"), "term", (F.col("df_all") - F.col("df_own")).alias("df"), others.alias("n"), mean.alias("mean_length"), "most").where("df > 0")
+    rows = counts.join(df, "term").join(df_own, ["term", "paper_id"]).join(own, "paper_id")
+    # a term that no other paper has is met by no query and in no case
+    rows = rows.withColumn("df", F.col("df_all") - F.col("df_own")).where("df > 0").withColumn("mean_length", mean)
     # no case weighs a term more than one of the term's largest count and no length
-    ceiling = term_weight(F.col("most"), F.col("df"), F.col("n"), F.lit(0), F.col("mean_length"))
-    order = Window.partitionBy("query_id").orderBy("df", "term")
-    q = q.withColumns({"place": F.row_number().over(order), "rest": F.sum(ceiling).over(order.rowsBetween(0, Window.unboundedFollowing))})
-    q = staged(q, "query-terms")
-    types = docs.select("case_id", "claim_type", "label")
-
-    def met(terms: DataFrame) -> DataFrame:
-        return terms.select("query_id", "query_paper", "term").join(counts, "term").where("paper_id <> query_paper").select("query_id", "case_id").distinct()
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        hits = pairs.join(q, "query_id").join(counts.select("case_id", "term", "tf", "length"), ["case_id", "term"])
-        weight = term_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("mean_length"))
-        found = hits.groupBy("query_id", "case_id").agg(F.sum(weight).alias("raw")).join(types, "case_id")
-        asked = types.select(F.col("case_id").alias("query_id"), F.col("claim_type").alias("query_type"), F.col("label").alias("query_label"))
-        found = found.join(asked, "query_id")
-        return found.withColumn("score", F.round(F.col("raw") + F.when(F.col("claim_type") == F.col("query_type"), bonus).otherwise(0.0), 4))
-
+    ceiling = term_weight(F.col("most"), F.col("df"), others, F.lit(0), F.col("mean_length"))
+    term = F.struct("df", "number", F.col("tf").cast("double").alias("tf"), idf(others, F.col("df")).alias("idf"), ceiling.alias("ceiling"))
+    rows = rows.groupBy(*facts, "mean_length").agg(F.sort_array(F.collect_list(term)).alias("terms"))
+    rows = staged(rows.select(*facts, "mean_length", "terms.number", "terms.tf", "terms.idf", "terms.ceiling"), "case-rows")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n_all // block_rows))
+    slices = max(blocks, -(-3 * cores // blocks))
+
+    def dealt(side: DataFrame, own_part: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))).alias(other)
+        # renewed columns, as both sides come from one table
+        side = side.select(*(F.col(c).alias(c) for c in side.columns), F.pmod(F.xxhash64("case_id"), F.lit(n_own)).cast("int").alias(own_part), every)
+        return side.repartition(2 * blocks * slices, "block", "slice").groupBy("block", "slice")
+
+    held = dealt(rows.drop("mean_length", "idf", "ceiling"), "block", blocks, "slice", slices)
+    asked = dealt(rows.drop("length", "tf"), "slice", slices, "block", blocks)
+
+    def met(asked: pa.Table, held: pa.Table) -> pa.Table:
+        q, c, raw = best_cases(asked, held, k, rare, bonus) if len(asked) and len(held) else ([], [], [])
+        q, c = asked.take(pa.array(q, pa.int64())), held.take(pa.array(c, pa.int64()))
+        named = {"query_id": q["case_id"], "query_type": q["claim_type"], "query_label": q["label"], **{n: c[n] for n in ("case_id", "claim_type", "label")}}
+        return pa.table({**named, "raw": pa.array(raw, pa.float64())})
+
+    kinds = {n: rows.schema[n].dataType.simpleString() for n in facts}
+    names = {"query_id": "case_id", "query_type": "claim_type", "query_label": "label", "case_id": "case_id", "claim_type": "claim_type", "label": "label"}
+    found = asked.cogroup(held).applyInArrow(met, ", ".join(f"{n} {kinds[c]}" for n, c in names.items()) + ", raw double")
+    same = F.when(F.col("claim_type") == F.col("query_type"), bonus).otherwise(0.0)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "case_id")
-    first = scored(met(q.where(F.col("place") <= rare))).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    bounds = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("bound"))
-    # a case that only has terms from a place on scores ``rest`` there and the bonus at most
-    open_terms = q.join(bounds, "query_id", "left").where((F.coalesce("found", F.lit(0)) < k) | (F.col("rest") + bonus + 0.001 >= F.col("bound")))
-    found = scored(staged(met(open_terms), "case-pairs"))
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.withColumn("score", F.round(F.col("raw") + same, 4)).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def chance(positives: Column, n: Column, k: int) -> Column:
@@ -255,6 +369,7 @@ def retrieval_metrics(found: DataFrame, cases: DataFrame, ks: tuple[int, ...] =
     ``found``: query_id, query_label, label, rank. ``cases``: case_id, paper_id, label. Queries are the cases. The random
     rate is computed once for each (paper, label), as all of its queries draw from the same counts.
     """
+    found = staged(found.select("query_id", "query_label", "label", "rank"), "found-cases")
     hit = F.col("label") == F.col("query_label")
     per = found.groupBy("query_id", "query_label").agg(F.min(F.when(hit, F.col("rank"))).alias("first"))
     votes = found.groupBy("query_id", "label").agg(*(F.count_if(F.col("rank") <= k).alias(f"n_{k}") for k in ks), F.min("rank").alias("met"))
@@ -266,10 +381,10 @@ def retrieval_metrics(found: DataFrame, cases: DataFrame, ks: tuple[int, ...] =
         F.round(F.avg(F.coalesce(F.round(1.0 / F.col("first"), 4), F.lit(0.0))), 3).alias("mrr"),
         *(T.rate(F.col(f"major_{k}") == F.col("query_label")).alias(f"majority_accuracy_{k}") for k in ks),
     )
-    own = cases.groupBy("paper_id", "label").agg(F.count(F.lit(1)).alias("own"))
+    own = staged(cases.groupBy("paper_id", "label").agg(F.count(F.lit(1)).alias("own")), "cases-of-papers")
     paper = own.groupBy("paper_id").agg(F.sum("own").alias("of_paper"))
     label = own.groupBy("label").agg(F.sum("own").alias("of_label"))
-    total = cases.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    total = own.agg(F.coalesce(F.sum("own"), F.lit(0))).first()[0]
     drawn = own.join(paper, "paper_id").join(label, "label").withColumns({"n": F.lit(total) - F.col("of_paper"), "positives": F.col("of_label") - F.col("own")})
     drawn = drawn.groupBy("label", "n", "positives").agg(F.sum("own").alias("queries"))  # papers of equal counts are one
     mean = [F.round(F.sum(chance(F.col("positives"), F.col("n"), k) * F.col("queries")) / F.sum("queries"), 4).alias(f"random_{k}") for k in ks]
