@@ -89,13 +89,18 @@ def spans(df: DataFrame) -> DataFrame:
 
     ``df``: id, review, label array<struct<start, stop, tag>>.
     """
-    rows = df.select("id", F.posexplode("label").alias("pos", "s"), "review").select("id", "pos", "s.tag", F.trim(F.substring("review", F.col("s.start") + 1, F.col("s.stop") - F.col("s.start"))).alias("text"))
+    # an outer explode, as Spark computes the array of an inner one a second time to drop empty ones
+    # texts are cut before rows multiply, so that no row carries the whole review
+    cut = lambda s: F.struct(s["tag"].alias("tag"), F.trim(F.substring("review", s["start"] + 1, s["stop"] - s["start"])).alias("text"))
+    rows = df.select("id", F.posexplode_outer(F.transform("label", cut)).alias("pos", "s")).select("id", "pos", "s.*")
     rows = rows.where("text <> ''").withColumn("key", F.regexp_replace("tag", "^[A-Za-z]+_", ""))
-    claims = rows.where(F.col("tag").startswith("Eval_"))
-    proof = rows.where(F.col("tag").startswith("Jus_")).groupBy("id", "key").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("j"))
-    proof = proof.select("id", "key", F.array_join(F.transform("j", lambda x: x["text"]), " ").alias("evidence"))
+    # evaluations and justifications of a pair meet in one group, so texts are cut and shuffled once
+    each = {"claims": F.when(F.col("tag").startswith("Eval_"), F.struct("tag", "text")), "proof": F.when(F.col("tag").startswith("Jus_"), F.struct("pos", "text"))}
+    pairs = rows.groupBy("id", "key").agg(*(F.collect_list(x).alias(c) for c, x in each.items())).where("size(claims) > 0")
+    proof = F.when(F.col("id").isNotNull() & (F.size("proof") > 0), F.array_join(F.transform(F.array_sort("proof"), lambda x: x["text"]), " "))
+    found = pairs.select("id", proof.alias("evidence"), F.inline("claims"))
     label = F.when(F.col("evidence").isNull(), "unsubstantiated").otherwise("substantiated")
-    return claims.join(proof, ["id", "key"], "left").select("id", "tag", "text", F.coalesce("evidence", F.lit("")).alias("evidence"), label.alias("gold_label"))
+    return found.select("id", "tag", "text", F.coalesce("evidence", F.lit("")).alias("evidence"), label.alias("gold_label"))
 
 
 def alignments(review: DataFrame, rebuttal: DataFrame) -> DataFrame:
