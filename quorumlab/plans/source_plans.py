@@ -92,7 +92,8 @@ def wide_to_nested(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT work_id, title, abstract, 'work_' || left(sha1(work_id), 10) AS record_id FROM (SELECT 'w' || doc_id AS work_id, source AS title, array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' ') AS abstract FROM documents WHERE source <> 'src3') WHERE abstract <> ''")
 def works_table(spark: SparkSession, d: str) -> DataFrame:
     """Inverted indexes made from texts and put together again; untitled works are dropped, each work comes twice."""
-    docs = S.table(spark, d, "documents")
+    # whole texts are dealt by document once, so words and positions are grouped where they are
+    docs = S.table(spark, d, "documents").select("doc_id", "source", "text").repartition("doc_id")
     words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     rows = docs.select("doc_id", F.when(F.col("source") != "src3", F.col("source")).alias("title"), F.posexplode_outer(words).alias("pos", "token"))
     index = rows.where("token is not null").groupBy("doc_id", "title", "token").agg(F.array_sort(F.collect_list("pos")).alias("at"))
