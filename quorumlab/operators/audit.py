@@ -10,7 +10,7 @@ from quorumlab.functions import text as T
 from quorumlab.operators.extremes import two_ended
 from quorumlab.sources.files import staged
 
-CONTAINER = "(schema_of_variant(e.value) LIKE 'OBJECT<%' OR schema_of_variant(e.value) LIKE 'ARRAY<%')"
+CONTAINER = "(kind LIKE 'OBJECT<%' OR kind LIKE 'ARRAY<%')"
 
 
 def walked(files: DataFrame) -> DataFrame:
@@ -24,11 +24,15 @@ def walked(files: DataFrame) -> DataFrame:
     """
     spark = files.sparkSession
     level = files.select("file", F.lit("").alias("at"), F.lit("").alias("shape"), F.expr("cast(array() as array<string>)").alias("keys"), F.expr("try_parse_json(json)").alias("v"))
-    step = f"""
+    step = """
 SELECT f.file, CASE WHEN e.key IS NULL THEN concat(f.at, '[', e.pos, ']') WHEN f.at = '' THEN e.key ELSE concat(f.at, '.', e.key) END AS at,
        concat(f.shape, CASE WHEN e.key IS NULL THEN 'i' ELSE 'k' END) AS shape, CASE WHEN e.key IS NULL THEN f.keys ELSE array_append(f.keys, e.key) END AS keys,
-       schema_of_variant(e.value) LIKE 'OBJECT<%' AS is_object, to_json(e.value) NOT IN ('null', '""', '0', 'false', '[]', '{{{{}}}}') AS filled, CASE WHEN {CONTAINER} THEN e.value END AS v
-FROM {{level}} f, LATERAL variant_explode(f.v) AS e(pos, key, value)"""
+       e.value, schema_of_variant(e.value) AS kind
+FROM {level} f, LATERAL variant_explode(f.v) AS e(pos, key, value)"""
+    # the kind of a value is found once; containers are not written out to see whether they are empty
+    step = f"""
+SELECT file, at, shape, keys, kind LIKE 'OBJECT<%' AS is_object,
+       ({CONTAINER} AND kind NOT IN ('OBJECT<>', 'ARRAY<VOID>')) OR to_json(value) NOT IN ('null', '""', '0', 'false', '[]', '{{{{}}}}') AS filled, CASE WHEN {CONTAINER} THEN value END AS v FROM ({step})"""
     found = []
     while True:
         level = staged(spark.sql(step, level=level), "json-level")
