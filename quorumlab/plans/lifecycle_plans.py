@@ -267,10 +267,10 @@ _scored_sql("scored_semantic", "sig_semantic", "true", "true", "used")
 
 
 def _semantic(spark: SparkSession, d: str) -> DataFrame:
-    rows = _labelled(spark, d).withColumn("mode", F.explode(T.words_of(("proxy", "semantic"))))
+    rows = lifecycle.with_texts(_labelled(spark, d)).withColumn("mode", F.explode(T.words_of(("proxy", "semantic"))))
     used = F.when((F.col("mode") == "semantic") & F.col("meta_label").isin("survived", "partial", "not_found"), F.col("meta_label")).otherwise(F.col("survival_label"))
     rows = rows.withColumn("used", used)
-    return lifecycle.scored(rows, F.lit(True), F.lit(True), F.col("used"))
+    return lifecycle.weighed(rows, F.lit(True), F.lit(True), F.col("used"))
 
 
 @query(S.sql(f"SELECT mode, {_SUMMARY} FROM scored_semantic GROUP BY mode", "scored_semantic"))
