@@ -24,48 +24,61 @@ def least_common(t: Column, n: Column, size: Column) -> Column:
     return F.greatest(F.ceil(t * (n + size) / (1 + t) - 1e-9), F.lit(1))
 
 
-def memory_topk(queries: DataFrame, memory: DataFrame, k: int = 5, rare: int = 20, *, near: float = 2.0, spare_hits: int = 2) -> DataFrame:
+def token_sets(texts: DataFrame, text: str, *facts: str) -> DataFrame:
+    """``facts`` of the texts with their token sets (``own``) and the names of these (``set_id``), staged."""
+    rows = texts.select(*facts, T.token_set(text).alias("own"))
+    return staged(rows.withColumn("set_id", F.md5(F.array_join("own", " "))), "token-sets")
+
+
+def memory_topk(queries: DataFrame, memory: DataFrame, k: int = 5, rare: int = 20, *, near: float = 2.0, spare_hits: int = 2, sets: DataFrame | None = None) -> DataFrame:
     """Per (query, dimension) the k memories of highest Jaccard similarity, then score, then ordinal.
 
-    ``queries``: query_id, query_text. ``memory``: memory_id, ord, dimension, input_text, mapped_score, gold_label.
+    ``queries``: query_id, query_text. ``memory``: memory_id, ord, dimension, input_text, mapped_score, gold_label. Where
+    memories share texts, ``sets`` (of ``token_sets``: set_id, own) has them once, and ``memory`` has set_id for input_text.
 
-    Equal token sets are indexed once, and only their k best members of a dimension are kept. Postings carry a class of
+    Equal token sets are indexed once, and only their k best members of a dimension are kept. The index has the tokens of
+    queries only, as numbers; their list, the tokens asked for and the like are staged, so that Spark knows their sizes
+    and need not move the index to small ones. Postings carry a class of
     the set's size (four to a doubling). Each query keeps the k-th best similarity of each dimension, t. A set of s tokens
     reaches t with a query of n only by ``c = t (n + s) / (1 + t)`` common tokens; so of a query's tokens, ordered from
     the rarest, all but the last c - p are joined with the postings of a size class, and pairs that meet fewer than
     p = ``spare_hits`` times are left out. Large sets need many common tokens, so they meet on rare ones only, and classes
     that need more than the query has are not joined. Bounds come from three passes: the tokens with up to ``rare``
-    postings together; sets up to ``near`` times the query's size; the larger ones. What passes is verified by whole
-    sets, so results are exact. Memories without a common token have similarity 0 and fill up where a query has fewer
+    postings together; sets up to ``near`` times the query's size; the larger ones. What passes is verified by all indexed
+    tokens, so results are exact. Memories without a common token have similarity 0 and fill up where a query has fewer
     than k others; only the first 2k - 1 of each dimension, a short list, can be needed for that. Queries without tokens
     get nothing; dimensions are few by nature (a list on the driver).
     """
     facts = ["memory_id", "ord", "dimension", "mapped_score", "gold_label"]
-    m = memory.select(*facts, F.array_sort(F.array_distinct(T.token_list("input_text"))).alias("own"))
-    m = staged(m.withColumn("set_id", F.md5(F.array_join("own", " "))), "memory-tokens")
+    if sets is None:
+        memory = sets = token_sets(memory, "input_text", *facts)
+    m = memory.select("set_id", *facts)
     merit = Window.partitionBy("set_id", "dimension").orderBy(F.desc("mapped_score"), "ord")
-    members = m.select("set_id", *facts).withColumn("n", F.row_number().over(merit)).where(F.col("n") <= k).drop("n")
+    members = m.withColumn("n", F.row_number().over(merit)).where(F.col("n") <= k).drop("n")
     members = staged(members, "memory-members")
+    q = staged(queries.select("query_id", F.array_distinct(T.token_list("query_text")).alias("tokens")).where(F.size("tokens") > 0), "query-tokens")
+    asked_tokens = q.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    vocabulary = staged(asked_tokens.select("token").distinct().withColumn("number", F.monotonically_increasing_id()), "query-vocabulary")
     lower_bits = "greatest(length(bin(size)) - 3, 0)"
     low = F.expr(f"shiftleft(shiftright(size, {lower_bits}), {lower_bits})")
-    sets = m.groupBy("set_id").agg(F.first("own").alias("own"), F.collect_set("dimension").alias("dimensions")).withColumn("size", F.size("own"))
-    sets = staged(sets.withColumn("low", low).where("size > 0"), "memory-sets")
-    index = sets.select("set_id", "size", "low", F.explode("own").alias("token"))
-    frequency = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    q = staged(queries.select("query_id", F.array_distinct(T.token_list("query_text")).alias("tokens")).where(F.size("tokens") > 0), "query-tokens")
+    tokens = sets.select("set_id", F.size("own").alias("size"), F.explode("own").alias("token")).join(vocabulary, "token")
+    sets = tokens.groupBy("set_id", "size").agg(F.collect_set("number").alias("own")).withColumn("low", low)
+    sets = staged(sets.withColumn("set_no", F.monotonically_increasing_id()), "memory-sets")
+    index = sets.select("set_no", "size", "low", F.explode("own").alias("number"))
+    frequency = index.groupBy("number").agg(F.count(F.lit(1)).alias("df"))
     # a query's tokens that some memory has, the rarest first
-    known = q.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")).join(frequency, "token")
+    known = asked_tokens.join(vocabulary, "token").join(frequency, "number")
     order = Window.partitionBy("query_id").orderBy("df", "token")
     places = {"place": F.row_number().over(order), "postings": F.sum("df").over(order), "known": F.count(F.lit(1)).over(Window.partitionBy("query_id"))}
-    known = staged(known.withColumns(places), "query-places")
+    known = staged(known.withColumns(places).drop("token"), "query-places")
+    q_known = staged(known.groupBy("query_id", "n").agg(F.collect_list("number").alias("numbers")), "query-numbers")
     # the first 2k - 1 memories of each dimension
     rank = F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("mapped_score"), "ord"))
-    listed = [r.asDict() for r in m.select(*facts).withColumn("rn", rank).where(F.col("rn") <= 2 * k - 1).drop("rn").collect()]
-    spare = f"array<struct<{', '.join(f'{n}: {m.schema[n].dataType.simpleString()}' for n in facts)}>>"
-    one = F.broadcast(q.sparkSession.createDataFrame([(1, listed)], f"one int, spare {spare}"))
-    fill = q.select("query_id", F.lit(1).alias("one")).join(one, "one").select("query_id", F.inline("spare"))
-    dimensions = F.array(*(F.lit(d) for d in sorted({r["dimension"] for r in listed}, key=str))).cast(f"array<{m.schema['dimension'].dataType.simpleString()}>")
-    classes = sets.select(F.explode("dimensions").alias("dimension"), "low").distinct()
+    spare = staged(members.select(*facts).withColumn("rn", rank).where(F.col("rn") <= 2 * k - 1).drop("rn"), "memory-spares")
+    fill = q.select("query_id").crossJoin(F.broadcast(spare))
+    listed = {r["dimension"] for r in spare.select("dimension").distinct().collect()}
+    dimensions = F.array(*(F.lit(d) for d in sorted(listed, key=str))).cast(f"array<{m.schema['dimension'].dataType.simpleString()}>")
+    classes = staged(members.select("set_id", "dimension").join(sets.select("set_id", "low"), "set_id").select("dimension", "low").distinct(), "memory-classes")
     best = Window.partitionBy("query_id", "dimension").orderBy(F.desc("similarity"), F.desc("mapped_score"), "ord")
     names = ["query_id", *facts, "similarity"]
 
@@ -73,9 +86,9 @@ def memory_topk(queries: DataFrame, memory: DataFrame, k: int = 5, rare: int = 2
         return rows.select(*names).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The k best members of the paired sets, by whole sets."""
-        both = pairs.join(q, "query_id").join(sets.select("set_id", "own"), "set_id").withColumn("common", F.size(F.array_intersect("tokens", "own")))
-        similarity = T.round4(F.col("common") / (F.size("tokens") + F.size("own") - F.col("common")))
+        """The k best members of the paired sets, by all tokens that they can share."""
+        both = pairs.join(q_known, "query_id").join(sets.select("set_no", "set_id", "size", "own"), "set_no").withColumn("common", F.size(F.array_intersect("numbers", "own")))
+        similarity = T.round4(F.col("common") / (F.col("n") + F.col("size") - F.col("common")))
         return first_k(both.select("query_id", "set_id", similarity.alias("similarity")).join(members, "set_id"))
 
     def met(found: DataFrame, sizes: Column) -> DataFrame:
@@ -87,14 +100,14 @@ def memory_topk(queries: DataFrame, memory: DataFrame, k: int = 5, rare: int = 2
         need = each.join(bounds, ["query_id", "dimension"], "left").withColumn("t", t).join(classes, "dimension").where(sizes)
         need = need.groupBy("query_id", "n", "known", "low").agg(F.min("t").alias("t")).withColumn("need", least_common(F.col("t"), F.col("n"), F.col("low")))
         need = need.where(F.col("need") <= F.col("known")).withColumn("hits", F.least("need", F.lit(spare_hits)))
-        asked = known.select("query_id", "token", "place").join(need, "query_id").where(F.col("place") <= F.col("known") - F.col("need") + F.col("hits"))
-        seen = asked.select("query_id", "token", "low", "n", "t", "need", "hits").join(index, ["token", "low"])
-        seen = seen.groupBy("query_id", "set_id").agg(F.count(F.lit(1)).alias("c"), *(F.first(x).alias(x) for x in ("n", "t", "need", "hits", "size")))
+        asked = known.select("query_id", "number", "place").join(need, "query_id").where(F.col("place") <= F.col("known") - F.col("need") + F.col("hits"))
+        asked = staged(asked.select("query_id", "number", "low", "n", "t", "need", "hits"), "query-bounds")
+        seen = index.join(asked, ["number", "low"]).groupBy("query_id", "set_no").agg(F.count(F.lit(1)).alias("c"), *(F.first(x).alias(x) for x in ("n", "t", "need", "hits", "size")))
         enough = (F.col("c") >= F.col("hits")) & (F.col("c") + F.col("need") - F.col("hits") >= least_common(F.col("t"), F.col("n"), F.col("size")))
-        return seen.where(enough).select("query_id", "set_id")
+        return seen.where(enough).select("query_id", "set_no")
 
-    rarest = known.where((F.col("place") == 1) | (F.col("postings") <= rare)).select("query_id", "token")
-    found = staged(verified(rarest.join(index, "token").select("query_id", "set_id").distinct()), "best-memories")
+    rarest = known.where((F.col("place") == 1) | (F.col("postings") <= rare)).select("query_id", "number")
+    found = staged(verified(index.join(rarest, "number").select("query_id", "set_no").distinct()), "best-memories")
     for sizes in (F.col("low") <= near * F.col("n"), F.col("low") > near * F.col("n")):
         more = verified(met(found, sizes)).join(found.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_anti")
         found = staged(first_k(found.select(*names).unionByName(more.select(*names))), "best-memories")

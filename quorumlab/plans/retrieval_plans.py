@@ -22,7 +22,11 @@ SELECT query_id, memory_id, ord, dimension, mapped_score, gold_label, round(c::D
 
 
 def _topk(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.memory_topk(S.view(spark, d, "v_query"), S.view(spark, d, "v_memory"))
+    # labelled texts are tokenized once; the view, which repeats a text for each dimension, only carries the names of their sets
+    documents = S.table(spark, d, "documents").join(S.table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    texts = retrieval.token_sets(documents, "text", "doc_id", "source")
+    memory = S.view(spark, d, "v_memory", documents=texts.select("doc_id", "source", F.col("set_id").alias("text")))
+    return retrieval.memory_topk(S.view(spark, d, "v_query"), memory.withColumnRenamed("input_text", "set_id"), sets=texts)
 
 
 @query(S.sql("SELECT query_id, dimension, rank, memory_id, similarity FROM topk", "topk"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quorumlab.functions import text as T
-from quorumlab.operators import adapters, audit, claims, sampling
+from quorumlab.operators import adapters, audit, claims, retrieval, sampling
 
 
 def plan_of(df):
@@ -80,3 +80,28 @@ def test_empty_containers_are_not_filled(spark):
     df = spark.createDataFrame([("f", '{"a": [], "b": {}, "c": [null], "d": {"x": 0}, "e": [[]], "g": "", "h": 0, "i": false, "j": null, "k": "x", "l": 0.5}')], "file string, json string")
     filled = {r["at"]: r["filled"] for r in audit.walked(df).collect()}
     assert {k for k, v in filled.items() if v} == {"c", "d", "e", "k", "l"}
+
+
+def test_memory_search_tokenizes_a_text_once_and_keeps_tokens_in_place(spark, sf_dir, monkeypatch):
+    plans, staged = [], retrieval.staged
+    monkeypatch.setattr(retrieval, "staged", lambda df, label: (plans.append((label, plan_of(df))), staged(df, label))[1])
+    entry.queries()["memory_prior"](spark, sf_dir)
+    assert sum(p.count("[a-z][a-z0-9_-]{2,}") for _, p in plans if "/documents.parquet" in p) == 1
+    # whole token sets are not moved: words are looked up where they are, and only the numbers of known ones are grouped
+    (index,) = (p for label, p in plans if label == "memory-sets")
+    assert "BroadcastHashJoin" in index and index.count("Exchange hashpartitioning") == 1
+
+
+def test_memories_may_share_token_sets(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["alpha", "betas", "gamma", "classes", "cities", "uses", "the", "ties"], k=rng.randint(0, 6))) for _ in range(30)] + [None]
+    rows = [(f"{d}{i}", i, d, t, rng.randint(0, 2) / 2, "l") for i, t in enumerate(texts) for d in "xy"]
+    memory = spark.createDataFrame(rows, "memory_id string, ord int, dimension string, input_text string, mapped_score double, gold_label string")
+    queries = spark.createDataFrame([(1, "alpha class"), (2, "city use tie"), (3, "the"), (4, "unseen")], "query_id int, query_text string")
+    sets = retrieval.token_sets(spark.createDataFrame(list(enumerate(texts)), "ord int, text string"), "text", "ord")
+    named = memory.drop("input_text").join(sets.select("ord", "set_id"), "ord")
+    key = lambda r: (r["query_id"], r["dimension"], r["rank"], r["memory_id"], r["similarity"])
+    found = sorted(map(key, retrieval.memory_topk(queries, named, 3, sets=sets).collect()))
+    assert found == sorted(map(key, retrieval.memory_topk(queries, memory, 3).collect())) and len(found) == 18
+    words = spark.createDataFrame([(t,) for t in texts], "t string").select(T.token_set("t").alias("x"), F.array_sort(F.array_distinct(T.token_list("t"))).alias("y")).collect()
+    assert [r["x"] for r in words] == [r["y"] for r in words]
